@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .pii import KINDS, find_pii, joined
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    many = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return made.select("doc_id", *many, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op9_decontamination": op9_decontamination,
 }
 
