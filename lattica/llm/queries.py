@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .pii import KINDS, find_pii, joined
+from .suffix_dedup import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *many, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
