@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but digits and letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the benchmark side up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -23,7 +24,23 @@ def words_of(text: Column) -> Column:
     """Words of a text, A-Z in lower case; none for null."""
     text = F.coalesce(text, F.lit(""))
     lower = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower, BETWEEN, -1), "")
+
+
+def _grams(words: Column, size: int, body) -> Column:
+    """body(hashes of all runs of ``size`` hashed words): runs double, then the rest is put behind."""
+
+    def behind(left, step, right):
+        return F.transform(F.slice(left, F.lit(1), F.size(right) - step), lambda x, i: x.bitwiseXOR(F.shiftleft(F.get(right, i + step), step)))
+
+    def grow(gram, width):
+        if width == size:
+            return body(gram)
+        if 2 * width <= size:
+            return let(behind(gram, width, gram), lambda g: grow(g, 2 * width))
+        return _grams(words, size - width, lambda rest: let(behind(gram, width, rest), body))
+
+    return grow(words, 1)
 
 
 def _winnowed(words: Column, window: int, k: int, short: list[int]) -> Column:
@@ -33,19 +50,18 @@ def _winnowed(words: Column, window: int, k: int, short: list[int]) -> Column:
         n = F.size(w)
 
         def runs(grams):
-            least = F.transform(F.sequence(F.lit(0), n - window), lambda s: F.array_min(F.slice(grams, s + 1, window - k + 1)))
+            least = F.transform(F.slice(grams, F.lit(1), n - window + 1), lambda x, i: F.least(x, *[F.get(grams, i + j) for j in range(1, window - k + 1)]) if window > k else x)
             return let(least, lambda m: let(
                 F.filter(F.sequence(F.lit(0), n - window), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1))),
                 lambda starts: F.transform(starts, lambda s, i: F.struct(F.get(m, s).alias("h"), F.lit(window).alias("width"), s.alias("s"), F.coalesce(F.get(starts, i + 1), n - window + 1).alias("e"))),
             ))
 
-        def grams(size):
-            return F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.slice(w, i + 1, size)))
+        def whole(size):
+            return lambda grams: F.transform(grams, lambda h, i: F.struct(h.alias("h"), F.lit(size).alias("width"), i.alias("s"), (i + 1).alias("e")))
 
         none = F.array().cast("array<struct<h:bigint,width:int,s:int,e:int>>")
-        parts = [F.when(n >= window, let(grams(k), runs)).otherwise(none)]
-        for size in short:
-            parts.append(F.when(n >= size, F.transform(grams(size), lambda h, i, size=size: F.struct(h.alias("h"), F.lit(size).alias("width"), i.alias("s"), (i + 1).alias("e")))).otherwise(none))
+        parts = [F.when(n >= window, _grams(w, k, runs)).otherwise(none)]
+        parts += [F.when(n >= size, _grams(w, size, whole(size))).otherwise(none) for size in short]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), kept)
