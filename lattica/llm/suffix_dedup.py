@@ -6,10 +6,13 @@ digit is a gram inside the window, the least by hash (its anchor): equal windows
 offsets, so all windows in a run that share an anchor pass together.
 
 1. digit ``gram`` bytes at the anchor: runs with a unique anchor have no repeated window.
-2. digit the whole run: runs that are equal as a whole are repeated; one of them stands for all.
-3. digit the full threshold, for each window of the runs that agree on pass 1 only.
+2. digit the whole run: runs that are equal as a whole are repeated; one of them stands for all. Runs that
+   differ from another run of their anchor go on, with their bytes.
+3. digit the bytes common to ``BLOCK`` neighbouring windows of such a run, counted from its anchor; then the block
+   as a whole, as in pass 2.
+4. digit the full threshold, for each window of the blocks that go on.
 
-Equality in passes 2 and 3 is that of two independent 64-bit hashes.
+Equality is that of independent 64-bit hashes of two digits, so of 128 bits where both cover all bytes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 PIECE = 1 << 20
+BLOCK = 16
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 13)]
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -89,10 +93,10 @@ def _pieces(offsets: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
 
 
 def _runs_of(data: np.ndarray, ends: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first window, number of windows, anchor hash, two hashes of the bytes."""
-    one, two = Hashes(data, 0), Hashes(data, 1)
+    """Runs of windows with one anchor: first window, number of windows, the anchor's place and hash, hash of the bytes."""
+    two = Hashes(data, 1)
     width = threshold - gram + 1
-    hashed = one.every(gram)
+    hashed = Hashes(data, 0).every(gram)
     low = np.uint64((1 << 22) - 1)
     anchor = _sliding_min((hashed & ~low) | np.arange(len(hashed), dtype=np.uint64), width) & low
     valid = np.arange(len(anchor)) + threshold <= ends[: len(anchor)]
@@ -102,7 +106,8 @@ def _runs_of(data: np.ndarray, ends: np.ndarray, threshold: int, gram: int) -> t
     last[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
     start, stop = np.flatnonzero(fresh), np.flatnonzero(last)
     size = stop - start + threshold
-    return start, stop - start + 1, hashed[anchor[start].astype(np.int64)], one.of(start, size), two.of(start, size)
+    at = anchor[start].astype(np.int64)
+    return start, stop - start + 1, at, hashed[at], two.of(start, size)
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +128,7 @@ def _anchored(threshold: int, gram: int):
                 lo, hi = np.searchsorted(offsets, at, side="right") - 1, np.searchsorted(offsets, to, side="left")
                 bounds = np.clip(offsets[lo : hi + 1], at, to) - at
                 ends = np.repeat(bounds[1:], np.diff(bounds))
-                start, n, anchor, r1, r2 = _runs_of(data[at:to], ends, threshold, gram)
+                start, n, spot, digit, whole = _runs_of(data[at:to], ends, threshold, gram)
                 if not len(start):
                     continue
                 row = np.searchsorted(offsets, start + at, side="right") - 1
@@ -131,33 +136,72 @@ def _anchored(threshold: int, gram: int):
                     cut = slice(a, a + 50_000)
                     took = pa.array(row[cut])
                     yield pa.record_batch(
-                        [batch.column("id").take(took), batch.column("th").take(took), pa.array(start[cut] + at - offsets[row[cut]]), pa.array(n[cut].astype(np.int64)), *(pa.array(x[cut].view(np.int64)) for x in (anchor, r1, r2))],
-                        names=["id", "th", "s", "n", "anchor", "r1", "r2"],
+                        [batch.column("id").take(took), batch.column("th").take(took), pa.array(start[cut] + at - offsets[row[cut]]), pa.array(n[cut].astype(np.int32)), pa.array((spot - start)[cut].astype(np.int32)), *(pa.array(x[cut].view(np.int64)) for x in (digit, whole))],
+                        names=["id", "th", "s", "n", "off", "digit", "whole"],
                     )
             del lens
     return run
 
 
-def _windows(threshold: int):
-    """Two hashes of each window of the runs in ``runs``."""
+def _cut_out(threshold: int):
+    """The bytes of each of the text's runs."""
     def run(batches):
         for batch in batches:
             data, offsets = _buffers(batch.column("text"))
             runs = batch.column("runs")
             first = np.asarray(runs.offsets)
-            starts, counts = (np.asarray(runs.values.field(k)) for k in ("s", "n"))
-            for i in range(batch.num_rows):
+            s, n, off = (np.asarray(runs.values.field(k)) for k in ("s", "n", "off"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            s, n, off = (x[first[0] : first[-1]] for x in (s, n, off))
+            for a in range(0, len(row), 20_000):
+                cut = slice(a, a + 20_000)
+                took, lo = pa.array(row[cut]), offsets[row[cut]] + s[cut]
+                parts = [data[x:y].tobytes() for x, y in zip(lo, lo + n[cut] + threshold - 1, strict=True)]
+                yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), *(pa.array(x[cut]) for x in (s, n, off)), pa.array(parts, pa.binary())], names=["id", "th", "s", "n", "off", "part"])
+    return run
+
+
+def _blocks(threshold: int):
+    """Blocks of neighbouring windows, cut at multiples of BLOCK from the anchor: hashes of the common bytes and of all."""
+    def run(batches):
+        for batch in batches:
+            s, n, off = (np.asarray(batch.column(k)).astype(np.int64) for k in ("s", "n", "off"))
+            out = [[] for _ in range(5)]
+            for i, part in enumerate(batch.column("part")):
+                data = np.frombuffer(part.as_buffer(), np.uint8)
+                k = np.arange(-(off[i] // BLOCK) - 1, (n[i] - 1 - off[i]) // BLOCK + 1)
+                at = off[i] + k * BLOCK
+                lo, hi = np.maximum(at, 0), np.minimum(at + BLOCK, n[i])
+                at, lo, hi = (x[hi > lo] for x in (at, lo, hi))
+                one, two = Hashes(data, 0), Hashes(data, 1)
+                for to, x in zip(out, (np.full(len(at), i), lo + s[i], hi - lo, one.of(at + BLOCK - 1, threshold - BLOCK + 1).view(np.int64), two.of(lo, hi - lo - 1 + threshold).view(np.int64)), strict=True):
+                    to.append(x)
+            if out[0]:
+                row, lo, size, digit, whole = (np.concatenate(x) for x in out)
+                took = pa.array(row)
+                yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), pa.array(lo), pa.array(size.astype(np.int32)), batch.column("s").take(took).cast(pa.int32()), pa.array(digit), pa.array(whole)], names=["id", "th", "s", "n", "off", "digit", "whole"])
+    return run
+
+
+def _windows(threshold: int):
+    """Hash of each window of the blocks in ``runs``, with the hash of its block's common bytes."""
+    def run(batches):
+        for batch in batches:
+            blocks = batch.column("runs")
+            first = np.asarray(blocks.offsets)
+            at, n, digit = (np.asarray(blocks.values.field(k)) for k in ("s", "n", "digit"))
+            s, out = np.asarray(batch.column("s")), [[] for _ in range(4)]
+            for i, part in enumerate(batch.column("part")):
                 own = slice(first[i], first[i + 1])
-                s, n = starts[own], counts[own]
-                text = data[offsets[i] : offsets[i + 1]]
-                groups = [(0, len(text), s, n)] if len(text) <= PIECE else [(int(a), int(a + b) + threshold - 1, np.array([a]), np.array([b])) for a, b in zip(s, n, strict=True)]
-                for lo, hi, s_, n_ in groups:
-                    at = np.repeat(s_ - np.concatenate(([0], np.cumsum(n_)[:-1])), n_) + np.arange(int(n_.sum()))
-                    w1, w2 = (Hashes(text[lo:hi], k).of(at - lo, threshold).view(np.int64) for k in (0, 1))
-                    for a in range(0, len(at), 50_000):
-                        cut = slice(a, a + 50_000)
-                        took = pa.array(np.full(len(at[cut]), i))
-                        yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), pa.array(at[cut]), pa.array(w1[cut]), pa.array(w2[cut])], names=["id", "th", "p", "w1", "w2"])
+                size = n[own].astype(np.int64)
+                p = np.repeat(at[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+                hashed = Hashes(np.frombuffer(part.as_buffer(), np.uint8), 1).of(p - s[i], threshold).view(np.int64)
+                for to, x in zip(out, (np.full(len(p), i), p, np.repeat(digit[own], size), hashed), strict=True):
+                    to.append(x)
+            if out[0]:
+                row, p, d, w = (np.concatenate(x) for x in out)
+                took = pa.array(row)
+                yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), pa.array(p), pa.array(d), pa.array(w)], names=["id", "th", "s", "digit", "whole"])
     return run
 
 
@@ -191,23 +235,40 @@ def _kept(threshold: int):
     return run
 
 
+_ROW = "id long, th int, s long, n int, off int, digit long, whole long"
+
+
+def _passed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, th, s, n) of the rows that equal another one as a whole, and one row each of those that share a digit only.
+
+    Counts are combined before the shuffle and written, so a hot digit's rows can be split in the joins.
+    """
+    again = table(rows.groupBy("digit").count().where("count > 1").select(F.col("digit").alias("d")), f"{name}-digits")
+    live = table(rows.join(again, rows["digit"] == again["d"], "left_semi"), f"{name}-live")
+    groups = table(live.groupBy("digit", "whole").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("id", "th", "s", "n", "off"))), f"{name}-groups")
+    equal = groups.where("c > 1").select(F.col("digit").alias("d"), F.col("whole").alias("w"))
+    whole = live.join(equal, (F.col("digit") == F.col("d")) & (F.col("whole") == F.col("w")), "left_semi").select("id", "th", "s", "n")
+    mixed = groups.groupBy("digit").count().where("count > 1").select("digit")
+    return whole, groups.join(mixed, "digit")
+
+
 def repeated_windows(docs: DataFrame, *, threshold: int = 400, gram: int = 100) -> DataFrame:
     """(id, th, s, n): in the text (id, th), the n windows of threshold bytes from s on also start elsewhere.
 
     docs has id, th (a hash of the text) and text.
     """
-    runs = table(docs.mapInArrow(_anchored(threshold, gram), "id long, th long, s long, n long, anchor long, r1 long, r2 long"), "runs")
-    again = table(runs.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("a")), "anchors")
-    live = table(runs.join(again, runs["anchor"] == again["a"], "left_semi"), "live")
-    groups = table(live.groupBy("anchor", "r1", "r2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("id", "th", "s", "n"))), "groups")
-    equal = groups.where("c > 1").select(F.col("r1").alias("g1"), F.col("r2").alias("g2"))
-    whole = live.join(equal, (F.col("r1") == F.col("g1")) & (F.col("r2") == F.col("g2")), "left_semi").select("id", "th", "s", "n")
-    mixed = groups.groupBy("anchor").count().where("count > 1").select("anchor")
-    open_runs = groups.join(mixed, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    tried = table(docs.join(open_runs, ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_windows(threshold), "id long, th long, p long, w1 long, w2 long"), "tried")
-    twice = table(tried.groupBy("w1", "w2").count().where("count > 1").select(F.col("w1").alias("t1"), F.col("w2").alias("t2")), "twice")
-    single = tried.join(twice, (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")), "left_semi").select("id", "th", F.col("p").alias("s"), F.lit(1).cast("long").alias("n"))
-    return whole.union(single)
+    runs = table(docs.mapInArrow(_anchored(threshold, gram), _ROW), "runs")
+    whole, unlike = _passed(runs, "runs")
+    unlike = unlike.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n", "off")).alias("runs"))
+    parts = table(docs.join(unlike, ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut_out(threshold), "id long, th int, s long, n int, off int, part binary"), "parts")
+    blocks = table(parts.mapInArrow(_blocks(threshold), _ROW), "blocks")
+    block, unlike = _passed(blocks, "blocks")
+    unlike = unlike.groupBy("id", "th", F.col("off").cast("long").alias("at")).agg(F.collect_list(F.struct("s", "n", "digit")).alias("runs")).withColumnsRenamed({"id": "i", "th": "t"})
+    held = parts.join(unlike, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")) & (F.col("s") == F.col("at"))).select("id", "th", "s", "part", "runs")
+    tried = table(held.mapInArrow(_windows(threshold), "id long, th int, s long, digit long, whole long"), "windows")
+    twice = table(tried.groupBy("digit", "whole").count().where("count > 1").select(F.col("digit").alias("d"), F.col("whole").alias("w")), "twice")
+    single = tried.join(twice, (F.col("digit") == F.col("d")) & (F.col("whole") == F.col("w")), "left_semi").select("id", "th", "s", F.lit(1).alias("n"))
+    return whole.union(block).union(single)
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 400, gram: int = 100) -> DataFrame:
@@ -219,9 +280,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     other here. Other columns are ignored.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("given"), F.coalesce(text, F.lit("")).alias("text"))
-    own = own.select("given", F.coalesce("given", F.lit(-(2**63) + 1)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    own = own.select("given", F.coalesce("given", F.lit(-(2**63) + 1)).alias("id"), F.hash("text").alias("th"), "text")
     found = repeated_windows(own.select("id", "th", "text"), threshold=threshold, gram=gram)
     per = found.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    none = F.array().cast("array<struct<s:bigint,n:bigint>>")
+    none = F.array().cast("array<struct<s:bigint,n:int>>")
     out = own.join(per, ["id", "th"], "left").select(F.col("given").alias("id"), "text", F.coalesce("runs", none).alias("runs"))
     return out.mapInArrow(_kept(threshold), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
