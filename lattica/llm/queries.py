@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .minhash import near_duplicates
 from .pii import KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
 
@@ -33,9 +34,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_minhash": op6_minhash,
     "op9_decontamination": op9_decontamination,
 }
 
