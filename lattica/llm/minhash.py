@@ -37,6 +37,19 @@ ROUNDS = 3
 _STRIPS, _LOW = 24, 4
 
 
+class _WordHashes(dict):
+    """Hashes of the words met so far, up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_hashes = _WordHashes()
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -45,8 +58,7 @@ def shingles_of(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.n
     """Sorted hashes of the shingles and their counts. Fewer words than size make one shingle; no words none."""
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    of = xxhash.xxh3_64_intdigest
-    hashed = np.fromiter((of(w) for w in words), np.uint64, len(words))
+    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     out = np.zeros(n, np.uint64)
     for j in range(min(size, len(words))):
@@ -109,7 +121,9 @@ def _throw(elements, weights, owner, strip, k, sig, rank) -> None:
             at, dart = at[kept], dart[kept]
         where = owner[at] * k + ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
         deep = lo + (hi - lo) * ((_mix(dart ^ np.uint64(0x5A5A5A5A5A5A5A5A)) >> np.uint64(11)) * 2.0**-53)
-        order = np.argsort(-deep, kind="stable")
+        near = np.flatnonzero(deep < rank[where])
+        where, deep, dart = where[near], deep[near], dart[near]
+        order = np.argsort(-deep)
         where, deep, dart = where[order], deep[order], dart[order]
         best = np.full(len(rank), -1, np.int64) if len(where) > len(rank) // 4 else None
         if best is not None:
@@ -214,7 +228,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     for turn in range(1, ROUNDS + 1):
         left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
         left = table(left, "left")
-        several = left.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.xxhash64("rep", F.lit(turn))).alias("pick")).where("c0 < c1").select(F.col("bucket").alias("k"), "pick")
+        # of a bucket of two, the only pair has been compared
+        several = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.xxhash64("rep", F.lit(turn))).alias("pick")).where("c0 < c1 and n > 2").select(F.col("bucket").alias("k"), "pick")
         several = table(several, "several")
         if several.isEmpty():
             break
@@ -230,8 +245,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             pairs = left.join(minor, F.col("bucket") == F.col("k")).where("c <> hc and (c = big or hub < rep)")
         more = _linked(pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), texts, threshold, size)
         left = left.select("bucket", "rep")
-        links = links.union(more)
-        labels = components(links)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
     of = signed.select("id", "words").join(firsts, "words").groupBy("id").agg(F.min("rep").alias("rep"))
     of = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     out = docs.select(F.col(doc_id).cast("long").alias("id")).join(of, "id", "left")
