@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .minhash import near_duplicates
 from .pii import KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
@@ -38,16 +39,29 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_minhash": op6_minhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
+    "op8_embedding_dedup": """
+        with recursive v as (select vec_id, cast(embedding as double[]) x from embeddings),
+        good as (select * from v where x is not null and len(list_filter(x, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(x, lambda e: e <> 0)) > 0),
+        links as (select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.95),
+        reach as (select vec_id a, vec_id b from v union select r.a, l.b from reach r join links l on r.b = l.a)
+        select v.vec_id, (select count(*) from links l where l.a = v.vec_id) n_links, c.component_id, v.vec_id = c.component_id kept
+        from v join (select a, min(b) component_id from reach group by a) c on c.a = v.vec_id
+    """,
     "op9_decontamination": f"""
         with d as (select doc_id, {_WORDS} w from documents),
         b as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
