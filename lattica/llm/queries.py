@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .minhash import near_duplicates
+from .packing import pack
 from .pii import KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
 
@@ -43,10 +44,17 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_minhash": op6_minhash,
+    "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
 }
