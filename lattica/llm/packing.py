@@ -10,48 +10,82 @@ their place, each on its own.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 WINDOW, END = 4096, 2
-#: Chunks of text whose ids a worker remembers.
-_HELD = 150_000
-#: White space as the tokenizer's normalizer sees it; str.split() differs in the four separators below.
-_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: Words whose ids a worker remembers.
+_HELD = 800_000
+#: Letters up to U+024F and common punctuation: composed already, and one character's lower case does not depend on its
+#: neighbours. Without the separators on which patterns' white space differs.
+_PLAIN = re.compile(r"[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*(?:[\u2010-\u2027\u2030-\u205e\u20ac]+[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*)*")
 
 
 class Ids:
-    """Token ids of texts. The tokenizer drops white space and never joins over it, so chunks between it are independent."""
+    """Token ids of texts.
+
+    A plain text is cut into words by the tokenizer file's own pattern, and each word that is new goes through the file's
+    model, many at a time; words are remembered. All other texts go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.held: dict[str, bytes] = {}
+        said = json.loads(self.tokenizer.to_str())
+        split, _ = said["pre_tokenizer"]["pretokenizers"]
+        # the pattern with the plain texts' letters and numbers spelled out, which the quicker library takes
+        pattern = split["pattern"]["Regex"]
+        for kind in ("L", "N"):
+            pattern = pattern.replace(rf"\p{{{kind}}}", "".join(re.escape(c) for c in map(chr, range(0x250)) if regex.match(rf"\p{{{kind}}}", c)))
+        self.cut = re.compile(pattern)
+        self.added = [t["content"] for t in said["added_tokens"]]
+        self.parts = Tokenizer.from_file(path)
+        self.parts.normalizer = None
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = said["model"]["end_of_word_suffix"]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for a in range(0, len(new), 4096):
+            some = new[a : a + 4096]
+            ids = np.array(self.parts.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer's model does not mark the ends of words")
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(some, stops.tolist(), strict=True):
+                self.known[word] = data[start:stop]
+                start = stop
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        chunks = [t.split() if not _ODD.search(t) else [c for c in _SPACE.split(t) if c] for t in texts]
-        held = self.held
-        new = list({c for part in chunks for c in part if c not in held})
-        if len(held) + len(new) > _HELD:
-            held.clear()
-            new = list({c for part in chunks for c in part})
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                held[c] = np.array(e.ids, "<u4").tobytes()
-        get = held.__getitem__
-        return [b"".join(map(get, part)) for part in chunks]
+        known, cut = self.known, self.cut.findall
+        out = []
+        for text in texts:
+            if _PLAIN.fullmatch(text) and not any(a in text for a in self.added):
+                words = cut(text.lower())
+                if len(known) > _HELD:
+                    known.clear()
+                if new := set(words).difference(known):
+                    self._learn(list(new))
+                out.append(b"".join(map(known.__getitem__, words)))
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        return out
 
 
 def _pieces(path: str, window: int, end: int):
