@@ -7,10 +7,11 @@ a signature costs about k log k darts, however long the text. Two documents agre
 probability of their weighted Jaccard similarity. Bands of coordinates are joined; each pair found is then checked
 against the exact similarity of the shingle counts, so no pair below the threshold is linked.
 
-Texts with the same words are one text first. In a band's bucket every text is compared with one text of the
-bucket, its hub; what that proves joined needs no other comparison. Buckets that still hold several components get
-other hubs for ``ROUNDS`` rounds. In what is left, every text outside its bucket's largest component is compared
-with all texts of the other components there: no pair of a bucket is left out unless it is joined already.
+Texts with the same words are one text first. In a band's bucket every text is compared with the bucket's least one,
+its hub; what that proves joined needs no other comparison. Buckets of three or more that still hold several
+components are compared in full, but inside tasks: a bucket is dealt into chunks of about ``CHUNK`` texts, each pair
+of chunks is a task, and it returns only links that join something. No pair of a bucket is left out unless its texts are
+joined already.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 coordinates: two texts of similarity 0.8 miss all bands with probability 6e-5, of 0.85 with 4e-8.
 BANDS, ROWS = 32, 6
 _WORD = re.compile(r"\w+")
-#: Rounds of hubs before all pairs left are compared.
-ROUNDS = 3
+#: Texts in a chunk of a bucket.
+CHUNK = 512
 #: Rank strips: strip 0 is [0, 2^-4), strip i is [2^(i-5), 2^(i-4)).
 _STRIPS, _LOW = 24, 4
 
@@ -66,6 +67,16 @@ def shingles_of(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return np.unique(out, return_counts=True)
 
 
+def elements_of(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the shingles, each repetition of a shingle with a hash of its own: a set whose Jaccard similarity is the weighted one."""
+    hashed, count = shingles_of(words_of(text), size)
+    out = np.repeat(hashed, count)
+    nth = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+    again = nth > 0
+    out[again] = _mix(out[again] + nth[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.sort(out)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -164,43 +175,91 @@ def _signed(bands: int, rows: int, size: int):
     return run
 
 
-def _likely(threshold: float):
-    """Pairs whose signatures agree in all but six standard deviations of the coordinates that the threshold asks for."""
+def _elements(size: int):
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(x.as_buffer() for x in batch.column(c)), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                agree = (a == b).mean(axis=1)
-                kept = pa.array(agree >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / a.shape[1]))
-                yield batch.select(["a", "b"]).filter(kept)
+            for a in range(0, batch.num_rows, 256):
+                found = [elements_of(t.as_py(), size).tobytes() for t in batch.column("text").slice(a, 256)]
+                yield pa.record_batch([batch.column("id").slice(a, 256), batch.column("sig").slice(a, 256), pa.array(found, pa.binary())], names=["rep", "sig", "elements"])
     return run
 
 
-def _similar(size: int):
-    """The weighted Jaccard similarity of each pair's texts."""
+def _least(threshold: float, k: int) -> float:
+    """Share of coordinates that two texts of the threshold's similarity agree in, less six standard deviations."""
+    return threshold - 6 * np.sqrt(threshold * (1 - threshold) / k)
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _linked(threshold: float):
+    """The pairs (a, b) whose texts are similar enough."""
     def run(batches):
         for batch in batches:
-            out = []
-            held: tuple[str | None, tuple] = (None, ())
-            for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                left = a.as_py()
-                if held[0] != left:
-                    held = (left, shingles_of(words_of(left), size))
-                (x, n), (y, m) = held[1], shingles_of(words_of(b.as_py()), size)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = int(np.minimum(n[i], m[j]).sum())
-                out.append(both / (int(n.sum()) + int(m.sum()) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "sim"])
+            if not batch.num_rows:
+                continue
+            sa, sb = (np.frombuffer(b"".join(x.as_buffer() for x in batch.column(c)), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            likely = (sa == sb).mean(axis=1) >= _least(threshold, sa.shape[1])
+            ea, eb = batch.column("ea"), batch.column("eb")
+            kept = [i for i in np.flatnonzero(likely).tolist() if _jaccard(*(np.frombuffer(e[i].as_buffer(), np.uint64) for e in (ea, eb))) >= threshold]
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    left = texts.withColumnsRenamed({"rep": "a", "sig": "sa", "text": "ta"})
-    right = texts.withColumnsRenamed({"rep": "b", "sig": "sb", "text": "tb"})
-    likely = table(pairs.join(right.drop("tb"), "b").join(left.drop("ta"), "a").select("a", "b", "sa", "sb").mapInArrow(_likely(threshold), "a long, b long"), "likely")
-    both = likely.join(right.drop("sb"), "b").join(left.drop("sa"), "a").select("a", "b", "ta", "tb")
-    return table(both.mapInArrow(_similar(size), "a long, b long, sim double").where(F.col("sim") >= threshold).select("a", "b"), "links")
+def _shared(elements: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of all pairs of sets."""
+    n = len(elements)
+    out = np.zeros((n, n), np.int32)
+    every, owner = np.concatenate(elements), np.repeat(np.arange(n), [len(e) for e in elements])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    size = np.diff(np.append(starts, len(every)))
+    for start, many in zip(starts[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        own = owner[start : start + many]
+        out[own[:, None], own] += 1
+    return out
+
+
+def _chunk_links(threshold: float):
+    """Links between the components of one pair of chunks that join something."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        rep, c, chunk = (rows.column(x).to_numpy() for x in ("rep", "c", "chunk"))
+        sig = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("sig")])
+        elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("elements")]
+        cross = rows.column("ca")[0].as_py() != rows.column("cb")[0].as_py()
+        least, pairs = _least(threshold, sig.shape[1]), []
+        for i in range(len(rep) - 1):
+            able = (c[i + 1 :] != c[i]) & ((chunk[i + 1 :] != chunk[i]) | (not cross))
+            at = np.flatnonzero(able) + i + 1
+            at = at[(sig[at] == sig[i]).mean(axis=1) >= least]
+            pairs += [(i, j) for j in at.tolist()]
+        counts = _shared(elements) if len(pairs) > 4 * len(rep) else None
+        up = {x: x for x in c.tolist()}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for i, j in pairs:
+            x, y = top(int(c[i])), top(int(c[j]))
+            if x != y:
+                if counts is None:
+                    similar = _jaccard(elements[i], elements[j])
+                else:
+                    similar = counts[i, j] / (len(elements[i]) + len(elements[j]) - counts[i, j])
+                if similar >= threshold:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(rep[i]), int(rep[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -220,34 +279,26 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     crowded = table(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1").select(F.col("bucket").alias("k"), "hub"), "crowded")
     members = table(spread.join(crowded, F.col("bucket") == F.col("k")).select("bucket", "rep", "hub"), "members")
     meant = members.select(F.col("rep").alias("id")).distinct()
-    texts = table(own.join(meant, "id").join(signed.select("id", "sig"), "id").groupBy(F.col("id").alias("rep")).agg(F.min("sig").alias("sig"), F.min("text").alias("text")), "texts")
+    texts = own.join(meant, "id").join(signed.select("id", "sig"), "id").groupBy("id").agg(F.min("sig").alias("sig"), F.min("text").alias("text"))
+    texts = table(texts.mapInArrow(_elements(size), "rep long, sig binary, elements binary"), "texts")
 
-    links = _linked(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), texts, threshold, size)
+    left, right = (texts.withColumnsRenamed({"rep": x, "sig": f"s{x}", "elements": f"e{x}"}) for x in ("a", "b"))
+    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "ea", "eb")
+    links = table(pairs.mapInArrow(_linked(threshold), "a long, b long"), "links")
     labels = components(links)
-    left = members.select("bucket", "rep")
-    for turn in range(1, ROUNDS + 1):
-        left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        left = table(left, "left")
-        # of a bucket of two, the only pair has been compared
-        several = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.xxhash64("rep", F.lit(turn))).alias("pick")).where("c0 < c1 and n > 2").select(F.col("bucket").alias("k"), "pick")
-        several = table(several, "several")
-        if several.isEmpty():
-            break
-        left = table(left.join(several, F.col("bucket") == F.col("k")).select("bucket", "rep", "c", "pick"), "left")
-        if turn < ROUNDS:
-            hubs = left.where(F.xxhash64("rep", F.lit(turn)) == F.col("pick")).select(F.col("bucket").alias("k"), F.col("rep").alias("hub"), F.col("c").alias("hc"))
-            hubs = table(hubs, "hubs")
-            pairs = left.join(hubs, F.col("bucket") == F.col("k")).where("c <> hc")
-        else:
-            sized = left.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most")).select(F.col("bucket").alias("k"), F.col("most.c").alias("big"))
-            minor = table(left.join(sized, F.col("bucket") == F.col("k")).where("c <> big").select(F.col("bucket").alias("k"), F.col("rep").alias("hub"), F.col("c").alias("hc"), "big"), "minor")
-            # of two texts outside the largest component, the smaller one is the pair's first
-            pairs = left.join(minor, F.col("bucket") == F.col("k")).where("c <> hc and (c = big or hub < rep)")
-        more = _linked(pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), texts, threshold, size)
-        left = left.select("bucket", "rep")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+
+    # of a bucket of two, the only pair has been compared
+    rest = table(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "rest")
+    several = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and n > 2")
+    several = table(several.select(F.col("bucket").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "several")
+    dealt = rest.join(several, F.col("bucket") == F.col("k")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("bucket", "rep", "c", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = table(dealt.select("bucket", "rep", "c", "chunk", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb")), "dealt")
+    more = dealt.join(texts, "rep").groupBy("bucket", "ca", "cb").applyInArrow(_chunk_links(threshold), "a long, b long")
+    more = table(more, "more")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     of = signed.select("id", "words").join(firsts, "words").groupBy("id").agg(F.min("rep").alias("rep"))
     of = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     out = docs.select(F.col(doc_id).cast("long").alias("id")).join(of, "id", "left")
