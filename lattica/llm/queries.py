@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
+from .toxicity import fit, score
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit(docs, _read(spark, sf_dir, "labels").where(_fold() != 0))
+    made = score(docs, machine)
+    return made.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -57,6 +69,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
