@@ -12,6 +12,7 @@ from .packing import pack
 from .pii import KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
 from .toxicity import fit, score
+from .warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = round_trip(_read(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", F.col("capture.type").alias("record_type"), F.col("capture.refers_to_page").alias("refers_to"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_warc": op2_warc,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
@@ -74,7 +81,18 @@ QUERIES = {
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_QUINTETS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(sha, {5 * i + 1}, 5) as bigint) >> {s}) & 31 as bigint) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0)
+)
+
 ORACLES = {
+    "op2_warc": f"""
+        with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) sha from pages),
+        q as (select *, min(page_id) over (partition by html) f from p)
+        select page_id, cast(octet_length(encode(html)) as bigint) payload_bytes, {_QUINTETS} payload_digest,
+               case when f < page_id then 'revisit' else 'response' end record_type, case when f < page_id then f end refers_to
+        from q
+    """,
     "op8_embedding_dedup": """
         with recursive v as (select vec_id, cast(embedding as double[]) x from embeddings),
         good as (select * from v where x is not null and len(list_filter(x, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(x, lambda e: e <> 0)) > 0),
