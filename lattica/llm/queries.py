@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
+from .html_text import extract
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, joined
@@ -68,10 +69,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "payload_bytes", "payload_digest", F.col("capture.type").alias("record_type"), F.col("capture.refers_to_page").alias("refers_to"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_html_text": op4_html_text,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
