@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .html_text import extract
+from .licenses import scan
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, joined
@@ -73,11 +74,18 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for each source, in it one for each language."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("/"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))).alias("path"))
+    return scan(docs).select("doc_id", "path", "license", "license_score", "license_from")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
+    "op5_licenses": op5_licenses,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
