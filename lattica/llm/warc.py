@@ -9,6 +9,7 @@ response or revisit record; revisits then take their payload's size from the res
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -45,8 +46,8 @@ def _record(kind: str, record: Column, url: Column, date: Column, mime: str, blo
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write_captures(captures: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", dedup_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS, compression: str | None = None) -> None:
-    """Writes three records for each row of captures under path.
+def write_captures(captures: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", dedup_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS, compression: str = "gzip") -> None:
+    """Writes three records for each row of captures under path, each file compressed as a whole ("none": not at all).
 
     Of rows with equal payloads of at least dedup_bytes bytes, the one with the least page_id is a response record, all others
     are revisit records without payload. A null payload is empty, a null url an empty one; a row with a null
@@ -73,8 +74,7 @@ def write_captures(captures: DataFrame, path: str, *, page_id: str = "page_id",
     request = _record("request", name("request", key), F.col("url"), day, "application/http;msgtype=request", F.concat(F.lit("GET "), F.when(F.col("url") == "", "/").otherwise(F.col("url")), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)), ("WARC-Concurrent-To", hub))
     metadata = _record("metadata", name("metadata", key), F.col("url"), day, "application/warc-fields", F.concat(F.lit("pageId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")), ("WARC-Concurrent-To", hub))
     records = rows.select(F.explode(F.array(F.when(F.col("again"), revisit).otherwise(response), request, metadata)).alias("value"))
-    sink = records.write.option("lineSep", END).option("maxRecordsPerFile", 3 * file_records)
-    (sink.option("compression", compression) if compression else sink).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", 3 * file_records).option("compression", compression).text(path)
 
 
 _HEAD = re.compile(rb"\A(WARC/1\.[01])\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -125,7 +125,8 @@ def read_records(spark: SparkSession, path: str, *, with_payload: bool = True) -
         for batch in batches:
             for content in batch.column("content"):
                 held = []
-                for record in parse_records(content.as_buffer().to_pybytes(), with_payload):
+                data = content.as_buffer().to_pybytes()
+                for record in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, with_payload):
                     held.append(record)
                     if len(held) == 1000:
                         yield pa.record_batch([pa.array([r[n] for r in held], types.get(n, pa.string())) for n in names], names=names)
