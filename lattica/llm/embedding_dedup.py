@@ -1,8 +1,8 @@
 """Near-duplicate vectors by tiled comparison in the order of principal components.
 
 Vectors are scaled to length 1 and turned into the basis of the principal components of all vectors, largest
-variance first; cosines stay the same. Equal vectors are one vector with a count. Vectors sorted by their first
-component are cut into tiles. A pair of tiles is compared only if their first components can be near enough. It
+variance first; cosines stay the same. Equal vectors are one vector with a count. Ranges of the first
+component make tiles. A pair of tiles is compared only if their first components can be near enough. It
 adds up products over the leading dimensions and bounds the rest by the product of the norms of the suffixes; rows and
 columns without a pair that can still reach the threshold leave, and the tile stops when none is left. What remains
 is decided by the exact cosine of the vectors as given, in double precision.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +31,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _moments(batches):
-    """Sums of outer products and of components of the scaled vectors, for one task."""
-    total, count = None, 0
+    """Sums of outer products of the scaled vectors, for one task."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
         by_size: dict[int, list[np.ndarray]] = {}
         for v in batch.column("v"):
@@ -42,12 +41,8 @@ def _moments(batches):
         for size, rows in by_size.items():
             x = np.array(rows)
             x /= _norms(x)[:, None]
-            part = x.T @ x
-            if total is None:
-                total = {}
-            total[size] = total.get(size, 0) + part
-            count += len(x)
-    for size, m in (total or {}).items():
+            total[size] = total.get(size, 0) + x.T @ x
+    for size, m in total.items():
         yield pa.record_batch([pa.array([size], pa.int32()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["size", "m"])
 
 
@@ -185,9 +180,11 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     keyed = table(reps.mapInArrow(_keyed(basis), "rep long, many long, v array<double>, key double").withColumn("size", F.size("v")), "keyed")
 
     n = max(1, -(-keyed.count() // tile))
-    tiles = keyed.repartitionByRange(n, "size", "key", "rep").withColumn("part", F.spark_partition_id())
-    tiles = tiles.mapInArrow(_tiled(tile), "part long, nth long, size int, lo double, hi double, rows array<struct<rep:bigint,many:bigint,v:array<double>>>")
-    tiles = table(tiles.withColumn("tile", F.col("part") * 1_000_000 + F.col("nth")), "tiles")
+    ranged = keyed.repartitionByRange(n, "size", "key", "rep")
+    # neighbouring ranges make one tile where the session deals out more of them than asked for
+    tile_of = F.floor(F.spark_partition_id() * n / ranged.rdd.getNumPartitions()).cast("long")
+    tiles = ranged.withColumn("part", tile_of).groupBy("part", "size").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_list(F.struct("rep", "many", "v")).alias("rows"))
+    tiles = table(tiles.withColumn("tile", F.xxhash64("part", "size")), "tiles")
     # cosine >= t needs a distance of sqrt(2 - 2t) at most, and so such a difference of first components
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
     ranges = tiles.select("tile", "size", "lo", "hi")
@@ -208,24 +205,3 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     out = whole.join(of, (F.col("wh") == F.col("h")) & (F.col("w") == F.col("v")), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _tiled(tile: int):
-    """Sorted rows of one task in tiles of one vector size."""
-    def run(batches):
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        held = pa.Table.from_batches(some).combine_chunks()
-        held = held.sort_by([("size", "ascending"), ("key", "ascending"), ("rep", "ascending")])
-        nth = 0
-        for size in held.column("size").unique().to_pylist():
-            rows = held.filter(pc.equal(held.column("size"), size))
-            for a in range(0, rows.num_rows, tile):
-                cut = rows.slice(a, tile).combine_chunks()
-                keys = cut.column("key").to_numpy()
-                struct = pa.StructArray.from_arrays([cut.column(c).combine_chunks() for c in ("rep", "many", "v")], names=["rep", "many", "v"])
-                packed = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
-                yield pa.record_batch([pa.array([int(cut.column("part")[0].as_py())], pa.int64()), pa.array([nth], pa.int64()), pa.array([size], pa.int32()), pa.array([keys.min()]), pa.array([keys.max()]), packed], names=["part", "nth", "size", "lo", "hi", "rows"])
-                nth += 1
-    return run
