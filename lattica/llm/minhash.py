@@ -42,7 +42,7 @@ class _WordHashes(dict):
     """Hashes of the words met so far, up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -172,6 +172,7 @@ def _signed(bands: int, rows: int, size: int):
                     [ids.take(pa.array(a + some)), pa.array([xxhash.xxh3_128_digest(" ".join(words[i])) for i in some], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([row.tobytes() for row in (sig & np.uint64(255)).astype(np.uint8)], pa.binary())],
                     names=["id", "words", "buckets", "sig"],
                 )
+        _hashes.clear()
     return run
 
 
@@ -181,6 +182,7 @@ def _elements(size: int):
             for a in range(0, batch.num_rows, 256):
                 found = [elements_of(t.as_py(), size).tobytes() for t in batch.column("text").slice(a, 256)]
                 yield pa.record_batch([batch.column("id").slice(a, 256), batch.column("sig").slice(a, 256), pa.array(found, pa.binary())], names=["rep", "sig", "elements"])
+        _hashes.clear()
     return run
 
 

@@ -31,7 +31,7 @@ class _Terms(dict):
     """Hashed terms of words, as bytes of int32; a bound number of words is remembered."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         raw = [word, *(f"{n}:{word[:n]}" for n in HEADS if len(word) > n)]
         out = self[word] = np.array([zlib.crc32(t.encode()) % HASHED for t in raw], np.int32).tobytes()
@@ -114,6 +114,7 @@ def _termed(batches):
         for a in range(0, batch.num_rows, 500):
             found = [terms_of(t.as_py()).tobytes() for t in batch.column("text").slice(a, 500)]
             yield pa.record_batch([pa.array(found, pa.binary()), batch.column("label").slice(a, 500)], names=["terms", "label"])
+    _terms.clear()
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
@@ -142,6 +143,7 @@ def _scored(machine: Machine):
                 columns = [c for n, c in zip(batch.schema.names, cut.columns, strict=True) if n != "_scored"]
                 names = [n for n in batch.schema.names if n != "_scored"]
                 yield pa.record_batch([*columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], names=[*names, "score"])
+        _terms.clear()
     return run
 
 
