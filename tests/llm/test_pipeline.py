@@ -1,0 +1,40 @@
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+@pytest.fixture
+def sf(spark, tmp_path):
+    text = lambda i: " ".join(f"w{(i * 7919 + j * 31) % 997}" for j in range(60))
+    rows = [(i, text(i), "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, text(i) + " idiot scum loser", "en", "s", 0) for i in range(60)]
+    rows += [(200, text(3), "en", "s", 0), (201, text(3), "en", "s", 0), (202, text(5) + " call a@b.cc", "en", "s", 0), (203, text(500) + " bench one two three four five six seven eight nine ten", "en", "s", 0), (204, None, "en", "s", 0), (205, "", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(100 <= i < 160)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "bench one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_stages(spark, sf):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf)
+        if k < 4:
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+            docs.write.parquet(f"{sf}/stage{k}")
+            docs = spark.read.parquet(f"{sf}/stage{k}")
+            ids.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert not ids[0] & set(range(100, 160)) and len(ids[0]) == 66
+    assert ids[0] - ids[1] == {200, 201, 202} or ids[0] - ids[1] == {200, 201}
+    assert ids[1] - ids[2] == {203}
+    assert {r.doc_id for r in docs.collect()} == ids[3] == ids[2]
+
+
+def test_run(spark, sf):
+    rows = corpus_pipeline.run(spark, sf).agg(F.count("*"), F.min("offset")).first()
+    assert rows[0] >= 60 and rows[1] == 0 and zlib.crc32(b"") == 0
