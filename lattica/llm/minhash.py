@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, settled, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 coordinates: two texts of similarity 0.8 miss all bands with probability 6e-5, of 0.85 with 4e-8.
@@ -42,7 +42,7 @@ class _WordHashes(dict):
     """Hashes of the words met so far, up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -173,6 +173,7 @@ def _signed(bands: int, rows: int, size: int):
                     names=["id", "words", "buckets", "sig"],
                 )
         _hashes.clear()
+        settled()
     return run
 
 
@@ -183,6 +184,7 @@ def _elements(size: int):
                 found = [elements_of(t.as_py(), size).tobytes() for t in batch.column("text").slice(a, 256)]
                 yield pa.record_batch([batch.column("id").slice(a, 256), batch.column("sig").slice(a, 256), pa.array(found, pa.binary())], names=["rep", "sig", "elements"])
         _hashes.clear()
+        settled()
     return run
 
 

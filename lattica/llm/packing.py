@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settled, table
 
 WINDOW, END = 4096, 2
-#: Words whose ids a worker remembers.
-_HELD = 400_000
+#: Words whose ids a worker remembers: fewer take less memory and more time.
+HELD = 800_000
 #: Letters up to U+024F and common punctuation: composed already, and one character's lower case does not depend on its
 #: neighbours. Without the separators on which patterns' white space differs.
 _PLAIN = re.compile(r"[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*(?:[\u2010-\u2027\u2030-\u205e\u20ac]+[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*)*")
@@ -38,7 +38,7 @@ class Ids:
     model, many at a time; words are remembered. All other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,6 +58,7 @@ class Ids:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.held = held
 
     def _learn(self, new: list[str]) -> None:
         for a in range(0, len(new), 4096):
@@ -78,7 +79,7 @@ class Ids:
         for text in texts:
             if _PLAIN.fullmatch(text) and not any(a in text for a in self.added):
                 words = cut(text.lower())
-                if len(known) > _HELD:
+                if len(known) > self.held:
                     known.clear()
                 if new := set(words).difference(known):
                     self._learn(list(new))
@@ -88,12 +89,12 @@ class Ids:
         return out
 
 
-def _pieces(path: str, window: int, end: int):
+def _pieces(path: str, window: int, end: int, held: int):
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids = Ids(path)
+        ids = Ids(path, held)
         for batch in batches:
             docs, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, batch.num_rows, 200):
@@ -106,6 +107,8 @@ def _pieces(path: str, window: int, end: int):
                         for to, x in zip(out, (a + i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                             to.append(x)
                 yield pa.record_batch([docs.take(pa.array(out[0])), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del ids
+        settled()
     return run
 
 
@@ -207,7 +210,7 @@ def _placed(rows: list[tuple[int, int, int, int, int]]):
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer is the path of its file, which every executor has. A null text is an empty one: its only id is the end id.
@@ -215,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     table gives no piece.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end), _PIECE).withColumn("task", F.spark_partition_id()), "pieces")
+    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held), _PIECE).withColumn("task", F.spark_partition_id()), "pieces")
     counts = table(pieces.groupBy("task", "length").count(), "lengths")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # window rows at most
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: Labelled rows that the fit takes at most: those of least hash of their id.
 SAMPLE = 15_000
 HASHED, TERMS, FACTORS, EPOCHS = 1 << 18, 4096, 4, 25
@@ -31,7 +33,7 @@ class _Terms(dict):
     """Hashed terms of words, as bytes of int32; a bound number of words is remembered."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= 150_000:
+        if len(self) >= 100_000:
             self.clear()
         raw = [word, *(f"{n}:{word[:n]}" for n in HEADS if len(word) > n)]
         out = self[word] = np.array([zlib.crc32(t.encode()) % HASHED for t in raw], np.int32).tobytes()
@@ -115,6 +117,7 @@ def _termed(batches):
             found = [terms_of(t.as_py()).tobytes() for t in batch.column("text").slice(a, 500)]
             yield pa.record_batch([pa.array(found, pa.binary()), batch.column("label").slice(a, 500)], names=["terms", "label"])
     _terms.clear()
+    settled()
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
@@ -144,6 +147,7 @@ def _scored(machine: Machine):
                 names = [n for n in batch.schema.names if n != "_scored"]
                 yield pa.record_batch([*columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], names=[*names, "score"])
         _terms.clear()
+        settled()
     return run
 
 
