@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.plans.staging import staged
+
 
 def _rank(by: str, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order))
@@ -133,12 +135,21 @@ def merged(labels: DataFrame, merges: DataFrame) -> DataFrame:
     return labels.join(merges, F.col("label") == F.col("piece"), "left").select("unit", F.coalesce("into", "label").alias("label"))
 
 
+def joined_maps(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both maps after merging: pieces of right into regions of left, then the other way round."""
+    right = staged(merged(right, merge_map(contingency(left, right), "u", "v")))
+    return staged(merged(left, merge_map(contingency(left, right), "v", "u"))), right
+
+
 def dice_joined(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, u, v, dice) after merging pieces on both sides; labels are those after merging. The result is the mean of all Dice values."""
-    right = merged(right, merge_map(contingency(left, right), "u", "v"))
-    left = merged(left, merge_map(contingency(left, right), "v", "u"))
-    pairs = numbered_pairs(contingency(left, right), _sizes(left, "u"), _sizes(right, "v"))
-    matched = matched_pairs(contingency(left, right)).select("u", "v", F.lit(True).alias("matched"))
+    return joined_pairs(*joined_maps(left, right))
+
+
+def joined_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    cells = staged(contingency(left, right))
+    pairs = numbered_pairs(cells, _sizes(left, "u"), _sizes(right, "v"))
+    matched = matched_pairs(cells).select("u", "v", F.lit(True).alias("matched"))
     # a slot of labels left over counts as 0
     return pairs.join(matched, ["u", "v"], "left").select("id", "u", "v", F.when(F.col("matched"), F.col("dice")).otherwise(0.0).alias("dice"))
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators import labels as L
+from lattica.plans.staging import staged
 from lattica.sources import formats
 
 
@@ -114,12 +116,9 @@ def gifti_labels(labels: DataFrame, side: str, *, seed: int = 0, colours: DataFr
 
 def gifti_pair(left: DataFrame, right: DataFrame, side: str, *, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Two label maps after merging and matching, background kept, as GIFTI files with shared colours of both maps' labels."""
-    from lattica.operators import labels as L
-
-    pairs = L.dice_joined(left, right)
-    to_right = L.merged(right, L.merge_map(L.contingency(left, right), "u", "v"))
-    to_left = L.merged(left, L.merge_map(L.contingency(left, to_right), "v", "u"))
-    one = L.mask_background(L.renamed(to_left, pairs, "u"), left)
-    two = L.mask_background(L.renamed(to_right, pairs, "v"), right)
+    to_left, to_right = L.joined_maps(left, right)
+    pairs = staged(L.joined_pairs(to_left, to_right))
+    one = staged(L.mask_background(L.renamed(to_left, pairs, "u"), left))
+    two = staged(L.mask_background(L.renamed(to_right, pairs, "v"), right))
     colours = label_table(one.select("label").union(two.select("label")), seed)
     return gifti_labels(one, side, colours=colours), gifti_labels(two, side, colours=colours)
