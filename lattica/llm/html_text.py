@@ -31,6 +31,7 @@ NAMES = (
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
     "sidebar", "aside", "comment", "comments", "commentlist", "disqus", "respond", "replies", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
     "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login",
+    "adbox", "adslot", "adunit", "adbanner", "advertorial", "discussion", "responses", "warning", "disclaimer", "announcement", "overlay", "paywall", "topbar", "bottombar",
     "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "skip", "toolbar",
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -49,6 +50,7 @@ def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
             parts = {p.lower() for p in _PART.findall(value)}
+            parts |= {re.sub("[^a-z]", "", name.lower()) for name in value.split()}
             if parts & _NAMES or "header" in parts and not in_article:
                 return True
         elif key == "role" and value.lower() in _ROLES or key == "hidden" and value.lower() != "until-found":
@@ -74,6 +76,14 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         text.clear()
         linked = 0
 
+    def close(i: int) -> None:
+        nonlocal bad, articles, links
+        for element, was_bad, was_article in stack[i:]:
+            bad -= was_bad
+            articles -= was_article
+            links -= element == "a"
+        del stack[i:]
+
     at, size = 0, len(page)
     while at < size:
         tag = _TAG.search(page, at)
@@ -95,11 +105,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if tag[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for element, was_bad, was_article in stack[i:]:
-                        bad -= was_bad
-                        articles -= was_article
-                        links -= element == "a"
-                    del stack[i:]
+                    close(i)
                     break
         elif name in _RAW_END:
             end = _RAW_END[name].search(page, at)
@@ -107,8 +113,13 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         elif name not in _VOID and not tag[3].endswith("/"):
             is_article = name in ("article", "main") or 'role="main"' in tag[3]
             entry = (name, _unwanted(name, tag[3], articles > 0), is_article)
-            if name in ("p", "li") and stack and stack[-1][0] == name:  # its end may be left out
-                stack.pop()
+            if name not in _INLINE:  # a block ends an open paragraph, an item the one before
+                i = len(stack) - 1
+                while i >= 0 and stack[i][0] in _INLINE:
+                    i -= 1
+                if i >= 0 and (stack[i][0] == "p" or name == "li" == stack[i][0]):
+                    close(i)
+                    entry = (name, _unwanted(name, tag[3], articles > 0), is_article)
             stack.append(entry)
             bad += entry[1]
             articles += is_article

@@ -133,6 +133,8 @@ def test_scores(spark, docs, none):
 def test_blocks():
     page = '<html><head><title>T</title></head><body><header>H</header><nav>N<aside>S</aside></nav><div id="cookie-notice">C</div><article><header><h1>A &amp; B</h1></header><p>one<br>two &nbsp; three<p>four <form>F</form><script>if (a < b) "</p>"</script><div class="ad">AD</div><ul><li>x<li>y</ul><section class="comments"><p>no</p></section></article><footer>f'
     assert html_text.main_text(html_text.blocks_of(page), []) == "A & B\none two three\nfour\nx\ny"
+    loose = '<article><p class="notice">N<div>kept</div><p class="side-bar">S<p>also <b>this<p>and that</article>'
+    assert html_text.main_text(html_text.blocks_of(loose), []) == "kept\nalso this\nand that"
     assert html_text.blocks_of(None) == [] and html_text.blocks_of("a < b & c") == [("open", "a < b & c")]
 
 
