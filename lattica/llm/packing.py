@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import settled, table
 
 WINDOW, END = 4096, 2
-#: Words whose ids a worker remembers: fewer take less memory and more time.
-HELD = 800_000
+#: Words whose ids a worker remembers: more take memory, and caches of the processor.
+HELD = 150_000
 #: Letters up to U+024F and common punctuation: composed already, and one character's lower case does not depend on its
 #: neighbours. Without the separators on which patterns' white space differs.
 _PLAIN = re.compile(r"[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*(?:[\u2010-\u2027\u2030-\u205e\u20ac]+[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*)*")
