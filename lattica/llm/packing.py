@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import settled, table
 
 WINDOW, END = 4096, 2
-#: Words whose ids a worker remembers: more take memory, and caches of the processor.
-HELD = 150_000
+#: Words whose ids a worker remembers: fewer take less memory and more time.
+HELD = 800_000
+_kept: dict[tuple[str, int], "Ids"] = {}
 #: Letters up to U+024F and common punctuation: composed already, and one character's lower case does not depend on its
 #: neighbours. Without the separators on which patterns' white space differs.
 _PLAIN = re.compile(r"[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*(?:[\u2010-\u2027\u2030-\u205e\u20ac]+[^\x1c-\x1f\u0250-\uffff\U00010000-\U0010ffff]*)*")
@@ -89,12 +90,14 @@ class Ids:
         return out
 
 
-def _pieces(path: str, window: int, end: int, held: int):
+def _pieces(path: str, window: int, end: int, held: int, keep: bool):
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids = Ids(path, held)
+        ids = _kept.get((path, held)) or Ids(path, held)
+        if keep:
+            _kept[path, held] = ids
         for batch in batches:
             docs, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, batch.num_rows, 200):
@@ -107,8 +110,9 @@ def _pieces(path: str, window: int, end: int, held: int):
                         for to, x in zip(out, (a + i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                             to.append(x)
                 yield pa.record_batch([docs.take(pa.array(out[0])), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        del ids
-        settled()
+        if not keep:
+            del ids
+            settled()
     return run
 
 
@@ -210,15 +214,16 @@ def _placed(rows: list[tuple[int, int, int, int, int]]):
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD, keep: bool = True) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer is the path of its file, which every executor has. A null text is an empty one: its only id is the end id.
+    tokenizer is the path of its file, which every executor has. A worker remembers the ids of ``held`` words, with ``keep``
+    from task to task. A null text is an empty one: its only id is the end id.
     Rows that repeat are packed each. Offsets in a sequence have no gaps and start at 0. Other columns are ignored; an empty
     table gives no piece.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held), _PIECE).withColumn("task", F.spark_partition_id()), "pieces")
+    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held, keep), _PIECE).withColumn("task", F.spark_partition_id()), "pieces")
     counts = table(pieces.groupBy("task", "length").count(), "lengths")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # window rows at most
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
