@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.plans.staging import shared_dir
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,18 +32,6 @@ def settled() -> None:
         return
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
