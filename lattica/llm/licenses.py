@@ -33,6 +33,29 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "LicenseRef-proprietary": ["All rights reserved"],
 }
+#: The usual sentences that name a licence, and the names that stand in them.
+_STATEMENTS = (
+    "Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "Licensed under the terms of {}", "Released under the terms of {}",
+    "Distributed under the terms of {}", "This work is licensed under {}", "This work is released under {}", "This project is licensed under {}",
+)
+_NAMES = {
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 License"],
+    "MIT": ["the MIT License"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GPL version 3", "the GPLv3"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GPL version 2", "the GPLv2"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the LGPLv3"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the AGPLv3"],
+    "BSD-3-Clause": ["the BSD 3-Clause License"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the MPL 2.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+    "ISC": ["the ISC License"],
+    "Unlicense": ["the Unlicense"],
+}
+for _id, _names in _NAMES.items():
+    TEMPLATES[_id] += [x for n in _names for x in (form.format(n) for form in _STATEMENTS) if x not in TEMPLATES[_id]]
 _FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-].*)?$"
 
 

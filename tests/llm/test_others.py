@@ -1,5 +1,7 @@
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -195,3 +197,37 @@ def test_anchors_are_necessary():
     held = set(licenses.anchors(forms, 0.75))
     for v in forms.values():
         assert sum(x * x for w, x in v.items() if w not in held) < 0.75**2
+
+
+PLANTED = {
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "LicenseRef-proprietary",
+}
+
+
+def test_planted_statements_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "concat('/', doc_id) path").dropDuplicates(["doc_id"])
+    bags = {r.doc_id: [Counter(re.findall("[a-z0-9]+", x.lower())) for x in {r.text or "", *(r.text or "").split("\n")}] for r in docs.collect()}
+    df = Counter(w for lines in bags.values() for w in set().union(*lines))
+    forms = [(n, Counter(re.findall("[a-z0-9]+", f.lower()))) for n, of in licenses.TEMPLATES.items() for f in of]
+    idf = lambda w: math.log((len(bags) + 1) / (df[w] + 1)) + 1
+    rare = max(idf(w) for _, f in forms for w in f)
+    known = {w for _, f in forms for w in f}
+    size = lambda bag: math.sqrt(sum((n * (idf(w) if w in known else rare)) ** 2 for w, n in bag.items()))
+    forms = [(n, f, size(f)) for n, f in forms]
+    best = {}
+    for i, lines in bags.items():
+        for bag in lines:
+            if "license" in bag or "reserved" in bag or "cc" in bag:
+                s = size(bag)
+                for n, f, t in forms:
+                    cosine = sum(k * bag[w] * idf(w) ** 2 for w, k in f.items()) / (s * t)
+                    if cosine >= 0.75:
+                        best.setdefault(i, {}).update({n: max(cosine, best.get(i, {}).get(n, 0))})
+    got = {r.doc_id: r for r in licenses.scan(docs).where("license_from = 'own'").collect()}
+    assert set(got) == set(best)
+    for i, r in got.items():
+        assert r.license_score == pytest.approx(max(best[i].values())) and best[i][r.license] == pytest.approx(r.license_score)
+    planted = {r.doc_id: {n for x, n in PLANTED.items() if x in (r.text or "").split("\n")} for r in docs.collect()}
+    assert {n for x in planted.values() for n in x} == set(PLANTED.values())
+    assert all(got[i].license in x and got[i].license_score == 1 for i, x in planted.items() if x)
