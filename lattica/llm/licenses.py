@@ -1,19 +1,26 @@
 """Licence scan: sparse TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
-Every line of a text, and the text as a whole, is a vector of its words. Weights of words come from their document
-frequency over all texts. The cosine with each template is a sparse product: words are joined with the template's
-words. Only texts with an anchor are cut into lines: a template's anchors are its heaviest words, as many as it takes that
-no line without them can reach the threshold. A file without a licence takes the one of the nearest directory
-above it that holds a licence file: a file that is a licence as a whole, or whose name says so.
+Every line of a text, the text as a whole, and for each template every run of as many words as it has, across lines
+and sentences, is a vector of its words. Weights of words come from their document frequency over all texts. A task
+compares its texts' spans with the templates. Only texts with an anchor are compared: a template's anchors are its heaviest words, as many
+as it takes that no span without them can reach the threshold. A file without a licence takes the one of the nearest directory
+above it that holds a licence file: a file that is a licence as a whole, that begins with a licence's title, or whose
+name says so.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled, table
+
 THRESHOLD = 0.75
 #: Statements by which texts name their licence, by SPDX identifier.
 TEMPLATES = {
@@ -56,6 +63,71 @@ _NAMES = {
 }
 for _id, _names in _NAMES.items():
     TEMPLATES[_id] += [x for n in _names for x in (form.format(n) for form in _STATEMENTS) if x not in TEMPLATES[_id]]
+#: Headers and whole texts of licences; names and years of holders vary.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+_GNU = "{p} is free software: you can redistribute it and/or modify it under the terms of the GNU {n} as published by the Free Software Foundation"
+_GNU_END = "{p} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {n} for more details. You should have received a copy of the GNU {n} along with this {q}"
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD = f"{_BSD_START}: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_END = "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_END = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    """The standard header of a GNU licence: with any later version and without, by its first sentence and as a whole."""
+    out = []
+    for p, q in (("This program", "program"), ("This library", "library"), ("This file", "program")):
+        start = _GNU.format(p=p, n=name)
+        for sentence in (f"{start}; either version {version} of the License, or (at your option) any later version.", f"{start}; version {version} of the License.", f"{start}, version {version}."):
+            out += [sentence, f"{sentence} {_GNU_END.format(p=p, q=q, n=name)}"]
+    return out
+
+
+_TEXTS = {
+    "Apache-2.0": [_APACHE, f"{_APACHE} {_APACHE_END}"],
+    "MIT": [_MIT, f"{_MIT} {_AS_IS} {_MIT_END}", f"MIT License Copyright (c) {_MIT} {_AS_IS} {_MIT_END}"],
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "GPL-2.0": _gnu("General Public License", "2"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1"),
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "BSD-3-Clause": [f"{_BSD} {_BSD_3}", f"{_BSD} {_BSD_3} {_BSD_END}", f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD} {_BSD_3} {_BSD_END}"],
+    "BSD-2-Clause": [_BSD, f"{_BSD} {_BSD_END}", f"BSD 2-Clause License Copyright (c) All rights reserved. {_BSD} {_BSD_END}"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "ISC": [_ISC, f"{_ISC} {_ISC_END}", f"ISC License Copyright (c) {_ISC} {_ISC_END}"],
+    "Unlicense": [_UNLICENSE],
+}
+#: Heads of licence files too long to stand here; a text that begins with one is a licence file.
+_TITLES = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "Apache License Version 2.0, January 2004"],
+    "GPL-3.0": [f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF}", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": [f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_FSF}", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": [f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF}", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": [f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_FSF}", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "AGPL-3.0": [f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF}", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal"],
+    "Unlicense": [_UNLICENSE],
+    "MIT": ["The MIT License (MIT) Copyright (c)"],
+}
+TEMPLATES |= {"LGPL-2.1": [x.format("the GNU Lesser General Public License, version 2.1") for x in _STATEMENTS], "BSD-2-Clause": [x.format("the BSD 2-Clause License") for x in _STATEMENTS]}
+#: SPDX tags; all words of the identifier must be in a span, as the rest of a tag alone comes near the threshold.
+_TAGS = {n: [f"SPDX-License-Identifier: {n}{x}" for x in (("", "-only", "-or-later") if "GPL" in n else ("",))] for n in TEMPLATES if not n.startswith("LicenseRef")}
+for _of in (_TEXTS, _TITLES, _TAGS):
+    for _id, _names in _of.items():
+        TEMPLATES[_id] += [x for x in _names if x not in TEMPLATES[_id]]
 _FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-].*)?$"
 
 
@@ -64,7 +136,7 @@ def words_of(text: Column) -> Column:
 
 
 def _words(text: str) -> list[str]:
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    return re.findall("[a-z0-9]+", text.lower())
 
 
 def frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, int]]:
@@ -103,33 +175,111 @@ def anchors(forms: dict[tuple[str, int], dict[str, float]], threshold: float) ->
     return sorted(out)
 
 
+def _compared(forms: dict[tuple[str, int], dict[str, float]], idf: dict[str, float], other: float, threshold: float):
+    """(key, path, license, license_score, whole) of each text with a span that reaches the threshold."""
+    keys = list(forms)
+    place = {w: i for i, w in enumerate(idf)}
+    y = np.zeros((len(keys), len(place) + 1))  # the last column is any other word
+    for k, v in enumerate(forms.values()):
+        for w, x in v.items():
+            y[k, place[w]] = x
+    weights = np.array([*idf.values(), other])
+    text_of = [TEMPLATES[n][i] for n, i in keys]
+    length = [len(_words(t)) for t in text_of]
+    title = [t in _TITLES.get(n, ()) for (n, _), t in zip(keys, text_of, strict=True)]
+    # a tag's identifier, and what the clause has that makes three of two
+    needed = [{place[w] for w in (_words(n) if t in _TAGS.get(n, ()) else ("neither", "endorse") if _BSD_3 in t else ())} for (n, _), t in zip(keys, text_of, strict=True)]
+    # inside a longer text a run of a few words is a statement only with all of them
+    within = [{place[w] for w in _words(t)} if n <= 4 else must for t, n, must in zip(text_of, length, needed, strict=True)]
+    marks = [np.array([place[w] for w in anchors({k: v}, threshold)]) for k, v in forms.items()]
+    every = {place[w] for w in anchors(forms, threshold)}
+    # what texts of other licences hold too counts only without a better sign: a text that names a licence may reserve rights; of equals the first identifier
+    turn = {n: -i for i, n in enumerate(sorted(TEMPLATES))}
+    rank = [(0 if n == "LicenseRef-proprietary" else 1 if t == _BSD_START else 2 if t == _BSD else 3, turn[n]) for (n, _), t in zip(keys, text_of, strict=True)]
+
+    def size(ids: list[int]) -> float:
+        return math.sqrt(sum((c * weights[min(i, len(place))]) ** 2 for i, c in Counter(ids).items()))
+
+    def best(text: str) -> tuple[str, float, bool] | None:
+        local: dict[str, int] = {}
+        lines = [[place[w] if w in place else local.setdefault(w, len(place) + len(local)) for w in _words(line)] for line in text.split("\n")]
+        tokens = [i for line in lines for i in line]
+        if not tokens:
+            return None
+        ids = np.array(tokens, np.int64)
+        col = np.minimum(ids, len(place))
+        top = ()
+
+        def offer(k: int, cosine: float) -> None:
+            nonlocal top
+            top = max(top, (rank[k][0], round(cosine, 9), rank[k][1], keys[k][0]))
+
+        def spans(line: list[int]) -> bool:
+            at, c = np.unique(np.minimum(line, len(place)), return_counts=True)
+            cosines = y[:, at] @ (c * weights[at]) / size(line)
+            hit = [k for k in np.flatnonzero(cosines >= threshold - 1e-9).tolist() if round(cosines[k], 9) >= threshold and needed[k] <= set(line)]
+            for k in hit:
+                offer(k, cosines[k])
+            return bool(hit)
+
+        have = np.zeros(len(place) + 1, bool)
+        have[col] = True
+        whole = spans(tokens)
+        for line in {tuple(x) for x in lines}:
+            if not every.isdisjoint(line):
+                spans(list(line))
+        x = weights[col]
+        squares = np.concatenate(([0.0], np.cumsum(x * x)))
+        for k, n in enumerate(length):
+            if n > len(ids) or not have[marks[k]].any():
+                continue
+            dots = np.concatenate(([0.0], np.cumsum(x * y[k, col])))
+            # repeated words make a span only longer than this, so no cosine is greater
+            bound = (dots[n:] - dots[:-n]) / np.sqrt(squares[n:] - squares[:-n])
+            able = np.flatnonzero(bound >= threshold - 1e-9)
+            found = 0.0
+            for s in able[np.argsort(-bound[able], kind="stable")].tolist():
+                if found >= bound[s]:
+                    break
+                span = tokens[s : s + n]
+                cosine = (dots[s + n] - dots[s]) / size(span)
+                if cosine > found and round(cosine, 9) >= threshold and within[k] <= set(span):
+                    found = cosine
+            if found:
+                offer(k, found)
+            if title[k] and bound[0] >= threshold - 1e-9:
+                whole |= round((dots[n] - dots[0]) / size(tokens[:n]), 9) >= threshold
+        return (top[3], top[1], whole) if top else None
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                found = [(k, b) for k, t in enumerate(part.column("text").to_pylist()) if (b := best(t))]
+                own = part.select(["key", "path"]).take(pa.array([k for k, _ in found], pa.int64()))
+                yield pa.record_batch(
+                    [*own.columns, *(pa.array([b[i] for _, b in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))],
+                    names=["key", "path", "license", "license_score", "whole"],
+                )
+        settled()
+    return run
+
+
 def scan(files: DataFrame, *, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """files with license, license_score, license_from (own, a directory's path, or null).
 
-    A text's licence is that of its line, or of itself as a whole, of greatest cosine with a template, from threshold on; ties
-    go to the first identifier. Null and empty texts have none of their own; a null path inherits
+    A text's licence is that of its line, of its run of as many words as a template has, or of itself as a whole, of greatest
+    cosine with a template, from threshold on; ties go to the first identifier, and reserved rights count only where no
+    other is found. Null and empty texts have none of their own; a null path inherits
     nothing. Rows that repeat give a row each. Columns of files stay, but for the three of the result.
     """
-    spark = files.sparkSession
     files = files.drop("license", "license_score", "license_from")
     forms, idf, other = vectors(*frequencies(files, text))
     own = files.select(F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("path", "text"))
     some = own.where(F.arrays_overlap(words_of(F.col("text")), F.lit(anchors(forms, threshold))))
-    lines = some.select("key", "path", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("nth", "line"))
-    lines = lines.withColumn("w", words_of(F.col("line"))).where(F.arrays_overlap("w", F.lit(anchors(forms, threshold))))
-    terms = lines.select("key", "path", "nth", F.explode("w").alias("w")).groupBy("key", "path", "nth", "w").agg(F.count("*").alias("tf"))
-    weight = F.create_map(*[F.lit(x) for e in idf.items() for x in e])
-    terms = terms.withColumn("x", F.col("tf") * F.coalesce(F.try_element_at(weight, F.col("w")), F.lit(other)))
-    sizes = terms.groupBy("key", "path", "nth").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    entries = spark.createDataFrame([(n, i, w, x) for (n, i), v in forms.items() for w, x in v.items()], "name string, form int, w string, y double")
-    dots = terms.join(F.broadcast(entries), "w").groupBy("key", "path", "nth", "name", "form").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))  # a few hundred entries
-    scored = dots.join(sizes.withColumnsRenamed({"key": "k", "path": "p", "nth": "n"}), (F.col("key") == F.col("k")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("nth") == F.col("n")))
-    scored = scored.select("key", "path", "nth", "name", F.round(F.col("dot") / F.col("size"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
-    # greatest cosine, then the first identifier
-    turn = {n: -i for i, n in enumerate(sorted(TEMPLATES))}
-    scored = scored.withColumn("turn", F.create_map(*[F.lit(x) for e in turn.items() for x in e])[F.col("name")])
+    scored = some.select("key", "path", "text").mapInArrow(_compared(forms, idf, other, threshold), "key long, path string, license string, license_score double, whole boolean")
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(_FILE)
-    found = scored.groupBy("key", "path").agg(F.max_by("name", F.struct("cosine", "turn")).alias("license"), F.max("cosine").alias("license_score"), F.max((F.col("nth") == 0) | named).alias("whole"))
+    found = table(scored.withColumn("whole", F.col("whole") | F.coalesce(named, F.lit(False))), "licences")
     above = found.where("whole and path is not null").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "license", "license_score", F.col("path").alias("file"))
     above = above.groupBy("dir").agg(F.max_by(F.struct("license", "license_score"), F.struct("license_score", "file")).alias("above"))
     parts = F.split("path", "/")

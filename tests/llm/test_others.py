@@ -231,3 +231,26 @@ def test_planted_statements_by_brute_force(spark):
     planted = {r.doc_id: {n for x, n in PLANTED.items() if x in (r.text or "").split("\n")} for r in docs.collect()}
     assert {n for x in planted.values() for n in x} == set(PLANTED.values())
     assert all(got[i].license in x and got[i].license_score == 1 for i, x in planted.items() if x)
+
+
+def test_headers_files_and_spans(spark):
+    mit = "MIT License\n\nCopyright (c) 2021 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.\n"
+    gnu = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU {n} as published by\n# the Free Software Foundation; either version {v} of the License, or\n# (at your option) any later version.\n#\nimport os\n"
+    bsd = "Copyright (c) 2020, Jo. All rights reserved.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    cases = [
+        ("/m/text", mit, "MIT"), ("/g/text", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Preamble of many other words. " * 400, "GPL-3.0"),
+        ("/t/1", gnu.format(n="General Public License", v="2"), "GPL-2.0"), ("/t/2", gnu.format(n="General Public License", v="3"), "GPL-3.0"), ("/t/3", gnu.format(n="Lesser General Public License", v="2.1"), "LGPL-2.1"),
+        ("/t/4", gnu.format(n="Affero General Public License", v="3"), "AGPL-3.0"), ("/t/5", "// SPDX-License-Identifier: MIT\nint main", "MIT"), ("/t/6", "// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("/t/7", "Copyright 2019 Jo Doe. All rights reserved. Licensed under the MIT License. See LICENSE in the root for details and terms of use.", "MIT"),
+        ("/t/8", "The figures here were drawn by hand over a year. This work is licensed under a Creative Commons Attribution 4.0 International License. Mail us with any question about them.", "CC-BY-4.0"),
+        ("/t/9", "/* Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n */", "Apache-2.0"),
+        ("/t/10", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        ("/t/11", bsd, "BSD-2-Clause"), ("/t/12", bsd + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        ("/n/13", "SPDX-License-Identifier: Foo", None), ("/n/14", "All the rights of way over the hill are public", None), ("/t/15", "Copyright Jo. All rights reserved, whatever the use.", "LicenseRef-proprietary"),
+    ]
+    below = [("/m/src/a", "code"), ("/g/src/b", "code")]
+    prose = [(f"/p/{i}", " ".join(f"w{(i * 31 + j) % 97}" for j in range(40)) + " and the or of it to a in this any use by with is are") for i in range(300)]
+    df = spark.createDataFrame([c[:2] for c in cases] + below + prose, "path string, text string")
+    got = {r.path: (r.license, r.license_from) for r in licenses.scan(df).collect()}
+    assert [(p, got[p]) for p, _, _ in cases] == [(p, (n, n and "own")) for p, _, n in cases]
+    assert got["/m/src/a"] == ("MIT", "/m") and got["/g/src/b"] == ("GPL-3.0", "/g") and all(got[p] == (None, None) for p, _ in prose)
