@@ -36,8 +36,8 @@ def means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return flat.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("s")).select("label", F.transform("s", lambda e: e["x"]).alias("c"))
 
 
-def cosine_kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int = 100) -> DataFrame:
-    """(row, label): Lloyd rounds of cosine_step and means from k rows of least hash; a cluster left empty has a zero centre."""
+def cosine_kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int = 5000) -> DataFrame:
+    """(row, label): Lloyd rounds of cosine_step and means from k rows of least hash, until the centres stay; a cluster left empty has a zero centre."""
     spark = vectors.sparkSession
     own = vectors.select("row", F.transform("v", lambda x: x.cast("double")).alias("v"))
     start = own.where(dot("v", "v") > 0).orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(k).collect()

@@ -175,11 +175,12 @@ def pca(vectors: DataFrame, n: int) -> DataFrame:
     return own.mapInArrow(turn, "row long, v array<double>")
 
 
-def nmf(vectors: DataFrame, n: int, *, iterations: int = 50, seed: int = 0) -> tuple[DataFrame, np.ndarray, list[float]]:
+def nmf(vectors: DataFrame, n: int, *, iterations: int | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray, list[float]]:
     """((row, w) with w >= 0, H >= 0, loss per round) with v near w H: alternating multiplicative updates.
 
     H is n x d and goes to the tasks; rows bring their part of W'V and W'W (n x d and n x n sums), so a round is one pass and one
-    small aggregate. A row's start depends on its id and the seed only.
+    small aggregate. Rounds end when one lowers the loss by less than a millionth of the first loss; iterations, if given, is a limit besides.
+    A row's start depends on its id and the seed only.
     """
     own = staged(vectors.select(F.col("row").cast("long").alias("row"), F.transform("v", lambda x: x.cast("double")).alias("v")))
     d = own.select(F.size("v")).first()[0]
@@ -203,7 +204,7 @@ def nmf(vectors: DataFrame, n: int, *, iterations: int = 50, seed: int = 0) -> t
                     yield pa.record_batch([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "s"])
         return run
 
-    for _ in range(iterations):
+    while iterations is None or len(losses) < iterations:
         got = {r["k"]: r["s"] for r in own.mapInArrow(part(h), "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
         sums = np.array([got[i] for i in range(len(got))])
         losses.append(float(sums[-1]))

@@ -630,7 +630,7 @@ def cosine_lloyd_step(spark, d):
 def cosine_kmeans(spark, d):
     from lattica.operators.cluster import cosine_kmeans as run
 
-    return run(_vectors(spark, d, False), 5, seed=3, iterations=10)
+    return run(_vectors(spark, d, False), 5, seed=3)
 
 
 @query()
@@ -651,7 +651,7 @@ def pca_scores(spark, d):
 def nmf(spark, d):
     from lattica.operators.linalg import nmf as run
 
-    return run(_rows(spark, d), 3, iterations=10)[0]
+    return run(_rows(spark, d), 3)[0]
 
 
 def _nation_views(spark, d):

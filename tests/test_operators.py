@@ -146,3 +146,17 @@ def test_sparse(spark):
     for r in M.gram(coo(a)).collect():
         g[r.row, r.col] = r.x
     assert (g == a.T @ a).all()
+
+
+def test_queries_run_until_they_settle(spark, monkeypatch):
+    from lattica.plans import catalogue
+
+    d = "/root/testdata/sf0.1"
+    found = catalogue.QUERIES["cosine_kmeans"](spark, d).localCheckpoint()
+    vectors = catalogue._vectors(spark, d, False)
+    again = cluster.cosine_step(vectors, cluster.means(vectors, found))
+    assert again.join(found.withColumnRenamed("label", "was"), "row").where("label <> was").count() == 0
+    losses, run = [], linalg.nmf
+    monkeypatch.setattr(linalg, "nmf", lambda *a, **k: (out := run(*a, **k), losses.extend(out[2]))[0])
+    catalogue.QUERIES["nmf"](spark, "/root/testdata/sf0.01")
+    assert len(losses) > 50 and 0 <= losses[-2] - losses[-1] < 1e-6 * losses[0]
