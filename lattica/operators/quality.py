@@ -62,36 +62,41 @@ def silhouette_adjacent(vectors: DataFrame, adjacent: DataFrame) -> DataFrame:
     return both.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(top == 0, 1.0).otherwise(top))).alias("silhouette"))
 
 
-def _spread(vectors: DataFrame) -> DataFrame:
-    """(label, n, c centroid, q sum of squared lengths)."""
-    sums = _sums(vectors, ["label"], "v")
-    q = vectors.groupBy("label").agg(F.sum(dot("v", "v")).alias("q"))
-    return sums.join(q, "label").select("label", "n", "q", F.transform(F.struct("sum", "n")["sum"], lambda x: x / F.col("n")).alias("c"))
+def _spread(vectors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, n, c centroid, q sum of squared lengths)."""
+    sums = _sums(vectors, [*by, "label"], "v")
+    q = vectors.groupBy(*by, "label").agg(F.sum(dot("v", "v")).alias("q"))
+    return sums.join(q, [*by, "label"]).select(*by, "label", "n", "q", F.transform(F.struct("sum", "n")["sum"], lambda x: x / F.col("n")).alias("c"))
 
 
 def _distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def davies_bouldin(vectors: DataFrame) -> DataFrame:
-    """(dbi): mean over labels of the worst ratio of spreads to the distance of centroids; all labels count, 0 too."""
-    centres = _spread(vectors).select("label", "c")
-    intra = vectors.join(centres, "label").groupBy("label").agg(F.avg(_distance("v", "c")).alias("s")).join(centres, "label")
-    a, b = intra.select(F.col("label").alias("i"), F.col("s").alias("si"), F.col("c").alias("ci")), intra.select(F.col("label").alias("j"), F.col("s").alias("sj"), F.col("c").alias("cj"))
+def davies_bouldin(vectors: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(dbi), for each map of ``by``: mean over labels of the worst ratio of spreads to the distance of centroids; all labels count, 0 too."""
+    by = by or []
+    centres = _spread(vectors, by).select(*by, "label", "c")
+    intra = vectors.join(centres, [*by, "label"]).groupBy(*by, "label").agg(F.avg(_distance("v", "c")).alias("s")).join(centres, [*by, "label"])
+    a, b = intra.select(*by, F.col("label").alias("i"), F.col("s").alias("si"), F.col("c").alias("ci")), intra.select(*by, F.col("label").alias("j"), F.col("s").alias("sj"), F.col("c").alias("cj"))
     far = _distance("ci", "cj")
-    worst = a.join(b, F.col("i") != F.col("j")).groupBy("i").agg(F.max(F.when(far > 0, (F.col("si") + F.col("sj")) / F.when(far > 0, far).otherwise(1.0)).otherwise(0.0)).alias("r"))  # one row per pair of labels
-    return worst.agg(F.avg("r").alias("dbi"))
-
-
-def calinski_harabasz(vectors: DataFrame) -> DataFrame:
-    """(chi): dispersion between over within labels, each over its degrees of freedom; 1 if there is none within."""
-    per = _spread(vectors)
-    whole = _sums(vectors.withColumn("g", F.lit(1)), ["g"], "v").select(F.col("n").alias("all"), F.transform("sum", lambda x: x / F.col("n")).alias("centre"))
-    k = per.agg(F.count("*").alias("k"), F.sum(F.col("q") - F.col("n") * dot("c", "c")).alias("within"))
-    between = per.crossJoin(F.broadcast(whole)).groupBy("all").agg(F.sum(F.col("n") * F.pow(_distance("c", "centre"), 2)).alias("between"))  # whole has one row
-    both = between.crossJoin(F.broadcast(k))  # one row each
+    pairs = a.join(b, by).where("i <> j") if by else a.join(b, F.col("i") != F.col("j"))
+    worst = pairs.groupBy(*by, "i").agg(F.max(F.when(far > 0, (F.col("si") + F.col("sj")) / F.when(far > 0, far).otherwise(1.0)).otherwise(0.0)).alias("r"))  # one row per pair of labels
+    return worst.groupBy(*by).agg(F.avg("r").alias("dbi"))
+
+
+def calinski_harabasz(vectors: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(chi), for each map of ``by``: dispersion between over within labels, each over its degrees of freedom; 1 if there is none within."""
+    by = by or []
+    maps = by or ["g"]
+    own = vectors if by else vectors.withColumn("g", F.lit(1))
+    per = _spread(own, maps)
+    whole = _sums(own, maps, "v").select(*maps, F.col("n").alias("all"), F.transform("sum", lambda x: x / F.col("n")).alias("centre"))
+    k = per.groupBy(*maps).agg(F.count("*").alias("k"), F.sum(F.col("q") - F.col("n") * dot("c", "c")).alias("within"))
+    between = per.join(whole, maps).groupBy(*maps, "all").agg(F.sum(F.col("n") * F.pow(_distance("c", "centre"), 2)).alias("between"))
     within = F.col("within")
-    return both.select(F.when(within == 0, 1.0).otherwise(F.col("between") * (F.col("all") - F.col("k")) / F.when(within == 0, 1.0).otherwise(within * (F.col("k") - 1))).alias("chi"))
+    chi = F.when(within == 0, 1.0).otherwise(F.col("between") * (F.col("all") - F.col("k")) / F.when(within == 0, 1.0).otherwise(within * (F.col("k") - 1)))
+    return between.join(k, maps).select(*by, chi.alias("chi"))
 
 
 def metrics(vectors: DataFrame) -> DataFrame:
@@ -100,13 +105,16 @@ def metrics(vectors: DataFrame) -> DataFrame:
     return davies_bouldin(vectors).crossJoin(calinski_harabasz(vectors)).crossJoin(mean)  # one row each
 
 
-def sweep(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, homogeneity): mean homogeneity of the labels for each parameter point, all points in one plan."""
+def sweep(vectors: DataFrame, keys: list[str], subjects: list[str] | None = None) -> DataFrame:
+    """(keys, dbi, chi, homogeneity) of each parameter point, all points in one plan: the metrics of each subject's map (of the
+    point's one map without ``subjects``), averaged over the subjects. Homogeneity is the mean of the labels'; a metric that no map has is null."""
+    named = [*keys, *(subjects or [])]
+    maps = [f"_map{i}" for i in range(len(named))]  # keys may have the names of columns in between
+    vectors = vectors.select(*(F.col(a).alias(b) for a, b in zip(named, maps, strict=True)), "label", "v")
     own = vectors.where("label <> 0").withColumn("u", _unit("v"))
-    sums = _sums(own, [*keys, "label"], "u")
-    some = own.groupBy(*keys, "label").agg(F.sum(F.when(dot("v", "v") > 0, 1).otherwise(0)).alias("some"))
+    sums = _sums(own, [*maps, "label"], "u")
+    some = own.groupBy(*maps, "label").agg(F.sum(F.when(dot("v", "v") > 0, 1).otherwise(0)).alias("some"))
     n = F.col("n")
-    means = sums.join(some, [*keys, "label"]).select(*keys, F.when(n < 2, 1.0).otherwise((dot("sum", "sum") - F.col("some")) / F.when(n < 2, 1).otherwise(n * (n - 1))).alias("h"))
-    return means.groupBy(*keys).agg(F.avg("h").alias("homogeneity"))
-
-
+    means = sums.join(some, [*maps, "label"]).select(*maps, F.when(n < 2, 1.0).otherwise((dot("sum", "sum") - F.col("some")) / F.when(n < 2, 1).otherwise(n * (n - 1))).alias("h"))
+    each = calinski_harabasz(vectors, maps).join(davies_bouldin(vectors, maps), maps, "left").join(means.groupBy(*maps).agg(F.avg("h").alias("homogeneity")), maps, "left")
+    return each.groupBy(*(F.col(b).alias(a) for a, b in zip(keys, maps, strict=False))).agg(*(F.avg(m).alias(m) for m in ("dbi", "chi", "homogeneity")))

@@ -196,7 +196,25 @@ def calinski_harabasz(spark, d):
 
 @query(f"with {_PAIRS}, h as (select i % 3 k, li, avg(c) h from p where li = lj and i % 3 = j % 3 group by 1, 2) select k, round(avg(h), 6) homogeneity from h group by 1")
 def metric_sweep(spark, d):
-    return _r(Q.sweep(_vectors(spark, d).withColumn("k", F.col("unit") % 3), ["k"]), "homogeneity")
+    return _r(Q.sweep(_vectors(spark, d).withColumn("k", F.col("unit") % 3), ["k"]).select("k", "homogeneity"), "homogeneity")
+
+
+_KS = f"{_E}, x as (select unit, unit % 3 k, unit // 3 % 2 s, l, unnest(v) y, generate_subscripts(v, 1) p from e), c as (select k, s, l, p, avg(y) m from x group by 1, 2, 3, 4)"
+
+
+@query(f"""with {_KS}, o as (select *, unit % 3 k, unit // 3 % 2 sub from e),
+    pairs as (select a.k, a.sub, a.l, list_dot_product(a.v, b.v) / (a.s * b.s) c from o a join o b on a.unit <> b.unit and a.k = b.k and a.sub = b.sub and a.l = b.l),
+    h as (select k, sub s, avg(h) homogeneity from (select k, sub, l, avg(c) h from pairs group by 1, 2, 3) group by 1, 2),
+    dist as (select k, s, unit, l, sqrt(sum((y - m) ** 2)) d from x join c using (k, s, l, p) group by 1, 2, 3, 4), w as (select k, s, l, avg(d) r from dist group by 1, 2, 3),
+    far as (select a.k, a.s, a.l i, b.l j, sqrt(sum((a.m - b.m) ** 2)) f from c a join c b on a.k = b.k and a.s = b.s and a.p = b.p and a.l <> b.l group by 1, 2, 3, 4),
+    dbi as (select k, s, avg(r) dbi from (select far.k, far.s, i, max((a.r + b.r) / f) r from far join w a on a.k = far.k and a.s = far.s and a.l = i join w b on b.k = far.k and b.s = far.s and b.l = j group by 1, 2, 3) group by 1, 2),
+    g as (select k, s, p, avg(y) m from x group by 1, 2, 3), inner_ as (select k, s, sum(d * d) w from dist group by 1, 2), n as (select k, sub s, l, count(*) n from o group by 1, 2, 3),
+    size as (select k, s, sum(n) units, count(*) labels from n group by 1, 2), b as (select k, s, sum(n * (c.m - g.m) ** 2) b from c join g using (k, s, p) join n using (k, s, l) group by 1, 2)
+    select k, round(avg(dbi), 6) dbi, round(avg(b * (units - labels) / (w * (labels - 1))), 6) chi, round(avg(homogeneity), 6) homogeneity from b join inner_ using (k, s) join size using (k, s) join dbi using (k, s) join h using (k, s) group by 1""")
+def metric_sweep_means(spark, d):
+    """All three averages of a sweep: a point's maps are those of two subjects."""
+    v = _vectors(spark, d).withColumns({"k": F.col("unit") % 3, "subject": F.expr("unit div 3 % 2")})
+    return _r(Q.sweep(v, ["k"], ["subject"]), "dbi", "chi", "homogeneity")
 
 
 def _flat(df):

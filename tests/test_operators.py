@@ -160,3 +160,26 @@ def test_queries_run_until_they_settle(spark, monkeypatch):
     monkeypatch.setattr(linalg, "nmf", lambda *a, **k: (out := run(*a, **k), losses.extend(out[2]))[0])
     catalogue.QUERIES["nmf"](spark, "/root/testdata/sf0.01")
     assert len(losses) > 50 and 0 <= losses[-2] - losses[-1] < 1e-6 * losses[0]
+
+
+def test_sweep_has_all_three_metrics(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, p, s, int(k), (rng.normal(size=5) + k).tolist()) for i, (p, s, k) in enumerate((p, s, k) for p in (0, 1) for s in (0, 1) for k in (0, 1, 2, 3) for _ in range(8))]
+    df = spark.createDataFrame(rows, "unit long, point int, subject int, label int, v array<double>")
+
+    def brute(x, lab):
+        ids = np.unique(lab)
+        c = np.array([x[lab == i].mean(axis=0) for i in ids])
+        s = np.array([np.linalg.norm(x[lab == i] - c[k], axis=1).mean() for k, i in enumerate(ids)])
+        dbi = np.mean([max((s[a] + s[b]) / np.linalg.norm(c[a] - c[b]) for b in range(len(ids)) if a != b) for a in range(len(ids))])
+        within = sum(((x[lab == i] - c[k]) ** 2).sum() for k, i in enumerate(ids))
+        between = sum((lab == i).sum() * ((c[k] - x.mean(axis=0)) ** 2).sum() for k, i in enumerate(ids))
+        n = x / np.linalg.norm(x, axis=1)[:, None]
+        h = [((n[lab == i].sum(axis=0) ** 2).sum() - (lab == i).sum()) / ((lab == i).sum() * ((lab == i).sum() - 1)) for i in ids if i]
+        return dbi, between * (len(x) - len(ids)) / (within * (len(ids) - 1)), np.mean(h)
+
+    of = lambda p, s: brute(*(np.array([r[c] for r in rows if r[1] == p and r[2] in s]) for c in (4, 3)))
+    assert {r.point: (r.dbi, r.chi, r.homogeneity) for r in Q.sweep(df, ["point"]).collect()} == {p: pytest.approx(of(p, (0, 1))) for p in (0, 1)}
+    assert {r.point: (r.dbi, r.chi, r.homogeneity) for r in Q.sweep(df, ["point"], ["subject"]).collect()} == {p: pytest.approx(np.mean([of(p, (0,)), of(p, (1,))], axis=0)) for p in (0, 1)}
+    one = df.where("point = 0 and subject = 0")
+    assert tuple(Q.metrics(one).first()) == pytest.approx(of(0, (0,)))
