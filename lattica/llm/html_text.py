@@ -84,7 +84,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             links -= element == "a"
         del stack[i:]
 
-    at, size = 0, len(page)
+    at, size, endless = 0, len(page), set()
     while at < size:
         tag = _TAG.search(page, at)
         upto = tag.start() if tag else size
@@ -108,8 +108,11 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
                     close(i)
                     break
         elif name in _RAW_END:
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else size
+            if name not in ("svg", "math") or not tag[3].endswith("/"):  # these may close themselves
+                end = None if name in endless else _RAW_END[name].search(page, at)
+                if not end:
+                    endless.add(name)
+                at = end.end() if end else at if name in ("svg", "math", "object", "audio", "video", "canvas") else size
         elif name not in _VOID and not tag[3].endswith("/"):
             is_article = name in ("article", "main") or 'role="main"' in tag[3]
             entry = (name, _unwanted(name, tag[3], articles > 0), is_article)

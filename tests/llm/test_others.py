@@ -254,3 +254,11 @@ def test_headers_files_and_spans(spark):
     got = {r.path: (r.license, r.license_from) for r in licenses.scan(df).collect()}
     assert [(p, got[p]) for p, _, _ in cases] == [(p, (n, n and "own")) for p, _, n in cases]
     assert got["/m/src/a"] == ("MIT", "/m") and got["/g/src/b"] == ("GPL-3.0", "/g") and all(got[p] == (None, None) for p, _ in prose)
+
+
+def test_raw_elements_that_close_themselves_or_never():
+    text = lambda page: " ".join(t for _, t in html_text.blocks_of(page))
+    assert text("<p>one <svg viewBox='0 0 1 1'/> two</p><p>three <svg><text>no</text></svg> four</p>") == "one two three four"
+    assert text("<p>one <math/> two</p>") == "one two"
+    assert text("<p>one <canvas> two</p>") == text("<p>one <object data=x> two</p>") == "one two"
+    assert text("<p>one</p><script src=x />no</script><p>two</p>") == "one two" and text("<p>one</p><script>no") == "one"
