@@ -60,7 +60,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Neither a fitted machine's scores nor token ids have an SQL form; tests compare every stage with a brute-force version.
+#: Neither a fitted machine's scores nor token ids have an SQL form; tests check which documents each stage keeps on a small fixture.
 ORACLE_SQL = None
 
 
