@@ -181,8 +181,10 @@ def _elements(size: int):
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                found = [elements_of(t.as_py(), size).tobytes() for t in batch.column("text").slice(a, 256)]
-                yield pa.record_batch([batch.column("id").slice(a, 256), batch.column("sig").slice(a, 256), pa.array(found, pa.binary())], names=["rep", "sig", "elements"])
+                texts = batch.column("text").slice(a, 256).to_pylist()
+                found = [elements_of(t, size).tobytes() for t in texts]
+                words = [xxhash.xxh3_128_digest(" ".join(words_of(t))) for t in texts]
+                yield pa.record_batch([batch.column("id").slice(a, 256), pa.array(words, pa.binary()), pa.array(found, pa.binary())], names=["rep", "words", "elements"])
         _hashes.clear()
         settled()
     return run
@@ -283,8 +285,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     crowded = table(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1").select(F.col("bucket").alias("k"), "hub"), "crowded")
     members = table(spread.join(crowded, F.col("bucket") == F.col("k")).select("bucket", "rep", "hub"), "members")
     meant = members.select(F.col("rep").alias("id")).distinct()
-    texts = own.join(meant, "id").join(signed.select("id", "sig"), "id").groupBy("id").agg(F.min("sig").alias("sig"), F.min("text").alias("text"))
-    texts = table(texts.mapInArrow(_elements(size), "rep long, sig binary, elements binary"), "texts")
+    # a row for each of the texts of an id: texts with the same words have the same signature
+    texts = own.join(meant, "id").mapInArrow(_elements(size), "rep long, words binary, elements binary")
+    texts = texts.groupBy("rep", "words").agg(F.min("elements").alias("elements"))
+    texts = texts.join(signed.groupBy(F.col("id").alias("rep"), "words").agg(F.min("sig").alias("sig")), ["rep", "words"])
+    texts = table(texts.select("rep", "sig", "elements"), "texts")
 
     left, right = (texts.withColumnsRenamed({"rep": x, "sig": f"s{x}", "elements": f"e{x}"}) for x in ("a", "b"))
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()

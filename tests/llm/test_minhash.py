@@ -71,3 +71,12 @@ def test_empty_and_null_ids(spark, none):
     assert near_duplicates(none).collect() == []
     rows = near_duplicates(spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (4, None)], "doc_id long, text string")).collect()
     assert len(rows) == 4 and all(r.kept for r in rows)
+
+
+def test_texts_that_share_an_id(spark):
+    rows = []
+    for i in range(0, 40, 2):
+        one, two = ([f"{k}{i}_{j}" for j in range(100)] for k in "ab")
+        rows += [(i, " ".join(one)), (i, " ".join(two)), (i + 1, " ".join([*(one if i % 4 else two)[:98], "x", "y"]))]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
