@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settled, table
 
-PIECE = 1 << 20
+#: Bytes hashed at once; tables of powers are twice as long.
+PIECE = 1 << 18
 BLOCK = 16
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 13)]
@@ -121,7 +122,6 @@ def _anchored(threshold: int, gram: int):
     def run(batches):
         for batch in batches:
             data, offsets = _buffers(batch.column("text"))
-            lens = np.diff(offsets)
             for at, to in _pieces(offsets, threshold):
                 if to - at < threshold:
                     continue
@@ -139,7 +139,7 @@ def _anchored(threshold: int, gram: int):
                         [batch.column("id").take(took), batch.column("th").take(took), pa.array(start[cut] + at - offsets[row[cut]]), pa.array(n[cut].astype(np.int32)), pa.array((spot - start)[cut].astype(np.int32)), *(pa.array(x[cut].view(np.int64)) for x in (digit, whole))],
                         names=["id", "th", "s", "n", "off", "digit", "whole"],
                     )
-            del lens
+        settled()
     return run
 
 
@@ -158,6 +158,7 @@ def _cut_out(threshold: int):
                 took, lo = pa.array(row[cut]), offsets[row[cut]] + s[cut]
                 parts = [data[x:y].tobytes() for x, y in zip(lo, lo + n[cut] + threshold - 1, strict=True)]
                 yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), *(pa.array(x[cut]) for x in (s, n, off)), pa.array(parts, pa.binary())], names=["id", "th", "s", "n", "off", "part"])
+        settled()
     return run
 
 
@@ -180,6 +181,7 @@ def _blocks(threshold: int):
                 row, lo, size, digit, whole = (np.concatenate(x) for x in out)
                 took = pa.array(row)
                 yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), pa.array(lo), pa.array(size.astype(np.int32)), batch.column("s").take(took).cast(pa.int32()), pa.array(digit), pa.array(whole)], names=["id", "th", "s", "n", "off", "digit", "whole"])
+        settled()
     return run
 
 
@@ -202,6 +204,7 @@ def _windows(threshold: int):
                 row, p, d, w = (np.concatenate(x) for x in out)
                 took = pa.array(row)
                 yield pa.record_batch([batch.column("id").take(took), batch.column("th").take(took), pa.array(p), pa.array(d), pa.array(w)], names=["id", "th", "s", "digit", "whole"])
+        settled()
     return run
 
 
@@ -232,6 +235,7 @@ def _kept(threshold: int):
                     sha.update(text[x:y])
                 removed.append(int((b - a).sum())), spans.append(len(a)), digests.append(sha.hexdigest())
             yield pa.record_batch([batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        settled()
     return run
 
 
@@ -267,8 +271,11 @@ def repeated_windows(docs: DataFrame, *, threshold: int = 400, gram: int = 100)
     held = parts.join(unlike, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")) & (F.col("s") == F.col("at"))).select("id", "th", "s", "part", "runs")
     tried = table(held.mapInArrow(_windows(threshold), "id long, th int, s long, digit long, whole long"), "windows")
     twice = table(tried.groupBy("digit", "whole").count().where("count > 1").select(F.col("digit").alias("d"), F.col("whole").alias("w")), "twice")
-    single = tried.join(twice, (F.col("digit") == F.col("d")) & (F.col("whole") == F.col("w")), "left_semi").select("id", "th", "s", F.lit(1).alias("n"))
-    return whole.union(block).union(single)
+    single = tried.join(twice, (F.col("digit") == F.col("d")) & (F.col("whole") == F.col("w")), "left_semi").select("id", "th", "s").distinct()
+    # neighbouring windows become one row: a place less its rank is the same all along a run
+    run = F.col("s") - F.row_number().over(Window.partitionBy("id", "th").orderBy("s"))
+    joined = single.select("id", "th", "s", run.alias("run")).groupBy("id", "th", "run").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("n"))
+    return whole.union(block).union(joined.select("id", "th", "s", "n"))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 400, gram: int = 100) -> DataFrame:
