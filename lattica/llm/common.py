@@ -20,6 +20,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free(df: DataFrame) -> str:
+    """A beginning of names that no column of df has."""
+    start = "_"
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start
+
+
 def settled() -> None:
     """Gives a Python worker's free memory back at the end of a task: workers live on beside the executor's heap."""
     import pyarrow as pa

@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in built-in functions only.
 
-Base spans are the matches of four fixed patterns that pass their checks. Wider patterns propose more
-candidates. Four labelers vote on every candidate (base pattern, gazetteer, context words, checksum);
-expectation-maximisation estimates each labeler's reliability per kind from the counts of the 16 possible
+Base spans are the matches of four fixed patterns that pass their checks. Candidates are these matches, the matches
+that fail, and those of wider patterns, among them a fifth kind: secrets such as tokens and keys. Four labelers vote on
+every candidate, none of which knows whether it is a base span: its written form, a gazetteer, context words, and
+a checksum. Expectation-maximisation estimates each labeler's reliability per kind from the counts of the 16 possible
 votes; its posteriors are the soft labels on which a naive-Bayes span classifier over hashed context and
 shape features is trained. Candidates the classifier accepts are added; base spans always stay.
 """
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free, let, table
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Base patterns. A possessive run that starts where the last match ended, or after a character outside the
 #: run, matches just what the plain pattern matches, without trying every suffix of a long run.
 BASE = {
@@ -23,25 +24,43 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wider patterns for candidates: spelled-out addresses, digit groups with other separators, local numbers.
+#: Wider patterns for candidates: spelled-out addresses, long and defanged network addresses, digit groups with other
+#: separators, local numbers and numbers with a trunk prefix, runs as long as keys.
 WIDE = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}|[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3})(?![0-9A-Za-z:.])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20./-]{1,2}[0-9]{4}){2}[\x20./-]{1,2}[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![+0-9)] ?)(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![+0-9)] ?)(?:(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9]{1,2}(?:[ .-][0-9]{2,4}){2,4})(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/-]{0,127}[0-9])(?=[0-9_+/-]{0,127}[A-Za-z])[A-Za-z0-9_+/-]{20,128}+(?![A-Za-z0-9_+/@-])",
 }
-#: Context words that a labeler looks for near a candidate.
-CUES = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|correo|courriel)\b",
-    "ip": r"(?i)\b(?:ip|host|address|server|login|from)\b",
-    "card": r"(?i)\b(?:card|visa|credit|debit|amex|mastercard|tarjeta|carte|karte)\b",
-    "phone": r"(?i)\b(?:phone|call|tel|fax|mobile|cell|whatsapp|telefon|tel[eé]fono)\b",
+#: What the written form labeler takes for well written.
+FORM = {
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:@|[\[(]at[\])]) ?(?:[A-Za-z0-9-]{1,63}(?:\.| ?[\[(]dot[\])] ?))+[A-Za-z]{2,24}$",
+    "ip": r"^(?:(?:(?:0|[1-9][0-9]{0,2})(?:\.|\[\.\])){3}(?:0|[1-9][0-9]{0,2})|[0-9A-Fa-f:]{7,39})$",
+    "card": r"^(?:[0-9]{14,16}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$",
+    "phone": r"^(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9 .-]+)$",
+    "secret": r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35})$",
 }
-#: Gazetteer: top-level domains, card issuers' first digits, country codes, private and loopback networks' complement.
-GAZETTEER = {
-    "email": r"(?i)(?:\.|[\[(]dot[\])]) ?(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|us|it|nl|ch|at)$",
-    "ip": r"^(?!0\.|127\.|255\.)",
-    "card": r"^(?:3[47]|4|5[1-5]|6(?:011|5)|2[2-7])",
-    "phone": r"^(?:\+(?:1|33|34|39|4[0-9]|7|81|86|91)|\(?[2-9])",
+#: Fixed values, the gazetteers: generic and country top-level domains; beginnings of addresses that name no host in public; issuers'
+#: first digits; country calling codes; lengths of digests and keys.
+TLDS = (
+    "com org net edu gov mil int info biz name pro io ai app dev cloud online site shop tech me tv cc eu us ca mx br ar cl co pe uk ie fr de es pt it nl be lu ch at dk se no fi is pl cz sk hu ro bg gr hr si rs ua ru by "
+    "lt lv ee tr il sa ae eg za ng ke ma in pk bd lk cn hk tw jp kr sg my th vn id ph au nz"
+).split()
+NOT_PUBLIC = ("0.", "10.", "127.", "169.254.", "192.168.", "192.0.0.", "198.18.", "198.19.", "255.", "fe80:", "fc", "fd", "::")
+ISSUERS = ("34", "37", "36", "38", "4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "6011", "65", "644", "645", "646", "647", "648", "649", "3528", "353", "354", "355", "356", "357", "358", "62", "5018", "5020", "5038", "6304")
+CALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 220 221 233 234 249 251 254 255 256 260 263 351 352 353 354 355 356 "
+    "357 358 359 370 371 372 373 374 375 380 381 385 386 387 389 420 421 502 503 504 505 506 507 591 593 595 598 852 853 855 880 886 961 962 963 964 965 966 967 968 971 972 973 974 977 992 993 994 995 996 998"
+).split()
+KEY_LENGTHS = (20, 24, 32, 36, 39, 40, 44, 48, 56, 64, 86, 88, 96, 128)
+#: Context words that a labeler looks for near a candidate, in English, French, German and Spanish.
+CUES = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|correo|courriel|contacto|kontakt|schreib\w*|adresse)\b",
+    "ip": r"(?i)\b(?:ip|ipv[46]|host|address|server|login|from|serveur|adresse|servidor|direcci[oó]n)\b",
+    "card": r"(?i)\b(?:card|visa|credit|debit|amex|mastercard|tarjeta|carte|karte|kreditkarte)\b",
+    "phone": r"(?i)\b(?:phone|call|tel|fax|mobile|cell|whatsapp|telefon|tel[eé]fono|t[eé]l[eé]phone|handy|m[oó]vil|appelez)\b",
+    "secret": r"(?i)(?:token|passw(?:or)?d|passwort|secret|api.?key|access.?key|bearer|credential|contrase[nñ]a|mot de passe|schl[uü]ssel)",
 }
 EM_ROUNDS, BUCKETS, WINDOW = 25, 4096, 40
 _SPAN = "array<struct<kind:int,start:bigint,end:bigint,hit:string>>"
@@ -85,54 +104,74 @@ def _passes(span: Column) -> Column:
     return F.when(kind == 0, F.lit(True)).when(kind == 1, ip).when(kind == 2, card).otherwise(phone)
 
 
-def _by_kind(kind: Column, table: dict[str, str], at: Column) -> Column:
+def _by_kind(kind: Column, of: dict[str, Column]) -> Column:
     out = F.lit(False)
     for i, name in enumerate(KINDS):
-        out = F.when(kind == i, F.rlike(at, F.lit(table[name]))).otherwise(out)
-    return out
-
-
-def _inspected(docs: DataFrame, text: str) -> DataFrame:
-    """docs with ``_text``, ``_base`` spans and ``_cands``: candidates with votes and features."""
-    docs = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    digits, has = F.rlike("_text", F.lit("[0-9]")), lambda x: F.contains("_text", F.lit(x))
+        out = F.when(kind == i, of[name]).otherwise(out)
+    return F.coalesce(out, F.lit(False)).cast("int")
+
+
+def _votes(c: Column, around: Column) -> Column:
+    """The four labelers' votes on a candidate; each looks at its own evidence only."""
+    hit, kind = c["hit"], c["kind"]
+    begins = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.startswith(text, w))
+    code = F.regexp_replace(F.regexp_replace(hit, r"^(?:\+|00)", ""), "[^0-9]", "")
+    known = {
+        "email": F.array_contains(F.array(*map(F.lit, TLDS)), F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1))),
+        "ip": ~begins(F.lower(hit), NOT_PUBLIC),
+        "card": begins(_digits(hit), ISSUERS),
+        "phone": F.when(F.rlike(hit, F.lit(r"^(?:\+|00)")), begins(code, CALLING)).otherwise(F.rlike(hit, F.lit(r"^\(?[2-9]"))),
+        "secret": F.array_contains(F.array(*map(F.lit, KEY_LENGTHS)), F.length(hit)),
+    }
+    letters = lambda text: F.size(F.array_distinct(F.split(text, "")))
+    sums = {
+        "email": ~F.rlike(hit, F.lit(r"\.\.|[.-]@|@-|-\.|\.-|-$")),
+        "ip": F.forall(F.split(F.regexp_replace(hit, r"\[\.\]", "."), r"[.:]"), lambda p: F.when(F.contains(hit, F.lit(":")), F.length(p) <= 4).otherwise(F.rlike(p, F.lit("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")))),
+        "card": let(_digits(hit), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(F.lit(False))),
+        "phone": F.length(_digits(hit)).between(10, 15),
+        "secret": letters(F.lower(hit)) >= 10,
+    }
+    form = {name: F.rlike(hit, F.lit(FORM[name])) for name in KINDS}
+    cues = {name: F.rlike(around, F.lit(CUES[name])) for name in KINDS}
+    return F.array(_by_kind(kind, form), _by_kind(kind, known), _by_kind(kind, cues), _by_kind(kind, sums))
+
+
+def _inspected(docs: DataFrame, text: str, at: str) -> DataFrame:
+    """docs with, named from ``at`` on, the text, its base spans (base), and all candidates with votes and features: others (cands) and base ones (seen)."""
+    body, raw, more, base = (F.col(f"{at}{x}") for x in ("text", "raw", "more", "base"))
+    docs = docs.withColumn(f"{at}text", F.coalesce(F.col(text), F.lit("")))
+    digits, has = F.rlike(body, F.lit("[0-9]")), lambda x: F.contains(body, F.lit(x))
     can = {"email": has("@"), "ip": digits, "card": digits, "phone": has("+")}
-    wider = {"email": has("(at") | has("[at"), "card": digits, "phone": digits}
-    raw = [_matches(F.col("_text"), BASE[name], i, can[name]) for i, name in enumerate(KINDS)]
-    more = [_matches(F.col("_text"), WIDE[name], i, wider[name]) for i, name in enumerate(KINDS) if name in WIDE]
-    docs = docs.withColumn("_raw", F.concat(*raw)).withColumn("_more", F.concat(*more))
-    docs = docs.withColumn("_base", F.filter("_raw", _passes))
+    wider = {"email": has("(at") | has("[at"), "ip": (has(":") | has("[.]")) & digits, "card": digits, "phone": digits, "secret": digits}
+    every = [_matches(body, BASE[name], i, can[name]) for i, name in enumerate(KINDS) if name in BASE]
+    other = [_matches(body, WIDE[name], i, wider[name]) for i, name in enumerate(KINDS)]
+    docs = docs.withColumn(f"{at}raw", F.concat(*every)).withColumn(f"{at}more", F.concat(*other))
+    docs = docs.withColumn(f"{at}base", F.filter(raw, _passes))
     apart = lambda c, base: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    short = F.filter("_raw", lambda s: ~_passes(s) & (F.length(s["hit"]) >= 9))
-    docs = docs.withColumn("_others", F.filter(F.array_union(short, F.col("_more")), lambda c: apart(c, F.col("_base"))))
-
-    def voted(is_base):
-        def one(c):
-            left = F.substring(F.col("_text"), F.greatest(c["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(c["start"], F.lit(WINDOW)).cast("int"))
-            right = F.substring(F.col("_text"), (c["end"] + 1).cast("int"), F.lit(WINDOW))
-            return let(F.struct(left.alias("l"), right.alias("r")), lambda x: let(
-                F.array(
-                    F.lit(1 if is_base else 0),
-                    _by_kind(c["kind"], GAZETTEER, c["hit"]).cast("int"),
-                    _by_kind(c["kind"], CUES, F.concat(x["l"], F.lit(" "), x["r"])).cast("int"),
-                    (F.lit(True) if is_base else F.when(c["kind"] == 0, F.rlike(c["hit"], F.lit(r"(?i)[\[(]at[\])].+[\[(]dot[\])]"))).otherwise(_passes(c))).cast("int"),
-                ),
-                lambda v: F.struct(
-                    c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), v.alias("v"),
-                    F.transform(
-                        F.array(
-                            F.concat(F.lit("p:"), F.lower(F.regexp_extract(x["l"], r"(\S+)\s*$", 1))),
-                            F.concat(F.lit("n:"), F.lower(F.regexp_extract(x["r"], r"^\s*(\S+)", 1))),
-                            F.concat(F.lit("s:"), F.regexp_replace(F.regexp_replace(c["hit"], "[0-9]", "9"), "[A-Za-z]+", "a")),
-                            F.concat(F.lit("v:"), F.array_join(v.cast("array<string>"), "")),
-                        ),
-                        lambda f: (c["kind"] * BUCKETS + F.pmod(F.xxhash64(f), F.lit(BUCKETS))).cast("int"),
-                    ).alias("f"),
-                ),
-            ))
-        return one
-
-    return docs.withColumn("_cands", F.transform("_others", voted(False))).withColumn("_seen", F.transform("_base", voted(True)))
+    short = F.filter(raw, lambda s: ~_passes(s) & (F.length(s["hit"]) >= 9))
+    docs = docs.withColumn(f"{at}others", F.filter(F.array_union(short, more), lambda c: apart(c, base)))
+
+    def voted(c):
+        left = F.substring(body, F.greatest(c["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(c["start"], F.lit(WINDOW)).cast("int"))
+        right = F.substring(body, (c["end"] + 1).cast("int"), F.lit(WINDOW))
+        shape = F.when(c["kind"] == 4, F.concat_ws(".", F.length(c["hit"]).cast("string"), F.rlike(c["hit"], F.lit("^[0-9A-Fa-f]+$")).cast("string"))).otherwise(F.regexp_replace(F.regexp_replace(c["hit"], "[0-9]", "9"), "[A-Za-z]+", "a"))
+        return let(F.struct(left.alias("l"), right.alias("r")), lambda x: let(
+            _votes(c, F.concat(x["l"], F.lit(" "), x["r"])),
+            lambda v: F.struct(
+                c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), v.alias("v"),
+                F.transform(
+                    F.array(
+                        F.concat(F.lit("p:"), F.lower(F.regexp_extract(x["l"], r"(\S+)\s*$", 1))),
+                        F.concat(F.lit("n:"), F.lower(F.regexp_extract(x["r"], r"^\s*(\S+)", 1))),
+                        F.concat(F.lit("s:"), shape),
+                        F.concat(F.lit("v:"), F.array_join(v.cast("array<string>"), "")),
+                    ),
+                    lambda f: (c["kind"] * BUCKETS + F.pmod(F.xxhash64(f), F.lit(BUCKETS))).cast("int"),
+                ).alias("f"),
+            ),
+        ))
+
+    return docs.withColumn(f"{at}cands", F.transform(f"{at}others", voted)).withColumn(f"{at}seen", F.transform(base, voted))
 
 
 _POSTERIOR = """
@@ -158,43 +197,51 @@ _EM = f"""
 
 
 def reliabilities(cands: DataFrame) -> DataFrame:
-    """(kind, pats, m): the votes seen with their counts, prior and reliabilities after EM. At most 4 rows of 16 patterns."""
-    pats = cands.groupBy("kind", "v").agg(F.count("*").alias("n")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("pats"))
+    """(kind, pats, m): the votes seen with their counts, prior and reliabilities after EM. cands has (kind, v, n); at most 5 rows of 16 patterns come out."""
+    pats = cands.groupBy("kind", "v").agg(F.sum("n").alias("n")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("pats"))
     return pats.select("kind", "pats", F.expr(_EM).alias("m"))
 
 
 def _model(cands: DataFrame) -> DataFrame:
-    """One row: (prior, weight) of the classifier; prior has 4 entries, weight 4 x BUCKETS."""
+    """One row: (prior, weight) of the classifier; prior has an entry for each kind, weight BUCKETS for each. cands has (kind, v, f, n)."""
+    last = len(KINDS) - 1
     em = reliabilities(cands)
     soft = em.select("kind", F.explode(F.expr(f"zip_with(pats, {_POSTERIOR}, (p, q) -> struct(p.v as v, q as q))")).alias("x")).select(F.col("kind").alias("k"), "x.v", "x.q")
-    known = cands.groupBy("kind", "v", "f").agg(F.count("*").alias("n")).alias("c").join(F.broadcast(soft.alias("s")), F.expr("c.kind = s.k and c.v = s.v")).select("kind", "f", "n", "q")  # 64 rows at most
+    known = cands.alias("c").join(F.broadcast(soft.alias("s")), F.expr("c.kind = s.k and c.v = s.v")).select("kind", "f", "n", "q")  # 80 rows at most
     per = known.select("kind", F.explode("f").alias("f"), "n", "q").groupBy("kind", "f").agg(F.sum(F.expr("n * q")).alias("c1"), F.sum(F.expr("n * (1 - q)")).alias("c0"))
-    one = per.agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("c1", "c0")))).alias("w"), F.collect_list(F.struct("kind", "c1", "c0")).alias("t"))  # 4 x BUCKETS entries at most
-    sums = F.expr("transform(sequence(0, 3), k -> aggregate(filter(t, x -> x.kind = k), named_struct('c1', 0D, 'c0', 0D), (a, x) -> named_struct('c1', a.c1 + x.c1, 'c0', a.c0 + x.c0)))")
+    one = per.agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("c1", "c0")))).alias("w"), F.collect_list(F.struct("kind", "c1", "c0")).alias("t"))  # BUCKETS entries for each kind at most
+    sums = F.expr(f"transform(sequence(0, {last}), k -> aggregate(filter(t, x -> x.kind = k), named_struct('c1', 0D, 'c0', 0D), (a, x) -> named_struct('c1', a.c1 + x.c1, 'c0', a.c0 + x.c0)))")
     one = one.select("w", sums.alias("n"))
     # the four features of a candidate all count, so the class totals are a quarter of the sums
     prior = F.expr("transform(n, x -> log((x.c1 / 4 + 1) / (x.c0 / 4 + 1)))")
     return one.select(F.struct(
         prior.alias("prior"),
-        F.expr(f"transform(sequence(0, {4 * BUCKETS - 1}), i -> coalesce(transform(array(w[i]), x -> log(((x.c1 + 0.5) / (n[i div {BUCKETS}].c1 / 4 + 1)) / ((x.c0 + 0.5) / (n[i div {BUCKETS}].c0 / 4 + 1))))[0], 0D))").alias("weight"),
+        F.expr(f"transform(sequence(0, {len(KINDS) * BUCKETS - 1}), i -> coalesce(transform(array(w[i]), x -> log(((x.c1 + 0.5) / (n[i div {BUCKETS}].c1 / 4 + 1)) / ((x.c0 + 0.5) / (n[i div {BUCKETS}].c0 / 4 + 1))))[0], 0D))").alias("weight"),
     ).alias("model"))
 
 
+def votes(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """(kind, v, f, n): votes and features of all candidates with their number, written: the text is read once for the whole model."""
+    seen = _inspected(docs.select(F.col(text).alias("t")), "t", "_")
+    cands = seen.select(F.explode(F.concat("_cands", "_seen")).alias("c")).select("c.kind", "c.v", "c.f")
+    return table(cands.groupBy("kind", "v", "f").agg(F.count("*").alias("n")), "votes")
+
+
 def find_pii(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with ``base`` and ``spans``: arrays of (kind, start, end), code points, end exclusive, sorted by start, then kind.
+    """docs with ``base`` and ``spans``: arrays of (start, kind, end), code points, end exclusive, sorted by start, then kind.
 
     A null text is an empty one and has no span; every row gives one row, repeated rows included; a text may
-    be of any length. An added span never overlaps a base span. Without candidates nothing is added.
+    be of any length. An added span never overlaps a base span. Without candidates nothing is added. Columns
+    of docs stay, whatever their names, but for ``base`` and ``spans``, which the result's replace.
     """
-    seen = _inspected(docs.select(F.col(text).alias("_t")), "_t")
-    cands = seen.select(F.explode(F.concat("_cands", "_seen")).alias("c")).select("c.kind", "c.v", "c.f")
-    model = _model(cands).scalar()
-    made = _inspected(docs, text).withColumn("_model", F.when(F.size("_cands") > 0, model))
-    score = lambda c: F.aggregate(c["f"], F.get(F.col("_model.prior"), c["kind"]), lambda s, f: s + F.get(F.col("_model.weight"), f))
-    kept = F.filter("_cands", lambda c: F.coalesce(score(c) >= 0, F.lit(False)))
+    docs = docs.drop("base", "spans")
+    at = free(docs)
+    cands, base, model = (F.col(f"{at}{x}") for x in ("cands", "base", "model"))
+    made = _inspected(docs, text, at).withColumn(f"{at}model", F.when(F.size(cands) > 0, _model(votes(docs, text=text)).scalar()))
+    score = lambda c: F.aggregate(c["f"], F.get(model["prior"], c["kind"]), lambda s, f: s + F.get(model["weight"], f))
+    kept = F.filter(cands, lambda c: F.coalesce(score(c) >= 0, F.lit(False)))
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    made = made.withColumn("base", F.array_sort(F.transform("_base", bare))).withColumn("spans", F.array_sort(F.array_union(F.transform("_base", bare), F.transform(kept, bare))))
-    return made.drop("_text", "_raw", "_more", "_base", "_others", "_cands", "_seen", "_model")
+    return made.select(*(F.col(f"`{c}`") for c in docs.columns), F.array_sort(F.transform(base, bare)).alias("base"), F.array_sort(F.array_union(F.transform(base, bare), F.transform(kept, bare))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -204,13 +251,19 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by <KIND>; of overlapping spans the first one names the whole run."""
-    made = find_pii(docs, text=text).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    """docs with every span of the text replaced by <KIND>; of overlapping spans the first one names the whole run.
+
+    A text without spans stays as it is, null included; all columns stay, ``base`` and ``spans`` of the caller too.
+    """
+    at = free(docs)
+    body = F.coalesce(F.col(f"{at}t"), F.lit(""))
+    made = find_pii(docs.select(F.struct("*").alias(f"{at}whole"), F.col(text).alias(f"{at}t")), text=f"{at}t")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(
         s["end"].alias("at"),
-        F.concat(a["out"], F.array(F.substring(F.col("_t"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.get(names, s["kind"]))).alias("out"),
+        F.concat(a["out"], F.array(F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.get(names, s["kind"]))).alias("out"),
     )).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    clean = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("_t"), (a["at"] + 1).cast("int"), F.length("_t"))))
-    return made.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).drop("_t", "base", "spans")
+    clean = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
+    made = made.select(f"{at}whole", F.when(F.size("spans") > 0, clean).otherwise(F.col(f"{at}t")).alias(f"{at}clean"))
+    return made.select(*(F.col(f"{at}clean" if c == text else f"{at}whole.`{c}`").alias(c) for c in docs.columns))

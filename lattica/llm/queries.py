@@ -11,7 +11,7 @@ from .html_text import extract
 from .licenses import scan
 from .minhash import near_duplicates
 from .packing import pack
-from .pii import KINDS, find_pii, joined
+from .pii import BASE, KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
 from .toxicity import fit, score
 from .warc import round_trip
@@ -32,8 +32,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    many = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return made.select("doc_id", *many, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    many = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k in BASE]
+    return made.select("doc_id", *many, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
