@@ -51,18 +51,21 @@ def write_captures(captures: DataFrame, path: str, *, page_id: str = "page_id",
 
     Of rows with equal payloads of at least dedup_bytes bytes, the one with the least page_id is a response record, all others
     are revisit records without payload. A null payload is empty, a null url an empty one; a row with a null
-    page_id is a response. Rows that repeat a page_id are captures of their own. Other columns are ignored.
+    page_id is a response. Rows that repeat a page_id are captures of their own; of those with the same payload one is the response.
+    Every record has an id of its own, from the row's place in captures: where that can change from one read to the next, write
+    captures first. Other columns are ignored.
     """
     own = captures.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
-    own = own.withColumn("bytes", F.octet_length("payload").cast("long"))
+    own = own.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("nth", F.monotonically_increasing_id())
     # an equal digest is an equal payload; sizes below dedup_bytes take part with no other
-    firsts = own.where(F.col("bytes") >= dedup_bytes).groupBy(F.sha1("payload").alias("sha")).agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1").select("sha", "first")
+    firsts = own.where(F.col("bytes") >= dedup_bytes).groupBy(F.sha1("payload").alias("sha")).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "nth"))).alias("first"), F.count("*").alias("many")).where("many > 1").select("sha", "first")
     rows = own.withColumn("key", F.sha1("payload")).join(firsts, (F.col("key") == F.col("sha")) & (F.col("bytes") >= dedup_bytes), "left")
-    rows = rows.withColumn("again", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
-    # a response's id follows from its page and payload, so that revisits can name it; revisits are numbered
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("nth", F.monotonically_increasing_id())
-    page = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none-"), F.col("nth").cast("string")))
-    key = F.concat_ws(".", page, "digest", F.when(F.col("again"), F.col("nth").cast("string")))
+    rows = rows.withColumn("again", F.coalesce(F.col("first") < F.struct("id", "nth"), F.lit(False)) & F.col("id").isNotNull())
+    # the id of a response that revisits name follows from its page and payload; all others are numbered as well
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
+    page = F.coalesce(F.col("id").cast("string"), F.lit("none"))
+    named = F.coalesce(F.col("first") == F.struct("id", "nth"), F.lit(False))
+    key = F.concat_ws(".", page, "digest", F.when(~named, F.col("nth").cast("string")))
     name = lambda kind, key: F.concat(F.lit(f"<urn:{kind}:"), key, F.lit(">"))
     day = F.lit(date)
     host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
@@ -70,7 +73,7 @@ def write_captures(captures: DataFrame, path: str, *, page_id: str = "page_id",
     hub = name("capture", key)
     sha = F.concat(F.lit("sha1:"), F.col("digest"))
     response = _record("response", hub, F.col("url"), day, "application/http;msgtype=response", F.concat(http, F.col("payload")), ("WARC-Payload-Digest", sha))
-    revisit = _record("revisit", hub, F.col("url"), day, "application/http;msgtype=response", http, ("WARC-Payload-Digest", sha), ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", name("capture", F.concat_ws(".", F.col("first").cast("string"), "digest"))))
+    revisit = _record("revisit", hub, F.col("url"), day, "application/http;msgtype=response", http, ("WARC-Payload-Digest", sha), ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", name("capture", F.concat_ws(".", F.col("first.id").cast("string"), "digest"))))
     request = _record("request", name("request", key), F.col("url"), day, "application/http;msgtype=request", F.concat(F.lit("GET "), F.when(F.col("url") == "", "/").otherwise(F.col("url")), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)), ("WARC-Concurrent-To", hub))
     metadata = _record("metadata", name("metadata", key), F.col("url"), day, "application/warc-fields", F.concat(F.lit("pageId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")), ("WARC-Concurrent-To", hub))
     records = rows.select(F.explode(F.array(F.when(F.col("again"), revisit).otherwise(response), request, metadata)).alias("value"))
