@@ -4,8 +4,8 @@ Every line of a text, the text as a whole, and for each template every run of as
 and sentences, is a vector of its words. Weights of words come from their document frequency over all texts. A task
 compares its texts' spans with the templates. Only texts with an anchor are compared: a template's anchors are its heaviest words, as many
 as it takes that no span without them can reach the threshold. A file without a licence takes the one of the nearest directory
-above it that holds a licence file: a file that is a licence as a whole, that begins with a licence's title, or whose
-name says so.
+above it that holds a licence file: a file that is as a whole a licence's text or header of ``LONG`` words or more, that
+begins with a licence's title, or whose name says so. A file that only mentions a licence is none.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import free, settled, table
 
 THRESHOLD = 0.75
+#: Words that a template has at least for a text alike to be a licence file.
+LONG = 20
 #: Statements by which texts name their licence, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"],
@@ -176,7 +178,7 @@ def anchors(forms: dict[tuple[str, int], dict[str, float]], threshold: float) ->
 
 
 def _compared(forms: dict[tuple[str, int], dict[str, float]], idf: dict[str, float], other: float, threshold: float):
-    """(key, path, license, license_score, whole) of each text with a span that reaches the threshold."""
+    """(key, path, license, license_score, whole) of each text with a span that reaches the threshold; whole: it is a licence file."""
     keys = list(forms)
     place = {w: i for i, w in enumerate(idf)}
     y = np.zeros((len(keys), len(place) + 1))  # the last column is any other word
@@ -220,7 +222,7 @@ def _compared(forms: dict[tuple[str, int], dict[str, float]], idf: dict[str, flo
             hit = [k for k in np.flatnonzero(cosines >= threshold - 1e-9).tolist() if round(cosines[k], 9) >= threshold and needed[k] <= set(line)]
             for k in hit:
                 offer(k, cosines[k])
-            return bool(hit)
+            return any(length[k] >= LONG for k in hit)
 
         have = np.zeros(len(place) + 1, bool)
         have[col] = True
@@ -271,13 +273,16 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", threshold:
     A text's licence is that of its line, of its run of as many words as a template has, or of itself as a whole, of greatest
     cosine with a template, from threshold on; ties go to the first identifier, and reserved rights count only where no
     other is found. Null and empty texts have none of their own; a null path inherits
-    nothing. Rows that repeat give a row each. Columns of files stay, but for the three of the result.
+    nothing. Rows that repeat give a row each. Columns of files stay, whatever their names, but for the three of the result.
+    A text may be of any length: it is compared in one piece, in memory in proportion to it.
     """
     files = files.drop("license", "license_score", "license_from")
     forms, idf, other = vectors(*frequencies(files, text))
-    own = files.select(F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("path", "text"))
-    some = own.where(F.arrays_overlap(words_of(F.col("text")), F.lit(anchors(forms, threshold))))
-    scored = some.select("key", "path", "text").mapInArrow(_compared(forms, idf, other, threshold), "key long, path string, license string, license_score double, whole boolean")
+    # 128 bits of path and text: equal keys are equal rows
+    key = F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(path), F.lit("\x1e")), F.coalesce(text, F.lit("")))))
+    own = files.select(F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text"), key.alias("key"))
+    some = own.where(F.arrays_overlap(words_of(F.col("text")), F.lit(anchors(forms, threshold)))).dropDuplicates(["key"])
+    scored = some.select("key", "path", "text").mapInArrow(_compared(forms, idf, other, threshold), "key binary, path string, license string, license_score double, whole boolean")
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(_FILE)
     found = table(scored.withColumn("whole", F.col("whole") | F.coalesce(named, F.lit(False))), "licences")
     above = found.where("whole and path is not null").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "license", "license_score", F.col("path").alias("file"))
@@ -286,13 +291,13 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", threshold:
     upward = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir")))
     up = files.select(F.col(path).alias("path")).where("path like '%/%'").distinct().select("path", F.explode(upward).alias("u"))
     near = up.select("path", "u.depth", "u.dir").join(above, "dir").groupBy("path").agg(F.max_by(F.struct("dir", "above"), "depth").alias("near"))
-    out = files.withColumn("_key", F.xxhash64(F.col(path), F.coalesce(text, F.lit(""))))
-    out = out.join(found.select(F.col("key").alias("_key"), F.col("license").alias("_l"), F.col("license_score").alias("_s")), "_key", "left")
-    out = out.join(near.select(F.col("path").alias("_path"), "near"), F.col(path) == F.col("_path"), "left")
-    mine = F.col("_l").isNotNull()
-    out = out.withColumns({
-        "license": F.coalesce("_l", "near.above.license"),
-        "license_score": F.coalesce("_s", "near.above.license_score"),
-        "license_from": F.when(mine, F.lit("own")).otherwise(F.col("near.dir")),
-    })
-    return out.drop("_key", "_l", "_s", "_path", "near")
+    at = free(files)
+    columns = [F.col(f"`{c}`") for c in files.columns]
+    out = files.withColumn(f"{at}key", key)
+    out = out.join(found.select(*(F.col(c).alias(f"{at}{c}") for c in ("key", "license", "license_score"))), f"{at}key", "left")
+    out = out.join(near.select(F.col("path").alias(f"{at}path"), F.col("near").alias(f"{at}near")), F.col(path) == F.col(f"{at}path"), "left")
+    above = F.col(f"{at}near.above")
+    return out.select(
+        *columns, F.coalesce(f"{at}license", above["license"]).alias("license"), F.coalesce(f"{at}license_score", above["license_score"]).alias("license_score"),
+        F.when(F.col(f"{at}license").isNotNull(), F.lit("own")).otherwise(F.col(f"{at}near.dir")).alias("license_from"),
+    )
