@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import free, settled
 
 #: Labelled rows that the fit takes at most: those of least hash of their id.
 SAMPLE = 15_000
@@ -121,13 +121,15 @@ def _termed(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """The machine of the documents' labels; at most ``sample`` labelled rows are read, those of least hash of their id.
+    """The machine of the documents' labels; at most ``sample`` labelled ids are read, those of least hash.
 
-    Null labels and ids are left out; a repeated id takes its largest label. Without labels all scores are even.
+    Null labels and ids are left out; a repeated id takes its largest label and its least text. Without labels all scores
+    are even. A text may be of any length: its terms are a set.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("double").alias("label"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(own), "id").select("text", "label")  # sample rows at most
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(own), "id")  # sample rows at most
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")  # so are these
     got = rows.mapInArrow(_termed, "terms binary, label double").toArrow()
     label_ = got.column("label").to_numpy()
     terms = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("terms")]
@@ -135,16 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return train([terms[i] for i in order], label_[order])
 
 
-def _scored(machine: Machine):
+def _scored(machine: Machine, name: str):
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                texts = batch.column("_scored").slice(a, 500)
+                texts = batch.column(name).slice(a, 500)
                 places, owner = machine.placed([terms_of(t.as_py()) for t in texts])
                 logit, _ = machine.logits(places, owner, len(texts))
                 cut = batch.slice(a, 500)
-                columns = [c for n, c in zip(batch.schema.names, cut.columns, strict=True) if n != "_scored"]
-                names = [n for n in batch.schema.names if n != "_scored"]
+                names = [n for n in batch.schema.names if n != name]
+                columns = [cut.column(n) for n in names]
                 yield pa.record_batch([*columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], names=[*names, "score"])
         _terms.clear()
         settled()
@@ -152,7 +154,11 @@ def _scored(machine: Machine):
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
-    """docs with ``score``, the probability of label 1. Null texts are empty; an empty text gets the score of no terms."""
-    rows = docs.drop("score").withColumn("_scored", F.coalesce(text, F.lit("")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("score").schema)
-    return rows.mapInArrow(_scored(machine), f"{fields}, score double")
+    """docs with ``score``, the probability of label 1. Null texts are empty; an empty text gets the score of no terms.
+
+    All columns of docs stay but for ``score``, which the result's replaces; rows that repeat are scored each.
+    """
+    docs = docs.drop("score")
+    name = f"{free(docs)}text"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.withColumn(name, F.coalesce(text, F.lit(""))).mapInArrow(_scored(machine, name), f"{fields}, score double")
