@@ -9,9 +9,9 @@ against the exact similarity of the shingle counts, so no pair below the thresho
 
 Texts with the same words are one text first. In a band's bucket every text is compared with the bucket's least one,
 its hub; what that proves joined needs no other comparison. Buckets of three or more that still hold several
-components are compared in full, but inside tasks: a bucket is dealt into chunks of about ``CHUNK`` texts, each pair
-of chunks is a task, and it returns only links that join something. No pair of a bucket is left out unless its texts are
-joined already.
+components are compared in full, but inside tasks: a bucket is dealt into chunks of about ``CHUNK`` texts, a large
+component into chunks of its own; each pair of chunks that can join something is a task, and it returns only links that do.
+No pair of a bucket is left out unless its texts are joined already.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, settled, table
@@ -299,10 +299,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # of a bucket of two, the only pair has been compared
     rest = table(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "rest")
-    several = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and n > 2")
-    several = table(several.select(F.col("bucket").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "several")
-    dealt = rest.join(several, F.col("bucket") == F.col("k")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("bucket", "rep", "c", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    sizes = table(rest.groupBy("bucket", "c").agg(F.count("*").alias("n")), "sizes")
+    several = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2").select("bucket")
+    # a component of more than a chunk has chunks of its own, which are not compared with each other; the others share chunks
+    parts = sizes.join(several, "bucket", "left_semi").groupBy("bucket", F.when(F.col("n") > CHUNK, F.col("c")).alias("own")).agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int"))
+    of_bucket = Window.partitionBy("bucket")  # a row for each chunk of the bucket at most
+    parts = parts.withColumns({"upto": F.sum("k").over(of_bucket.orderBy(F.col("own").asc_nulls_first())), "chunks": F.sum("k").over(of_bucket)})
+    parts = table(parts.select(F.col("bucket").alias("b"), "own", (F.col("upto") - F.col("k")).cast("int").alias("first"), "k", F.col("chunks").cast("int").alias("chunks")), "parts")
+    large, shared = parts.where("own is not null"), parts.where("own is null")
+    at_home = (F.col("bucket") == F.col("b")) & (F.col("c") == F.col("own"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    alone = rest.join(large, at_home).withColumn("others", F.filter(every, lambda o: (o < F.col("first")) | (o >= F.col("first") + F.col("k"))))
+    mixed = rest.join(large, at_home, "left_anti").join(shared, F.col("bucket") == F.col("b")).withColumn("others", every)
+    dealt = alone.unionByName(mixed).withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    dealt = dealt.select("bucket", "rep", "c", "chunk", F.explode("others").alias("other"))
     dealt = table(dealt.select("bucket", "rep", "c", "chunk", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb")), "dealt")
     more = dealt.join(texts, "rep").groupBy("bucket", "ca", "cb").applyInArrow(_chunk_links(threshold), "a long, b long")
     more = table(more, "more")
