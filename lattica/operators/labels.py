@@ -53,32 +53,44 @@ def best_jaccard(cells: DataFrame, left: DataFrame) -> DataFrame:
 def matched_pairs(cells: DataFrame) -> DataFrame:
     """(u, v, n, dice): mutual best overlaps; then a v left over takes its best u if that is free, then a u its best v.
 
-    Each label has one target, so of those with the same target the least label wins, as if they came in order.
+    Each label has one target, so of those with the same target the least label wins, as if they came in order. Cells are
+    read once: whether a label is taken already is a window over its own cells.
     """
-    best_v = cells.withColumn("k", _rank("u", F.desc("n"), F.col("v"))).where("k = 1").drop("k")
-    best_u = cells.withColumn("k", _rank("v", F.desc("n"), F.col("u"))).where("k = 1").drop("k")
-    mutual = best_v.join(best_u.select("u", "v"), ["u", "v"], "left_semi")
-    second = best_u.join(mutual.select("v"), "v", "left_anti").join(mutual.select("u"), "u", "left_anti").withColumn("k", _rank("u", F.col("v"))).where("k = 1").drop("k")
-    found = mutual.unionByName(second)
-    third = best_v.join(found.select("u"), "u", "left_anti").join(found.select("v"), "v", "left_anti").withColumn("k", _rank("v", F.col("u"))).where("k = 1").drop("k")
-    return found.unionByName(third).select("u", "v", "n", (2 * F.col("n") / (F.col("nu") + F.col("nv"))).alias("dice"))
+    taken = lambda flag, by: F.max(flag).over(Window.partitionBy(by))
+    own = cells.withColumns({"best_v": _rank("u", F.desc("n"), F.col("v")) == 1, "best_u": _rank("v", F.desc("n"), F.col("u")) == 1}).where("best_v or best_u")
+    own = own.withColumn("found", F.col("best_v") & F.col("best_u"))
+    own = own.withColumn("open", F.col("best_u") & ~taken("found", "u") & ~taken("found", "v"))
+    own = own.withColumn("found", F.col("found") | F.col("open") & (_rank("u", F.desc("open"), F.col("v")) == 1))
+    own = own.withColumn("open", F.col("best_v") & ~taken("found", "u") & ~taken("found", "v"))
+    own = own.withColumn("found", F.col("found") | F.col("open") & (_rank("v", F.desc("open"), F.col("u")) == 1))
+    return own.where("found").select("u", "v", "n", (2 * F.col("n") / (F.col("nu") + F.col("nv"))).alias("dice"))
 
 
 def numbered_pairs(cells: DataFrame, nu: DataFrame, nv: DataFrame) -> DataFrame:
-    """(id, u, v, dice): matched pairs by falling Dice, then the labels left over side by side, with their own Dice if they meet."""
-    pairs = matched_pairs(cells)
-    first = pairs.select(F.row_number().over(Window.orderBy(F.desc("dice"), "u")).alias("id"), "u", "v", "dice")
-    count = pairs.agg(F.count("*").cast("int").alias("m"))
+    """(id, u, v, dice, matched): matched pairs by falling Dice, then the labels left over side by side, with their own Dice if they meet.
+
+    cells, nu and nv are staged: they are tables of labels.
+    """
+    pairs = staged(matched_pairs(cells))
+    first = pairs.select(F.row_number().over(Window.orderBy(F.desc("dice"), "u")).alias("id"), "u", "v", "dice", F.lit(True).alias("matched"))
+    count = pairs.count()
     left = nu.where("u <> 0").select("u").join(pairs.select("u"), "u", "left_anti").select(F.row_number().over(Window.orderBy("u")).alias("k"), "u")
     right = nv.where("v <> 0").select("v").join(pairs.select("v"), "v", "left_anti").select(F.row_number().over(Window.orderBy("v")).alias("k"), "v")
-    rest = left.join(right, "k", "full").join(cells, ["u", "v"], "left").crossJoin(F.broadcast(count))  # count has one row
-    rest = rest.select((F.col("k") + F.col("m")).alias("id"), "u", "v", F.coalesce(2 * F.col("n") / (F.col("nu") + F.col("nv")), F.lit(0.0)).alias("dice"))
+    rest = left.join(right, "k", "full").join(cells, ["u", "v"], "left")
+    rest = rest.select((F.col("k") + count).alias("id"), "u", "v", F.coalesce(2 * F.col("n") / (F.col("nu") + F.col("nv")), F.lit(0.0)).alias("dice"), F.lit(False).alias("matched"))
     return first.unionByName(rest)
 
 
+def _measured(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged (u, v, n) of all labels that meet, 0 too, and both maps' sizes (u, nu) and (v, nv): the units are read once, all else works on labels."""
+    both = left.select("unit", F.col("label").alias("u")).join(right.select("unit", F.col("label").alias("v")), "unit")
+    return staged(both.groupBy("u", "v").agg(F.count("*").alias("n"))), staged(_sizes(left, "u")), staged(_sizes(right, "v"))
+
+
 def dice_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, u, v, dice) of two maps without merging; the result of the match is the mean of the positive Dice values."""
-    return numbered_pairs(contingency(left, right), _sizes(left, "u"), _sizes(right, "v"))
+    cells, nu, nv = _measured(left, right)
+    return numbered_pairs(staged(_with_sizes(cells, nu, nv)), nu, nv).drop("matched")
 
 
 def dice_score(pairs: DataFrame) -> DataFrame:
@@ -135,42 +147,57 @@ def merged(labels: DataFrame, merges: DataFrame) -> DataFrame:
     return labels.join(merges, F.col("label") == F.col("piece"), "left").select("unit", F.coalesce("into", "label").alias("label"))
 
 
+def _merge(cells: DataFrame, nu: DataFrame, nv: DataFrame, piece: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The merges of one side's pieces, and cells and sizes after them."""
+    merges = staged(merge_map(staged(_with_sizes(cells, nu, nv)), "u" if piece == "v" else "v", piece))
+    now = lambda df: df.join(merges, F.col(piece) == F.col("piece"), "left").withColumn(piece, F.coalesce("into", piece)).drop("piece", "into")
+    cells = staged(now(cells).groupBy("u", "v").agg(F.sum("n").alias("n")))
+    sizes = staged(now(nv if piece == "v" else nu).groupBy(piece).agg(F.sum(f"n{piece}").alias(f"n{piece}")))
+    return (merges, cells, nu, sizes) if piece == "v" else (merges, cells, sizes, nv)
+
+
 def joined_maps(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both maps after merging: pieces of right into regions of left, then the other way round."""
-    right = staged(merged(right, merge_map(contingency(left, right), "u", "v")))
-    return staged(merged(left, merge_map(contingency(left, right), "v", "u"))), right
+    into_v, *measured = _merge(*_measured(left, right), "v")
+    into_u, *_ = _merge(*measured, "u")
+    return staged(merged(left, into_u)), staged(merged(right, into_v))
 
 
 def dice_joined(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, u, v, dice) after merging pieces on both sides; labels are those after merging. The result is the mean of all Dice values."""
-    return joined_pairs(*joined_maps(left, right))
+    _, *measured = _merge(*_measured(left, right), "v")
+    _, *measured = _merge(*measured, "u")
+    return _scored(*measured)
 
 
 def joined_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    cells = staged(contingency(left, right))
-    pairs = numbered_pairs(cells, _sizes(left, "u"), _sizes(right, "v"))
-    matched = matched_pairs(cells).select("u", "v", F.lit(True).alias("matched"))
+    return _scored(*_measured(left, right))
+
+
+def _scored(cells: DataFrame, nu: DataFrame, nv: DataFrame) -> DataFrame:
+    pairs = numbered_pairs(staged(_with_sizes(cells, nu, nv)), nu, nv)
     # a slot of labels left over counts as 0
-    return pairs.join(matched, ["u", "v"], "left").select("id", "u", "v", F.when(F.col("matched"), F.col("dice")).otherwise(0.0).alias("dice"))
+    return pairs.select("id", "u", "v", F.when(F.col("matched"), F.col("dice")).otherwise(0.0).alias("dice"))
 
 
 def dice_atlas_align(parcels: DataFrame, atlas: DataFrame) -> DataFrame:
     """(atlas, parcel, dice): parcels merged into the atlas regions that hold at least half of them, matched by largest shares both ways.
 
     Parcels wholly outside the atlas vanish; others keep their units outside it. A region won by background is unmatched.
-    Labels are those before renumbering; a merged parcel has the label of its largest overlap.
+    Labels are those before renumbering; a merged parcel has the label of its largest overlap. Sizes are of units in both maps.
     """
     both = parcels.select("unit", F.col("label").alias("v")).join(atlas.select("unit", F.col("label").alias("u")), "unit")
-    inside = both.where("u <> 0 and v <> 0").select("v").distinct()
-    both = both.join(inside.withColumn("known", F.lit(True)), "v", "left").select("unit", "u", F.when(F.col("known"), F.col("v")).otherwise(0).alias("v"))
-    own = both.select("unit", F.col("v").alias("label"))
-    regions = both.select("unit", F.col("u").alias("label"))
-    own = merged(own, merge_map(contingency(regions, own), "u", "v"))
-    cells = own.select("unit", F.col("label").alias("v")).join(regions.select("unit", F.col("label").alias("u")), "unit").groupBy("u", "v").agg(F.count("*").alias("n"))
-    cells = cells.join(_sizes(regions, "u"), "u").join(_sizes(own, "v"), "v")
-    best = cells.where("u <> 0").withColumn("k", _rank("u", F.desc(F.col("n") / F.col("nv")), F.desc("n"), F.col("v"))).where("k = 1 and v <> 0").drop("k")
-    back = cells.where("v <> 0").withColumn("k", _rank("v", F.desc(F.col("n") / F.col("nu")), F.desc("n"), F.col("u"))).where("k = 1").select("u", "v")
-    return best.join(back, ["u", "v"]).select(F.col("u").alias("atlas"), F.col("v").alias("parcel"), (2 * F.col("n") / (F.col("nu") + F.col("nv"))).alias("dice"))
+    cells = both.groupBy("u", "v").agg(F.count("*").alias("n"))
+    known = F.max((F.col("u") != 0) & (F.col("v") != 0)).over(Window.partitionBy("v"))
+    cells = cells.withColumn("v", F.when(known, F.col("v")).otherwise(0)).groupBy("u", "v").agg(F.sum("n").alias("n"))
+    sized = lambda df: df.withColumns({"nu": F.sum("n").over(Window.partitionBy("u")), "nv": F.sum("n").over(Window.partitionBy("v"))})
+    cells = staged(sized(cells))
+    merges = staged(merge_map(cells.where("u <> 0 and v <> 0"), "u", "v"))
+    moved = cells.join(merges, F.col("v") == F.col("piece"), "left").groupBy("u", F.coalesce("into", "v").alias("v")).agg(F.sum("n").alias("n"))
+    share = lambda of: F.desc(F.col("n") / F.col(of))
+    cells = sized(moved).withColumns({"first": _rank("u", share("nv"), F.desc("n"), F.col("v")), "back": _rank("v", share("nu"), F.desc("n"), F.col("u"))})
+    best = cells.where("u <> 0 and v <> 0 and first = 1 and back = 1")
+    return best.select(F.col("u").alias("atlas"), F.col("v").alias("parcel"), (2 * F.col("n") / (F.col("nu") + F.col("nv"))).alias("dice"))
 
 
 def transfer_percent(mine: DataFrame, mine_there: DataFrame, atlas: DataFrame, atlas_there: DataFrame) -> DataFrame:
