@@ -100,7 +100,8 @@ def plain(edges: DataFrame) -> DataFrame:
 
 
 def density(edges: DataFrame, n: int) -> DataFrame:
-    return plain(edges).agg(F.count("*").alias("m2")).select((F.col("m2") / (n * (n - 1))).alias("density"), F.lit(n).cast("long").alias("vertices"), (F.col("m2") / 2).cast("long").alias("edges"))
+    """(density, vertices, edges); a graph of fewer than two nodes has density 0."""
+    return plain(edges).agg(F.count("*").alias("m2")).select((F.col("m2") / max(1, n * (n - 1))).alias("density"), F.lit(n).cast("long").alias("vertices"), (F.col("m2") / 2).cast("long").alias("edges"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -155,30 +156,93 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return own.join(size, "component", "left_semi").select("node")
 
 
-def distances(edges: DataFrame, limit: int = 10_000) -> DataFrame:
+def _fronts(both: DataFrame):
+    """(a, b) at distance 1, 2, ... while there are any: written tables. What is next to a front is in it, in the one before, or new."""
+    before, front = None, both.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    while not front.isEmpty():
+        yield front
+        step = front.join(both, front["b"] == both["src"]).select("a", F.col("dst").alias("b")).where("a <> b").distinct()
+        step = step.join(front, ["a", "b"], "left_anti")
+        step = step if before is None else step.join(before, ["a", "b"], "left_anti")
+        before, front = front, staged(step)
+
+
+def distances(edges: DataFrame) -> DataFrame:
     """(a, b, d): hops between all pairs of nodes that paths join, a <> b, by rounds of widening from all nodes at once.
 
-    The result has a row for each such pair: it is for graphs of regions, not of units.
+    The result has a row for each such pair: it is for graphs of regions, not of units. ``reached`` needs no such rows.
+    """
+    out, d = None, 0
+    for front in _fronts(staged(plain(edges))):
+        d += 1
+        part = front.withColumn("d", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    return plain(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("d")) if out is None else out
+
+
+#: Directed edges at most that go to the tasks as arrays (16 bytes each).
+EDGES = 4_000_000
+
+
+def _widened(src: np.ndarray, dst: np.ndarray):
+    """(a, d, n) for the nodes that come: 64 searches at once, a bit for each, over edges sorted by their second node."""
+    order = np.argsort(dst, kind="stable")
+    nodes, first = np.unique(dst[order], return_index=True)
+    near = np.searchsorted(nodes, src[order])
+
+    def run(batches):
+        for batch in batches:
+            own = np.asarray(batch.column("node"))
+            for a in range(0, len(own), 64):
+                some = own[a : a + 64]
+                front = np.zeros(len(nodes), np.uint64)
+                front[np.searchsorted(nodes, some)] = np.uint64(1) << np.arange(len(some), dtype=np.uint64)
+                seen, d, out = front.copy(), 0, []
+                while front.any():
+                    if d:
+                        bits = np.unpackbits(front.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+                        out += [(int(v), d, int(n)) for v, n in zip(some, bits[: len(some)], strict=True) if n]
+                    front = np.bitwise_or.reduceat(front[near], first) & ~seen
+                    seen |= front
+                    d += 1
+                cols = list(zip(*out, strict=True)) or [(), (), ()]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "d", "n"])
+    return run
+
+
+def reached(edges: DataFrame) -> DataFrame:
+    """(a, d, n): the number n of nodes at d hops from a, d >= 1: all that mean path lengths, efficiency and eccentricities need.
+
+    Graphs of at most ``EDGES`` directed edges go to the tasks, which search from 64 nodes at once; larger ones widen in rounds of joins.
     """
     both = staged(plain(edges))
-    seen = staged(both.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("d")))
-    front, d = seen, 1
-    while d < limit:
+    if both.count() <= EDGES:
+        table = both.toArrow()
+        src, dst = (table.column(c).to_numpy() for c in ("src", "dst"))
+        if not len(src):
+            return both.select(F.col("src").cast("long").alias("a"), F.lit(1).cast("long").alias("d"), F.lit(1).cast("long").alias("n")).limit(0)
+        spread = both.select(F.col("src").cast("long").alias("node")).distinct()
+        spread = spread.repartition(max(1, both.sparkSession.sparkContext.defaultParallelism), "node")
+        return staged(spread.mapInArrow(_widened(src, dst), "a long, d long, n long"))
+    out, d = None, 0
+    for front in _fronts(both):
         d += 1
-        step = front.join(both, front["b"] == both["src"]).select("a", F.col("dst").alias("b")).where("a <> b").distinct()
-        front = staged(step.join(seen, ["a", "b"], "left_anti").withColumn("d", F.lit(d)))
-        if front.isEmpty():
-            return seen
-        seen = staged(seen.unionByName(front))
-    return seen
+        part = front.groupBy("a").agg(F.lit(d).cast("long").alias("d"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return staged(out)
+
+
+# These three take ``reached``.
 
 
 def path_length(far: DataFrame) -> DataFrame:
-    return far.agg(F.avg("d").alias("path_length"))
+    """(path_length): mean hops over the ordered pairs that paths join; null if there are none."""
+    return far.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("path_length"))
 
 
 def global_efficiency(far: DataFrame, n: int) -> DataFrame:
-    return far.agg((F.sum(1 / F.col("d")) / (n * (n - 1))).alias("global_efficiency"))
+    """(global_efficiency): mean of 1 / hops over all ordered pairs of n nodes; pairs without a path count 0, and so does a lone node."""
+    return far.agg((F.coalesce(F.sum(F.col("n") / F.col("d")), F.lit(0.0)) / max(1, n * (n - 1))).alias("global_efficiency"))
 
 
 def diameter_radius(far: DataFrame) -> DataFrame:
@@ -201,12 +265,18 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return per.select((F.col("inner") / total - F.pow(F.col("k") / total, 2)).alias("q")).agg(F.sum("q").alias("q"))
 
 
-def scale_free_index(edges: DataFrame) -> DataFrame:
-    """(r2): of the log of the degrees' Gaussian kernel density (width 1) as a prediction of the log of the degree."""
+def scale_free_index(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(r2): of the log of the degrees' Gaussian kernel density (width 1) as a prediction of the log of the degree.
+
+    Of n nodes those without an edge have degree 0, whose logarithm counts as 0; without n there are none. Null if all degrees are equal.
+    """
     deg = plain(edges).groupBy("src").agg(F.count("*").alias("d"))
     hist = deg.groupBy("d").agg(F.count("*").alias("n"))  # degrees are few, so nodes of a degree stand together
+    if n is not None:
+        bare = hist.agg((F.lit(n) - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).where("n > 0")
+        hist = hist.unionByName(bare.select(F.lit(0).cast("long").alias("d"), F.col("n").cast("long").alias("n")))
     near = hist.join(hist.select(F.col("d").alias("e"), F.col("n").alias("m")), F.lit(True)).groupBy("d", "n").agg((F.sum(F.col("m") * F.exp(-0.5 * F.pow(F.col("d") - F.col("e"), 2))) / F.sum("m") / F.lit(float(np.sqrt(2 * np.pi)))).alias("p"))
-    rows = near.select("n", F.log10("d").alias("y"), F.log10("p").alias("f"))
+    rows = near.select("n", F.when(F.col("d") > 0, F.log10(F.greatest("d", F.lit(1)))).otherwise(0.0).alias("y"), F.log10("p").alias("f"))
     both = rows.agg(F.sum(F.col("n") * F.pow(F.col("y") - F.col("f"), 2)).alias("sse"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("sy"), F.sum(F.col("n") * F.col("y") * F.col("y")).alias("syy"))
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     return both.select((1 - F.col("sse") / F.when(sst > 0, sst)).alias("r2"))
@@ -220,22 +290,45 @@ def random_graph(n: int, m: int, spark, seed: int = 0) -> DataFrame:
 
 
 def small_worldness(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(sigma): clustering over path length, both against a random graph of as many nodes and edges; null if that has none."""
-    m = plain(edges).count() // 2
-    other = staged(random_graph(n, m, edges.sparkSession, seed))
-    c, c0 = (average_clustering(e, n).first()[0] for e in (edges, other))
-    length, length0 = (path_length(distances(e)).first()[0] for e in (edges, other))
+    """(sigma): transitivity over path length, both against a random graph of as many nodes and edges; null if that has none.
+
+    Path lengths are means over the pairs that paths join.
+    """
+    own = staged(plain(edges))
+    other = staged(random_graph(n, own.count() // 2, edges.sparkSession, seed))
+    c, c0 = (transitivity(e).first()[0] for e in (own, other))
+    length, length0 = (path_length(reached(e)).first()[0] for e in (own, other))
     sigma = (c / c0) / (length / length0) if c is not None and c0 and length and length0 else None
     return edges.sparkSession.createDataFrame([(sigma,)], "sigma double")
 
 
-def bundle(edges: DataFrame, n: int) -> DataFrame:
-    """(name, value): the metrics of one graph as rows."""
-    far = staged(distances(edges))
-    parts = [density(edges, n).select("density"), average_clustering(edges, n), transitivity(edges), path_length(far), global_efficiency(far, n), diameter_radius(far).select("diameter"), diameter_radius(far).select("radius"), assortativity(edges), scale_free_index(edges)]
+def bundle(edges: DataFrame, n: int, *, communities: bool = True, seed: int = 0) -> DataFrame:
+    """(name, value): the metrics of one graph of n nodes as rows; the graph, its clustering and its distances are written once.
+
+    Of the largest component: lcc_path_length, lcc_efficiency, diameter, radius. Of the whole graph: density, vertices, edges, avg_clustering,
+    transitivity, global_efficiency, path_length (over pairs that paths join), assortativity, scale_free_index, and with
+    ``communities`` community_q (Louvain), modularity_q (spectral splits) and small_worldness.
+    """
+    from lattica.operators.communities import louvain, spectral_split
+
+    own = staged(plain(edges))
+    far, local = reached(own), staged(local_clustering(own))
+    lcc = staged(largest_component(own))
+    inner = staged(far.join(lcc.withColumnRenamed("node", "a"), "a", "left_semi"))
+    size = lcc.count()
+    sizes = density(own, n)
+    ends = diameter_radius(inner)
+    pairs = local.agg(F.sum("t").alias("t"), F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("p"), F.sum("c").alias("c"))
+    parts = [
+        sizes.select("density", "vertices", "edges"),
+        pairs.select((F.coalesce("c", F.lit(0.0)) / n).alias("avg_clustering"), F.when(F.col("p") > 0, F.col("t") / F.when(F.col("p") > 0, F.col("p")).otherwise(1)).otherwise(0.0).alias("transitivity")),
+        path_length(inner).withColumnRenamed("path_length", "lcc_path_length"), global_efficiency(inner, size).withColumnRenamed("global_efficiency", "lcc_efficiency"), ends,
+        path_length(far), global_efficiency(far, n), assortativity(own), scale_free_index(own, n).withColumnRenamed("r2", "scale_free_index"),
+    ]
+    if communities:
+        parts += [modularity(own, louvain(own, seed)).withColumnRenamed("q", "community_q"), modularity(own, spectral_split(own)).withColumnRenamed("q", "modularity_q"), small_worldness(own, n, seed).withColumnRenamed("sigma", "small_worldness")]
     out = None
-    for part in parts:
-        name = part.columns[0]
-        one = part.select(F.lit(name).alias("name"), F.col(name).cast("double").alias("value"))
+    for part in parts:  # each has one row
+        one = part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in part.columns])).alias("m")).select("m.*")
         out = one if out is None else out.unionByName(one)
     return out

@@ -59,15 +59,55 @@ def _top(a: np.ndarray, k: int) -> np.ndarray:
     return np.linalg.eigh((a + a.T) / 2)[1][:, ::-1][:, :k]
 
 
+#: Entries of all views (8 bytes each) that one task takes.
+LOCAL = 2_000_000
+
+
+def low_rank_rounds(views: list[np.ndarray], k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference") -> tuple[list[np.ndarray], list[float]]:
+    """The rounds of ``low_rank`` on matrices in memory: the smoothed projectors, and the objective per round."""
+    size = len(views[0])
+    z, p, q = [np.zeros((size, size)) for _ in views], [np.zeros((size, size)) for _ in views], [np.ones(size) for _ in views]
+    losses: list[float] = []
+    while len(losses) < iterations:
+        first = 0.0
+        for v, a in enumerate(views):
+            p[v], q[v], loss = _projector(a, z[v], p[v], q[v], k, lam)
+            first += loss
+        back = prox_tensor(np.stack(p, axis=1), rho, mode)  # S x views x S
+        z = [back[:, v] for v in range(len(views))]
+        losses.append(first + sum(0.5 * float(np.linalg.norm(x - y)) for x, y in zip(z, p, strict=True)))
+        if len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol * max(abs(losses[-2]), 1e-12):
+            break
+    return p, losses
+
+
+def _projector(a: np.ndarray, z: np.ndarray, p: np.ndarray, q: np.ndarray, k: int, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """One view's step: its new P and Q, and its part of the objective."""
+    h = _top(lam * a + q[:, None] * ((z + z.T) / 2 - p / 2) * q[None], k)
+    hh = h @ h.T
+    new = 1 / np.sqrt(np.maximum(np.diag(hh), 1e-12))
+    return new[:, None] * hh * new[None], new, lam / 2 * float(np.linalg.norm(a - hh))
+
+
 def low_rank(spark: SparkSession, views: dict[int, np.ndarray], k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference") -> tuple[DataFrame, list[float]]:
     """Consensus of several similarity matrices of the same rows: (view, row, col, x) of the smoothed projectors, and the objective per round.
 
     Per round and view: the top eigenvectors H of lambda A + Q (sym Z - half P) Q, Q the inverse root diagonal of H H',
-    P = Q H H' Q; then the proximal step on all P as a tensor. Views are solved in parallel, slices of the transformed
-    tensor too; only the S x S matrices of one round pass through the driver.
+    P = Q H H' Q; then the proximal step on all P as a tensor. Up to ``LOCAL`` entries of all views together one task runs all rounds.
+    Beyond, views are solved in parallel, slices of the transformed tensor too; only the S x S matrices of one round pass through the driver.
     """
     ids = sorted(views)
     size = views[ids[0]].shape[0]
+    if size * size * len(ids) <= LOCAL:
+        def whole(table: pa.Table) -> pa.Table:
+            held = sorted(((r["view"], np.frombuffer(r["m"], float).reshape(size, size)) for r in table.to_pylist()), key=lambda x: x[0])
+            found, losses = low_rank_rounds([m for _, m in held], k, lam, rho, iterations=iterations, tol=tol, mode=mode)
+            rows = [(v, i, line.tolist()) for (v, _), m in zip(held, found, strict=True) for i, line in enumerate(m)] + [(-1, 0, losses)]
+            return pa.table({"view": pa.array([r[0] for r in rows], pa.int32()), "row": pa.array([r[1] for r in rows], pa.int32()), "v": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
+
+        rows = spark.createDataFrame([(v, bytearray(np.ascontiguousarray(views[v], float).tobytes())) for v in ids], "view int, m binary")
+        made = staged(rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: whole(t), "view int, row int, v array<double>"))
+        return made.where("view >= 0").select("view", "row", F.posexplode("v").alias("col", "x")), list(made.where("view < 0").first()["v"])
     z = {v: np.zeros((size, size)) for v in ids}
     p = {v: np.zeros((size, size)) for v in ids}
     q = {v: np.ones(size) for v in ids}
@@ -78,11 +118,8 @@ def low_rank(spark: SparkSession, views: dict[int, np.ndarray], k: int, lam: flo
         for row in table.to_pylist():
             a, zz, pp = (np.frombuffer(row[c], float).reshape(size, size) for c in ("ma", "mz", "mp"))
             qq = np.frombuffer(row["mq"], float)
-            h = _top(lam * a + qq[:, None] * ((zz + zz.T) / 2 - pp / 2) * qq[None], k)
-            hh = h @ h.T
-            new = 1 / np.sqrt(np.maximum(np.diag(hh), 1e-12))
-            smooth = new[:, None] * hh * new[None]
-            out.append((row["view"], smooth.tobytes(), new.tobytes(), lam / 2 * float(np.linalg.norm(a - hh))))
+            smooth, new, loss = _projector(a, zz, pp, qq, k, lam)
+            out.append((row["view"], smooth.tobytes(), new.tobytes(), loss))
         return _packed(out, ["view", "mp", "mq", "loss"])
 
     def shrink(table: pa.Table) -> pa.Table:
@@ -105,9 +142,19 @@ def low_rank(spark: SparkSession, views: dict[int, np.ndarray], k: int, lam: flo
         losses.append(first + sum(0.5 * float(np.linalg.norm(z[v] - p[v])) for v in ids))
         if len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol * max(abs(losses[-2]), 1e-12):
             break
-    rows = [(v, i, p[v][i].tolist()) for v in ids for i in range(size)]
+    return _entries(spark, p), losses
+
+
+def _entries(spark: SparkSession, matrices: dict[int, np.ndarray]) -> DataFrame:
+    """(view, row, col, x) of matrices of regions."""
+    rows = [(v, i, line.tolist()) for v, m in matrices.items() for i, line in enumerate(m)]
     out = spark.createDataFrame(rows, "view int, row int, v array<double>")
-    return staged(out.select("view", "row", F.posexplode("v").alias("col", "x"))), losses
+    return staged(out.select("view", "row", F.posexplode("v").alias("col", "x")))
+
+
+def fused(smooth: DataFrame) -> DataFrame:
+    """(subject, row, col, x): sums of the smoothed projectors ``(view, row, col, x)`` of views 2s and 2s + 1, those of subject s."""
+    return smooth.groupBy(F.floor(F.col("view") / 2).cast("int").alias("subject"), "row", "col").agg(F.sum("x").alias("x"))
 
 
 def spectral_embedding(norm_edges: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -128,8 +175,8 @@ def spectral_embedding(norm_edges: DataFrame, k: int, by: list[str]) -> DataFram
 
 
 def diffusion_kernel(pairs: DataFrame, epsilon: float) -> DataFrame:
-    """(i, j, x): exp(-d2 / 2 eps) of ``pairs (i, j, d2)`` over both rows' sums."""
-    w = pairs.select("i", "j", F.exp(-F.col("d2") / (2 * epsilon)).alias("w"))
+    """(i, j, x): exp(-d2 / 2 eps^2) of ``pairs (i, j, d2)`` over both rows' sums."""
+    w = pairs.select("i", "j", F.exp(-F.col("d2") / (2 * epsilon * epsilon)).alias("w"))
     deg = w.groupBy("i").agg(F.sum("w").alias("d"))
     return w.join(deg, "i").join(deg.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / (F.col("d") * F.col("e"))).alias("x"))
 
@@ -154,16 +201,28 @@ def pca(vectors: DataFrame, n: int) -> DataFrame:
 
     Moments are summed over the cluster (a d x d matrix); rows are then turned where they are.
     """
-    flat = vectors.select(F.posexplode("v").alias("i", "x"), F.col("v").alias("w")).select("i", "x", F.posexplode("w").alias("j", "y"))
-    cells = flat.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # d x d numbers
-    means = {r["i"]: (r["m"], r["n"]) for r in vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count("*").alias("n")).collect()}
-    d = len(means)
-    mean, count = np.array([means[i][0] for i in range(d)]), means[0][1]
-    c = np.zeros((d, d))
-    for r in cells:
-        c[r["i"], r["j"]] = r["s"] / count - mean[r["i"]] * mean[r["j"]]
+    own = vectors.select(F.col("row").cast("long").alias("row"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+
+    def moments(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                part = np.concatenate([[float(len(x))], x.sum(axis=0), (x.T @ x).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "s"])
+
+    # 1 + d + d x d sums for each task
+    sums = {r["k"]: r["s"] for r in own.select("v").mapInArrow(moments, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    if not sums:
+        return own
+    d = int((np.sqrt(4 * len(sums) - 3) - 1) / 2 + 0.5)
+    flat = np.array([sums[i] for i in range(len(sums))])
+    mean = flat[1 : d + 1] / flat[0]
+    c = flat[d + 1 :].reshape(d, d) / flat[0] - np.outer(mean, mean)
     load = _top(c, n)
-    load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(n)])
+    load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
 
     def turn(batches):
         for b in batches:
@@ -171,7 +230,6 @@ def pca(vectors: DataFrame, n: int) -> DataFrame:
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 yield pa.record_batch([b.column("row"), pa.array(((x - mean) @ load).tolist(), pa.list_(pa.float64()))], names=["row", "v"])
 
-    own = vectors.select(F.col("row").cast("long").alias("row"), F.transform("v", lambda x: x.cast("double")).alias("v"))
     return own.mapInArrow(turn, "row long, v array<double>")
 
 

@@ -107,7 +107,8 @@ def metrics(vectors: DataFrame) -> DataFrame:
 
 def sweep(vectors: DataFrame, keys: list[str], subjects: list[str] | None = None) -> DataFrame:
     """(keys, dbi, chi, homogeneity) of each parameter point, all points in one plan: the metrics of each subject's map (of the
-    point's one map without ``subjects``), averaged over the subjects. Homogeneity is the mean of the labels'; a metric that no map has is null."""
+    point's one map without ``subjects``), averaged over the subjects. Homogeneity is the mean over the labels 1..K of a map, 1 for those
+    with fewer than two units or none, as in ``homogeneity``; a metric that no map has is null."""
     named = [*keys, *(subjects or [])]
     maps = [f"_map{i}" for i in range(len(named))]  # keys may have the names of columns in between
     vectors = vectors.select(*(F.col(a).alias(b) for a, b in zip(named, maps, strict=True)), "label", "v")
@@ -115,6 +116,6 @@ def sweep(vectors: DataFrame, keys: list[str], subjects: list[str] | None = None
     sums = _sums(own, [*maps, "label"], "u")
     some = own.groupBy(*maps, "label").agg(F.sum(F.when(dot("v", "v") > 0, 1).otherwise(0)).alias("some"))
     n = F.col("n")
-    means = sums.join(some, [*maps, "label"]).select(*maps, F.when(n < 2, 1.0).otherwise((dot("sum", "sum") - F.col("some")) / F.when(n < 2, 1).otherwise(n * (n - 1))).alias("h"))
-    each = calinski_harabasz(vectors, maps).join(davies_bouldin(vectors, maps), maps, "left").join(means.groupBy(*maps).agg(F.avg("h").alias("homogeneity")), maps, "left")
+    means = sums.join(some, [*maps, "label"]).select(*maps, "label", F.when(n < 2, 1.0).otherwise((dot("sum", "sum") - F.col("some")) / F.when(n < 2, 1).otherwise(n * (n - 1))).alias("h"))
+    each = calinski_harabasz(vectors, maps).join(davies_bouldin(vectors, maps), maps, "left").join(means.groupBy(*maps).agg(((F.sum("h") + F.max("label") - F.count("*")) / F.max("label")).alias("homogeneity")), maps, "left")
     return each.groupBy(*(F.col(b).alias(a) for a, b in zip(keys, maps, strict=False))).agg(*(F.avg(m).alias(m) for m in ("dbi", "chi", "homogeneity")))

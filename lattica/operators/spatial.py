@@ -5,10 +5,16 @@ Points are ``(..., x, y, z)``. Both joins go through a grid, so that they are eq
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import affine
+from lattica.plans.staging import staged
+
+#: Sites at most that go to the tasks as arrays (32 bytes each).
+SITES = 200_000
 
 
 def end_points(curves: DataFrame) -> DataFrame:
@@ -37,34 +43,58 @@ def within(points: DataFrame, sites: DataFrame, radius: float, key: list[str], s
     return own.join(near, ["cx", "cy", "cz"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(*key, *site, "d2")
 
 
+def _searched(sites: list, key: list[str], site: str):
+    """The nearest of the sites, sorted by id, for each point: all distances of a few points at once, so memory is bounded."""
+    ids = np.array([r[site] for r in sites], np.int64)
+    at = np.array([[r["x"], r["y"], r["z"]] for r in sites], float).reshape(-1, 3)
+    few = max(1, (1 << 21) // max(1, len(ids)))
+
+    def run(batches):
+        for batch in batches:
+            own = np.column_stack([np.asarray(batch.column(c)) for c in "xyz"])
+            best = np.empty(len(own), np.int64)
+            for a in range(0, len(own), few):
+                d2 = 0.0
+                for c in range(3):
+                    d = own[a : a + few, c, None] - at[None, :, c]
+                    d2 = d2 + d * d
+                best[a : a + few] = ids[d2.argmin(axis=1)]  # of equals the first, so the least id
+            yield pa.record_batch([*(batch.column(k) for k in key), pa.array(best)], names=[*key, site])
+    return run
+
+
 def nearest(points: DataFrame, sites: DataFrame, side: float, key: list[str], site: str) -> DataFrame:
-    """(key, site): the nearest site of each point, the least id of equals.
+    """(key, site): the nearest site of each point, the least id of equals; site ids are whole numbers, a key is one point's.
 
-    Rounds of doubling cells: a point is done once its nearest site within the cells around it is at most a cell away.
-    ``sites`` spread into 27 cells in each round; points that are far from all sites take more rounds, and when cells cover all
-    sites every point is done.
+    A round over a grid of cells of ``side`` settles the points whose nearest site is at most a cell away. The points left are
+    compared with all sites inside tasks if there are at most ``SITES`` of them; else rounds go on with cells twice as wide,
+    and when cells cover all points and sites every point is done. Each round is written, and reads only the points left.
     """
-    left, done = points.select(*key, "x", "y", "z"), None
-    lo_hi = sites.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).collect()[0]
-    if lo_hi["lox"] is None:
-        return left.select(*key, F.lit(None).cast("long").alias(site)).limit(0)
-    span = max(lo_hi[f"hi{c}"] - lo_hi[f"lo{c}"] for c in "xyz")
-    far = left.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).collect()[0]
-    if far["lox"] is None:
-        return left.select(*key, F.lit(None).cast("long").alias(site)).limit(0)
-    span = max([span] + [abs(far[f"{a}{c}"] - lo_hi[f"{b}{c}"]) for c in "xyz" for a, b in (("hi", "lo"), ("lo", "hi"))])
+    sites = staged(sites.select(F.col(site).cast("long").alias(site), "x", "y", "z"))
+    left = staged(points.select(*key, "x", "y", "z"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*key).schema)
+    few = sites.count()
+    done = left.select(*key, F.lit(None).cast("long").alias(site)).limit(0)
+    if not few:
+        return done
+    box = sites.select("x", "y", "z").unionByName(left.select("x", "y", "z")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     while True:
-        last = side > 2 * span
+        last = side > max(box)
         own = left.select(*key, "x", "y", "z", *_cell(side))
-        near = _spread(sites.select(site, "x", "y", "z"), side).withColumnsRenamed({"x": "sx", "y": "sy", "z": "sz"})
+        near = _spread(sites, side).withColumnsRenamed({"x": "sx", "y": "sy", "z": "sz"})
         d2 = sum((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "xyz")
         best = own.join(near, ["cx", "cy", "cz"]).withColumn("d2", d2).groupBy(*key).agg(F.min(F.struct("d2", site)).alias("b"))
-        found = best.where(F.lit(True) if last else F.col("b.d2") <= side * side).select(*key, F.col(f"b.{site}").alias(site))
-        done = found if done is None else done.unionByName(found)
+        found = staged(best.where(F.lit(True) if last else F.col("b.d2") <= side * side).select(*key, F.col(f"b.{site}").alias(site)))
+        done = done.unionByName(found)
         if last:
             return done
-        left = left.join(found.select(*key), key, "left_anti")
-        side *= 4
+        left = staged(left.join(found.select(*key), key, "left_anti"))
+        if left.isEmpty():
+            return done
+        if few <= SITES:
+            rows = sites.orderBy(site).collect()  # SITES at most
+            return done.unionByName(left.mapInArrow(_searched(rows, key, site), f"{kinds}, `{site}` long"))
+        side *= 2
 
 
 def incidence(hits: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
@@ -101,9 +131,9 @@ def atlas_sums(present: DataFrame, weights: DataFrame) -> DataFrame:
 
 def complete_subjects(expected: DataFrame, present: DataFrame) -> DataFrame:
     """(subject): subjects that have every expected cluster."""
-    subjects = present.select("subject").distinct()
-    missing = subjects.join(expected.select("cluster").distinct(), F.lit(True)).join(present.select("subject", "cluster"), ["subject", "cluster"], "left_anti")
-    return subjects.join(missing.select("subject").distinct(), "subject", "left_anti")
+    wanted = expected.select("cluster").distinct()
+    own = present.select("subject", "cluster").join(wanted, "cluster", "left_semi").groupBy("subject").agg(F.countDistinct("cluster").alias("n"))
+    return own.where(F.col("n") == wanted.agg(F.count("*")).scalar()).select("subject")
 
 
 def not_done(subjects: DataFrame, finished: DataFrame) -> DataFrame:

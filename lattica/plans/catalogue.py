@@ -15,6 +15,7 @@ from lattica.operators import labels as L
 from lattica.operators import matrix as M
 from lattica.operators import quality as Q
 from lattica.operators import spatial as S
+from lattica.plans.staging import staged
 from lattica.sources import readers as R
 
 QUERIES, ORACLES = {}, {}
@@ -194,57 +195,73 @@ def calinski_harabasz(spark, d):
     return _r(Q.calinski_harabasz(_vectors(spark, d)), "chi")
 
 
-@query(f"with {_PAIRS}, h as (select i % 3 k, li, avg(c) h from p where li = lj and i % 3 = j % 3 group by 1, 2) select k, round(avg(h), 6) homogeneity from h group by 1")
+@query(f"with {_PAIRS}, h as (select i % 3 k, li, avg(c) h from p where li = lj and i % 3 = j % 3 group by 1, 2), m as (select unit % 3 k, max(l) m from e group by 1) select k, round((sum(h) + any_value(m) - count(*)) / any_value(m), 6) homogeneity from h join m using (k) group by 1")
 def metric_sweep(spark, d):
     return _r(Q.sweep(_vectors(spark, d).withColumn("k", F.col("unit") % 3), ["k"]).select("k", "homogeneity"), "homogeneity")
 
 
-_KS = f"{_E}, x as (select unit, unit % 3 k, unit // 3 % 2 s, l, unnest(v) y, generate_subscripts(v, 1) p from e), c as (select k, s, l, p, avg(y) m from x group by 1, 2, 3, 4)"
+#: Averages of a sweep over o(unit, k, sub, l, v, nrm): a map for each k and sub.
+_SWEEP = """x as (select unit, k, sub, l, unnest(v) y, generate_subscripts(v, 1) p from o), c as (select k, sub, l, p, avg(y) m from x group by 1, 2, 3, 4),
+    pairs as (select a.k, a.sub, a.l, list_dot_product(a.v, b.v) / (a.nrm * b.nrm) c from o a join o b on a.unit <> b.unit and a.k = b.k and a.sub = b.sub and a.l = b.l),
+    top as (select k, sub, max(l) m from o group by 1, 2),
+    h as (select k, sub, (sum(h) + any_value(m) - count(*)) / any_value(m) homogeneity from (select k, sub, l, avg(c) h from pairs group by 1, 2, 3) join top using (k, sub) group by 1, 2),
+    dist as (select k, sub, unit, l, sqrt(sum((y - m) ** 2)) d from x join c using (k, sub, l, p) group by 1, 2, 3, 4), w as (select k, sub, l, avg(d) r from dist group by 1, 2, 3),
+    far as (select a.k, a.sub, a.l i, b.l j, sqrt(sum((a.m - b.m) ** 2)) f from c a join c b on a.k = b.k and a.sub = b.sub and a.p = b.p and a.l <> b.l group by 1, 2, 3, 4),
+    dbi as (select k, sub, avg(r) dbi from (select far.k, far.sub, i, max((a.r + b.r) / f) r from far join w a on a.k = far.k and a.sub = far.sub and a.l = i join w b on b.k = far.k and b.sub = far.sub and b.l = j group by 1, 2, 3) group by 1, 2),
+    g as (select k, sub, p, avg(y) m from x group by 1, 2, 3), inner_ as (select k, sub, sum(d * d) w from dist group by 1, 2), n as (select k, sub, l, count(*) n from o group by 1, 2, 3),
+    size as (select k, sub, sum(n) units, count(*) labels from n group by 1, 2), b as (select k, sub, sum(n * (c.m - g.m) ** 2) b from c join g using (k, sub, p) join n using (k, sub, l) group by 1, 2),
+    each as (select k, sub, dbi, b * (units - labels) / (w * (labels - 1)) chi, homogeneity from b join inner_ using (k, sub) join size using (k, sub) join dbi using (k, sub) join h using (k, sub))"""
 
 
-@query(f"""with {_KS}, o as (select *, unit % 3 k, unit // 3 % 2 sub from e),
-    pairs as (select a.k, a.sub, a.l, list_dot_product(a.v, b.v) / (a.s * b.s) c from o a join o b on a.unit <> b.unit and a.k = b.k and a.sub = b.sub and a.l = b.l),
-    h as (select k, sub s, avg(h) homogeneity from (select k, sub, l, avg(c) h from pairs group by 1, 2, 3) group by 1, 2),
-    dist as (select k, s, unit, l, sqrt(sum((y - m) ** 2)) d from x join c using (k, s, l, p) group by 1, 2, 3, 4), w as (select k, s, l, avg(d) r from dist group by 1, 2, 3),
-    far as (select a.k, a.s, a.l i, b.l j, sqrt(sum((a.m - b.m) ** 2)) f from c a join c b on a.k = b.k and a.s = b.s and a.p = b.p and a.l <> b.l group by 1, 2, 3, 4),
-    dbi as (select k, s, avg(r) dbi from (select far.k, far.s, i, max((a.r + b.r) / f) r from far join w a on a.k = far.k and a.s = far.s and a.l = i join w b on b.k = far.k and b.s = far.s and b.l = j group by 1, 2, 3) group by 1, 2),
-    g as (select k, s, p, avg(y) m from x group by 1, 2, 3), inner_ as (select k, s, sum(d * d) w from dist group by 1, 2), n as (select k, sub s, l, count(*) n from o group by 1, 2, 3),
-    size as (select k, s, sum(n) units, count(*) labels from n group by 1, 2), b as (select k, s, sum(n * (c.m - g.m) ** 2) b from c join g using (k, s, p) join n using (k, s, l) group by 1, 2)
-    select k, round(avg(dbi), 6) dbi, round(avg(b * (units - labels) / (w * (labels - 1))), 6) chi, round(avg(homogeneity), 6) homogeneity from b join inner_ using (k, s) join size using (k, s) join dbi using (k, s) join h using (k, s) group by 1""")
+@query(f"with {_E}, o as (select unit, unit % 3 k, unit // 3 % 2 sub, l, v, s nrm from e), {_SWEEP} select k, round(avg(dbi), 6) dbi, round(avg(chi), 6) chi, round(avg(homogeneity), 6) homogeneity from each group by 1")
 def metric_sweep_means(spark, d):
     """All three averages of a sweep: a point's maps are those of two subjects."""
     v = _vectors(spark, d).withColumns({"k": F.col("unit") % 3, "subject": F.expr("unit div 3 % 2")})
     return _r(Q.sweep(v, ["k"], ["subject"]), "dbi", "chi", "homogeneity")
 
 
+@query(f"with {_E}, o as (select unit, 0 k, 0 sub, l, v, s nrm from e), {_SWEEP} select round(dbi, 6) dbi, round(chi, 6) chi, round(homogeneity, 6) homogeneity from each")
+def map_metrics(spark, d):
+    """All three metrics of one map."""
+    return _r(Q.metrics(_vectors(spark, d)), "dbi", "chi", "homogeneity")
+
+
 def _flat(df):
     return _r(df.select("row", F.posexplode("v").alias("p", "x")), "x")
 
 
-def _norm_sql(x):
-    return f"with r as (select vec_id \"row\", cast(embedding as double[]) v from embeddings), s as (select *, list_sum(v) t, list_dot_product(v, v) q, list_min(v) lo, list_max(v) hi from r) select \"row\", cast(generate_subscripts(v, 1) - 1 as int) p, round({x}, 6) + 0.0 x from s"
+def _with_odd(spark, d, constant=True):
+    """The vectors, a zero row and a constant one."""
+    v = _vectors(spark, d, False)
+    odd = spark.createDataFrame([(-1, [0.0] * 64)] + ([(-2, [0.5] * 64)] if constant else []), v.schema)
+    return v.unionByName(odd)
+
+
+def _norm_sql(x, constant=True):
+    odd = " union all select -1, [0.0::double for i in range(64)]" + (" union all select -2, [0.5::double for i in range(64)]" if constant else "")
+    return f"with r as (select vec_id \"row\", cast(embedding as double[]) v from embeddings{odd}), s as (select *, list_sum(v) t, list_dot_product(v, v) q, list_min(v) lo, list_max(v) hi from r) select \"row\", cast(generate_subscripts(v, 1) - 1 as int) p, round({x}, 6) + 0.0 x from s"
 
 
 @query(_norm_sql("unnest(v) / case when t = 0 then 1e-10 else t end"))
 def row_sum_norm(spark, d):
-    return _flat(_vectors(spark, d, False).withColumn("v", V.sum_normalize("v")))
+    return _flat(_with_odd(spark, d).withColumn("v", V.sum_normalize("v")))
 
 
 @query(_norm_sql("unnest(v) / case when q = 0 then 1e-10 else sqrt(q) end"))
 def row_l2_norm(spark, d):
-    return _flat(_vectors(spark, d, False).withColumn("v", V.length_normalize("v")))
+    return _flat(_with_odd(spark, d).withColumn("v", V.length_normalize("v")))
 
 
-@query(_norm_sql("(unnest(v) - lo) / (hi - lo)"))
+@query(_norm_sql("(unnest(v) - lo) / case when hi = lo then 1 else hi - lo end", False))
 def row_minmax_norm(spark, d):
-    return _flat(_vectors(spark, d, False).withColumn("v", V.minmax_normalize("v")))
+    return _flat(_with_odd(spark, d, False).withColumn("v", V.minmax_normalize("v")))
 
 
 # ---- sparse matrices ----
 
-def _incidence(spark, d):
+def _incidence(spark, d, where="true"):
     """Line items per nation and brand."""
-    t = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(_read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    t = _read(spark, d, "lineitem").where(where).select("l_orderkey", "l_partkey").join(_read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     t = t.join(_read(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return t.groupBy(F.col("c_nationkey").alias("row"), F.col("p_brand").alias("col")).agg(F.count("*").cast("double").alias("x"))
 
@@ -289,17 +306,17 @@ def view_union(spark, d):
     return M.views([_incidence(spark, d).withColumn("row", F.col("row").cast("string")), _users(spark, d).withColumn("row", F.col("row").cast("string"))])
 
 
-@query("select user_id % 2 as hemi, user_id \"row\", event_type col, cast(count(*) as double) x from events where user_id % 2 = 0 group by 1, 2, 3")
+@query("select user_id - 40 \"row\", event_type col, cast(count(*) as double) x from events where user_id >= 40 and user_id < 110 group by 1, 2")
 def hemisphere_slice(spark, d):
-    return _users(spark, d).withColumn("hemi", F.col("row") % 2).where("hemi = 0")
+    return M.hemisphere(_users(spark, d), 40, 70, axis="row")
 
 
-def _rows(spark, d):
+def _rows(spark, d, where=None):
     """A nation's vector over all brands in order."""
-    t = _incidence(spark, d)
-    brands = t.select("col").distinct()
-    full = t.select("row").distinct().join(brands, F.lit(True)).join(t, ["row", "col"], "left")
-    return full.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("e")).select("row", F.transform("e", lambda s: s["x"]).alias("v"))
+    t = _incidence(spark, d) if where is None else _incidence(spark, d, where)
+    brands = [r["p_brand"] for r in _read(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]  # 25 brands
+    own = t.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "x"))).alias("e"))
+    return own.select("row", F.transform(F.array(*map(F.lit, brands)), lambda c: F.coalesce(F.col("e")[c], F.lit(0.0))).alias("v"))
 
 
 @query(f"with {_I}, n as (select r, sqrt(sum(x * x)) s from inc group by 1), p as (select a.r i, b.r j, sum(a.x * b.x) t from inc a join inc b on a.c = b.c group by 1, 2) select i, j, case when i = j then 1.0 else round(t / (a.s * b.s), 6) end sim from p join n a on a.r = i join n b on b.r = j")
@@ -307,27 +324,38 @@ def cosine_sim(spark, d):
     return _r(M.connect_sim(_rows(spark, d)), "sim")
 
 
+@query(f"with {_I}, n as (select r, sqrt(sum(x * x)) s from inc group by 1), p as (select a.r i, b.r j, sum(a.x * b.x) t from inc a join inc b on a.c = b.c group by 1, 2) select i, j, round(case when i = j then 0 else 1 - t / (a.s * b.s) end, 6) + 0.0 distance from p join n a on a.r = i join n b on b.r = j")
+def cosine_distances(spark, d):
+    return _r(M.cosine_distances(_rows(spark, d)), "distance")
+
+
+_I2 = "inc2 as (select c_nationkey r, p_brand c, cast(count(*) as double) x from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_quantity > 25 group by 1, 2)"
+
+
+@query(f"with {_I}, {_I2}, n as (select r, sqrt(sum(x * x)) s from inc group by 1), n2 as (select r, sqrt(sum(x * x)) s from inc2 group by 1), t as (select a.r i, b.r j, sum(a.x * b.x) t from inc a join inc2 b on a.c = b.c group by 1, 2), c as (select i, j, t / (a.s * b.s) c from t join n a on a.r = i join n2 b on b.r = j) select a.i, a.j, case when a.i = a.j then 1.0 else round((a.c + b.c) / 2, 6) end sim from c a join c b on a.i = b.j and a.j = b.i")
+def connect_sim_pair(spark, d):
+    return _r(M.connect_sim(_rows(spark, d), _rows(spark, d, "l_quantity > 25")), "sim")
+
+
 _D2 = f"{_I}, rr as (select distinct r from inc), cc as (select distinct c from inc), f as (select rr.r, cc.c, coalesce(x, 0) / 100 x from rr cross join cc left join inc on inc.r = rr.r and inc.c = cc.c), d2 as (select a.r i, b.r j, sum((a.x - b.x) ** 2) d2 from f a join f b on a.c = b.c group by 1, 2)"
 
 
 def _d2(spark, d):
-    rows = _rows(spark, d).withColumn("v", F.transform("v", lambda x: x / 100))
-    pairs = rows.select(F.col("row").alias("i"), F.col("v").alias("a")).join(rows.select(F.col("row").alias("j"), F.col("v").alias("b")), F.lit(True))
-    return pairs.select("i", "j", F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d2"))
+    return M.squared_distances(_rows(spark, d).withColumn("v", F.transform("v", lambda x: x / 100)))
 
 
-@query(f"with {_D2}, w as (select i, j, exp(-d2 / 2) w from d2), g as (select i, sum(w) g from w group by 1) select w.i, w.j, round(w / (a.g * b.g), 6) x from w join g a on a.i = w.i join g b on b.i = w.j")
+@query(f"with {_D2}, w as (select i, j, exp(-d2 / 8) w from d2), g as (select i, sum(w) g from w group by 1) select w.i, w.j, round(w / (a.g * b.g), 6) x from w join g a on a.i = w.i join g b on b.i = w.j")
 def diffusion_kernel(spark, d):
     from lattica.operators.linalg import diffusion_kernel as kernel
 
-    return _r(kernel(_d2(spark, d), 1.0), "x")
+    return _r(kernel(_d2(spark, d), 2.0), "x")
 
 
 @query()
 def diffusion_coords(spark, d):
     from lattica.operators import linalg
 
-    return linalg.diffusion_coords(linalg.diffusion_kernel(_d2(spark, d), 1.0), 2)
+    return linalg.diffusion_coords(linalg.diffusion_kernel(_d2(spark, d), 2.0), 2)
 
 
 # ---- graphs ----
@@ -418,17 +446,17 @@ _BFS = f"with recursive {_KNN}, bfs(a, b, d) as (select src, dst, 1 from g union
 
 @query(f"{_BFS} select round(avg(d), 6) path_length from far")
 def path_length(spark, d):
-    return _r(G.path_length(G.distances(_knn(spark, d))), "path_length")
+    return _r(G.path_length(G.reached(_knn(spark, d))), "path_length")
 
 
 @query(f"{_BFS} select round(sum(1 / d) / ({_NODES} * ({_NODES} - 1)), 6) global_efficiency from far")
 def global_efficiency(spark, d):
-    return _r(G.global_efficiency(G.distances(_knn(spark, d)), _n(spark, d)), "global_efficiency")
+    return _r(G.global_efficiency(G.reached(_knn(spark, d)), _n(spark, d)), "global_efficiency")
 
 
 @query(f"{_BFS} select max(e) diameter, min(e) radius from (select a, max(d) e from far group by 1)")
 def diameter_radius(spark, d):
-    return G.diameter_radius(G.distances(_knn(spark, d)))
+    return G.diameter_radius(G.reached(_knn(spark, d)))
 
 
 @query(f"with {_KNN}, dg as (select src, count(*) d from g group by 1) select round(corr(a.d, b.d), 6) assortativity from g join dg a on a.src = g.src join dg b on b.src = g.dst")
@@ -451,9 +479,26 @@ def small_worldness(spark, d):
     return G.small_worldness(_knn(spark, d), _n(spark, d), seed=1)
 
 
-@query()
+_LCC = "big as (select a, count(*) n from far group by 1), lcc as (select a from big where n = (select max(n) from big))"
+
+
+@query(f"""{_BFS}, {_LCC}, near as (select * from far where a in (select a from lcc)), dg as (select src node, count(*) d from g group by 1),
+    tr as (select a.src node, count(*) / 2 t from g a join g b on a.src = b.src and a.dst <> b.dst join g c on c.src = a.dst and c.dst = b.dst group by 1), lc as (select node, d, coalesce(t, 0) t from dg left join tr using (node)),
+    f as (select a.node, log10(a.d) y, log10(avg(exp(-0.5 * (a.d - b.d) ** 2)) / sqrt(2 * pi())) f from dg a cross join dg b group by 1, 2), k as (select {_NODES} n),
+    m as (select 'density' as name, (select count(*) from g) / (n * (n - 1)) v from k union all select 'vertices', n from k union all select 'edges', (select count(*) // 2 from g)
+    union all select 'avg_clustering', (select sum(case when d < 2 then 0 else 2 * t / (d * (d - 1)) end) / (select n from k) from lc) union all select 'transitivity', (select sum(t) / sum(d * (d - 1) / 2) from lc)
+    union all select 'lcc_path_length', (select avg(d) from near) union all select 'lcc_efficiency', (select sum(1 / d) / ((select count(*) from lcc) * ((select count(*) from lcc) - 1)) from near)
+    union all select 'diameter', (select max(d) from near) union all select 'radius', (select min(e) from (select a, max(d) e from near group by 1))
+    union all select 'path_length', (select avg(d) from far) union all select 'global_efficiency', (select sum(1 / d) / (select n * (n - 1) from k) from far)
+    union all select 'assortativity', (select corr(a.d, b.d) from g join dg a on a.node = g.src join dg b on b.node = g.dst) union all select 'scale_free_index', (select 1 - sum((y - f) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)) from f))
+    select name, round(cast(v as double), 6) "value" from m""")
 def metric_bundle(spark, d):
-    return G.bundle(_knn(spark, d), _n(spark, d))
+    return _r(G.bundle(_knn(spark, d), _n(spark, d), communities=False), "value")
+
+
+@query()
+def metric_bundle_communities(spark, d):
+    return G.bundle(_knn(spark, d), _n(spark, d), seed=1).where("name in ('community_q', 'modularity_q', 'small_worldness')")
 
 
 # ---- space and curves ----
@@ -543,16 +588,32 @@ def voxel_affine(spark, d):
     return _r(S.world(voxels, voxels.select("atlas").distinct().select("atlas", m.alias("m"))), "x", "y", "z")
 
 
-@query("with c as (select distinct user_id subject, event_type cluster from events) select subject from c group by 1 having count(*) = (select count(distinct event_type) from events)")
+@query("select user_id subject from events group by 1 having count(distinct hour(ts)) = (select count(distinct hour(ts)) from events)")
 def incomplete_subjects(spark, d):
-    present = _read(spark, d, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("cluster")).distinct()
+    """Users with an event in every hour of the day."""
+    present = _read(spark, d, "events").select(F.col("user_id").alias("subject"), F.hour("ts").alias("cluster")).distinct()
     return S.complete_subjects(present.select("cluster"), present)
 
 
-@query("select distinct user_id subject from events where user_id not in (select user_id from events where event_type = 'error')")
+@query("select distinct user_id subject from events where user_id not in (select user_id from events where event_type = 'error' and hour(ts) < 2)")
 def skip_done(spark, d):
-    e = _read(spark, d, "events").select(F.col("user_id").alias("subject"), "event_type")
-    return S.not_done(e.select("subject").distinct(), e.where("event_type = 'error'"))
+    """Users without an error in the first two hours of a day."""
+    e = _read(spark, d, "events").select(F.col("user_id").alias("subject"), "event_type", "ts")
+    return S.not_done(e.select("subject").distinct(), e.where("event_type = 'error' and hour(ts) < 2"))
+
+
+@query("select distinct '/data/' || source folder from documents")
+def child_folders(spark, d):
+    return R.folders(_document_files(spark, d), "/data")
+
+
+@query("select distinct '/data/' || source || '/' || lang folder from documents where lang like 'e_'")
+def matching_folders(spark, d):
+    return R.folders(_document_files(spark, d), "/data", "e?")
+
+
+def _document_files(spark, d):
+    return _read(spark, d, "documents").select(F.concat_ws("/", F.lit("/data"), "source", "lang", F.col("doc_id").cast("string")).alias("path"))
 
 
 @query("select r_name parent, cast(row_number() over (partition by r_regionkey order by n_nationkey) - 1 as int) child_pos, n_name child from nation join region on n_regionkey = r_regionkey")
@@ -695,7 +756,7 @@ def _nation_views(spark, d):
 def low_rank_consensus(spark, d):
     from lattica.operators.linalg import low_rank
 
-    return low_rank(spark, _nation_views(spark, d), 5, 100.0, 1000.0, iterations=5)[0]
+    return low_rank(spark, _nation_views(spark, d), 5, 100.0, 1000.0)[0]
 
 
 @query()
@@ -729,3 +790,91 @@ def spectral_modularity_q(spark, d):
 
     labels = spectral_split(_knn(spark, d))
     return G.modularity(_knn(spark, d), labels)
+
+
+@query(f"with {_E}, x as (select unnest(v) y, generate_subscripts(v, 1) p from e), m as (select p, avg(y) m from x group by 1) select round(sum((y - m) * (y - m)), 6) total, true as uncorrelated, true as falling from x join m using (p)")
+def pca_invariants(spark, d):
+    """All scores together hold the whole variance, are uncorrelated, and come in falling order of variance."""
+    from lattica.operators.linalg import pca
+
+    flat = staged(pca(_vectors(spark, d, False), 64).select("row", F.posexplode("v").alias("p", "x")))
+    total = flat.agg(F.sum(F.col("x") * F.col("x")).alias("total"))
+    cross = flat.join(flat.select("row", F.col("p").alias("q"), F.col("x").alias("y")), "row").where("p <= q").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    from pyspark.sql import Window
+
+    before = F.lag("s").over(Window.orderBy("p"))  # one row for each of 64 components
+    return _r(total.select("total", (cross.where("p < q").agg(F.max(F.abs("s"))).scalar() < 1e-6).alias("uncorrelated"), (~cross.where("p = q").withColumn("up", F.col("s") > before + 1e-9).agg(F.max(F.coalesce("up", F.lit(False)))).scalar()).alias("falling")), "total")
+
+
+@query(f"with {_I}, n as (select r, sqrt(sum(x * x)) s from inc group by 1), p as (select a.r i, b.r j, sum(a.x * b.x) t from inc a join inc b on a.c = b.c group by 1, 2), c as (select i, j, t / (a.s * b.s) c from p join n a on a.r = i join n b on b.r = j), v as (select w.v as view, i, j, c * (w.v + 1) c from c, (values (0), (1), (2), (3)) w(v)) select cast(view // 2 as int) subject, i \"row\", j col, round(sum(c), 6) x from v group by 1, 2, 3")
+def pair_fusion(spark, d):
+    from lattica.operators.linalg import fused
+
+    c = staged(M.cosine_pairs(_rows(spark, d), _rows(spark, d)))
+    views = M.views([c.select(F.col("i").alias("row"), F.col("j").alias("col"), (F.col("sim") * (k + 1)).alias("x")) for k in range(4)])
+    return _r(fused(views), "x")
+
+
+# ---- the composed stages ----
+
+def _curves(spark, d):
+    """(cluster, curve, points): users as curves in 20 clusters of 25; five clusters have none."""
+    own = _points(spark, d).select("curve", F.struct("pos", (F.col("x") / 24).alias("x"), "y", "z").alias("p"))
+    return own.groupBy("curve").agg(F.array_sort(F.collect_list("p")).alias("points")).select((F.col("curve") % 20).alias("cluster"), "curve", "points")
+
+
+def _stage1(spark, d):
+    from lattica.plans import pipelines as P
+
+    vc = P.vertex_clusters(_curves(spark, d), _sites(spark, d), spark.range(25).withColumnRenamed("id", "cluster"), 4.0)
+    return staged(vc)
+
+
+@query(f"with {_NEAR}, c as (select curve % 20 cluster, vertex, count(*) n from nn group by 1, 2) select cast(k as bigint) cluster, vertex, coalesce(n, 0) n from range(25) r(k) left join c on c.cluster = k")
+def stage1_vertex_clusters(spark, d):
+    return _stage1(spark, d)
+
+
+def _stage1_atlas(spark, d):
+    from lattica.plans import pipelines as P
+
+    voxels = _read(spark, d, "part").select(F.col("p_size").alias("atlas"), F.col("p_size").alias("i"), (F.col("p_retailprice") / 100).alias("j"), (F.col("p_partkey") % 50).alias("k"), ((F.col("p_partkey") % 4) / 4).alias("value"))
+    one = F.array(*[F.array(*[F.lit(float(a == b)) for b in range(4)]) for a in range(3)])
+    return P.cluster_atlas(_cloud(spark, d), voxels, voxels.select("atlas").distinct().select("atlas", one.alias("m")))
+
+
+_CT = f"{_ENDS}, {_SITES}, kept as (select * from s where vertex % 4 = 3), pres as (select curve % 20 cluster, curve, atlas, count(distinct pos) n from (select curve, pos, x / 24 x, y, z from p) q join kept s on (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) <= 4 group by 1, 2, 3), w as (select atlas, count(*) ** (1.0 / 3) w from kept group by 1), ct as (select cluster, atlas, sum(n / w.w) w from pres join w using (atlas) group by 1, 2)"
+
+
+@query(f"with {_CT} select cluster, atlas, round(w, 6) w from ct")
+def stage1_cluster_atlas(spark, d):
+    return _r(_stage1_atlas(spark, d), "w")
+
+
+@query(f"with {_CT}, nn as (select curve, \"end\", vertex from (select curve, \"end\", vertex, row_number() over (partition by curve, \"end\" order by (e.x - s.x) * (e.x - s.x) + (e.y - s.y) * (e.y - s.y) + (e.z - s.z) * (e.z - s.z), vertex) k from ends e cross join s) where k = 1), vc as (select curve % 20 cluster, vertex, count(*) n from nn group by 1, 2), vt as (select vertex, atlas, sum(n * w) x from vc join ct using (cluster) group by 1, 2) select vertex \"row\", atlas col, round(x / sum(x) over (partition by vertex), 6) x from vt")
+def stage1_vertex_atlas(spark, d):
+    from lattica.plans import pipelines as P
+
+    return _r(P.vertex_atlas(_stage1(spark, d), _stage1_atlas(spark, d)), "x")
+
+
+@query()
+def stage2_consensus(spark, d):
+    """Regions of two subjects with two views each (all brands or those of large orders), over a grid of parameters."""
+    from lattica.plans import pipelines as P
+
+    views = {0: _rows(spark, d), 1: _rows(spark, d, "l_quantity > 25"), 2: _rows(spark, d, "l_linenumber = 1"), 3: _rows(spark, d, "l_linenumber <> 1")}
+    return P.consensus_grid(views, P.parameter_grid(spark, **{"k": [3, 4], "lambda": [100.0], "rho": [1000.0]}), neighbours=5, seed=3)
+
+
+@query(f"with {_E}, o as (select unit, k, sub, (unit % 40 - 1 + sub * 3) % k + 1 l, v, s nrm from e, (values (5), (7)) a(k), (values (0), (1)) b(sub) where unit % 40 <> 0), {_SWEEP} select cast(k as int) k, round(avg(dbi), 6) dbi, round(avg(chi), 6) chi, round(avg(homogeneity), 6) homogeneity from each group by 1")
+def stage3_evaluated(spark, d):
+    """Row labels of two subjects at two points of a grid, expanded to units and measured."""
+    from lattica.plans import pipelines as P
+
+    supers = _read(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), (F.col("vec_id") % 40).alias("super_id"))
+    grid = P.parameter_grid(spark, k=[5, 7], subject=[0, 1])
+    rows = spark.range(39).withColumnRenamed("id", "row").join(F.broadcast(grid), F.lit(True))  # 39 regions by 4 points
+    rows = rows.select("k", "subject", "row", ((F.col("row") + F.col("subject") * 3) % F.col("k") + 1).alias("label"))
+    features = _vectors(spark, d).select("unit", "v").join(F.broadcast(grid.select("subject").distinct()), F.lit(True))
+    return _r(P.evaluated(supers, rows, features, ["k"], ["subject"]), "dbi", "chi", "homogeneity")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import graph as G
-from lattica.operators import labels as L
 from lattica.operators import linalg
 from lattica.operators import matrix as M
 from lattica.operators import quality as Q
 from lattica.operators import spatial as S
 from lattica.operators.cluster import kmeans
+from lattica.plans.staging import staged
 
 
 def vertex_clusters(curves: DataFrame, vertices: DataFrame, clusters: DataFrame, side: float) -> DataFrame:
@@ -32,12 +34,8 @@ def vertex_atlas(vc: DataFrame, ct: DataFrame) -> DataFrame:
     return M.row_normalized(M.matmul(left, ct.select(F.col("cluster").alias("row"), F.col("atlas").alias("col"), F.col("w").alias("x"))))
 
 
-def consensus(vectors: dict[int, DataFrame], k: int, lam: float, rho: float, *, neighbours: int = 15, iterations: int = 100, seed: int = 0) -> DataFrame:
-    """Stage 2: (subject, row, label) from views ``(row, v)``; views 2s and 2s + 1 are subject s.
-
-    k-nearest-neighbour graphs, normalized; their low-rank consensus; each subject's two views fused; spectral clusters.
-    """
-    spark = next(iter(vectors.values())).sparkSession
+def view_graphs(vectors: dict[int, DataFrame], neighbours: int = 15) -> tuple[list[int], dict[int, np.ndarray]]:
+    """The rows' ids, and per view ``(row, v)`` the matrix of its normalized k-nearest-neighbour graph. Rows are regions."""
     graphs, rows = {}, None
     for view, df in vectors.items():
         edges = G.normalized(G.knn_graph(df, neighbours)).collect()  # S rows of a few neighbours
@@ -47,12 +45,20 @@ def consensus(vectors: dict[int, DataFrame], k: int, lam: float, rho: float, *,
         for e in edges:
             a[at[e["src"]], at[e["dst"]]] = e["w"]
         graphs[view] = a
+    return rows or [], graphs
+
+
+def consensus(spark: SparkSession, rows: list[int], graphs: dict[int, np.ndarray], k: int, lam: float, rho: float, *, neighbours: int = 15, iterations: int = 100, seed: int = 0) -> DataFrame:
+    """Stage 2: (subject, row, label) from ``view_graphs``; views 2s and 2s + 1 are subject s.
+
+    The graphs' low-rank consensus; each subject's two views fused; their k-nearest-neighbour graph; spectral clusters.
+    """
     smooth, _ = linalg.low_rank(spark, graphs, k, lam, rho, iterations=iterations)
-    fused = smooth.groupBy(F.floor(F.col("view") / 2).cast("int").alias("subject"), "row", "col").agg((1 - F.sum("x")).alias("x"))
-    rows_ = fused.groupBy("subject", "row").agg(F.array_sort(F.collect_list(F.struct("col", "x"))).alias("e")).select("subject", "row", F.transform("e", lambda s: s["x"]).alias("v"))
+    far = linalg.fused(smooth).withColumn("x", 1 - F.col("x"))
+    rows_ = staged(far.groupBy("subject", "row").agg(F.array_sort(F.collect_list(F.struct("col", "x"))).alias("e")).select("subject", "row", F.transform("e", lambda s: s["x"]).alias("v")))
     out = None
-    for subject in range((len(vectors) + 1) // 2):
-        edges = G.knn_graph(rows_.where(F.col("subject") == subject).select("row", "v"), neighbours).withColumn("subject", F.lit(subject))
+    for subject in range((len(graphs) + 1) // 2):
+        edges = staged(G.knn_graph(rows_.where(F.col("subject") == subject).select("row", "v"), neighbours).withColumn("subject", F.lit(subject)))
         found = spectral_clusters(edges, k, seed=seed)
         out = found if out is None else out.unionByName(found)
     ids = spark.createDataFrame(list(enumerate(rows)), "row long, id long")
@@ -68,7 +74,38 @@ def spectral_clusters(edges: DataFrame, k: int, *, seed: int = 0) -> DataFrame:
     return subject.crossJoin(kmeans(unit, k, seed=seed)).select("subject", "row", "label")  # subject has one row
 
 
-def evaluated(supers: DataFrame, rows: DataFrame, features: DataFrame) -> DataFrame:
-    """Stage 3: metrics of the units' labels that row labels expand to; ``features (unit, v)``."""
-    labels = L.expand_labels(supers, rows)
-    return Q.metrics(features.join(labels, "unit").select("unit", "label", "v"))
+def consensus_grid(vectors: dict[int, DataFrame], grid: DataFrame, *, neighbours: int = 15, iterations: int = 100, seed: int = 0) -> DataFrame:
+    """Stage 2 for every point of ``grid (k, lambda, rho)``: (k, lambda, rho, subject, row, label). A grid has some dozen points."""
+    spark, out = grid.sparkSession, None
+    rows, graphs = view_graphs(vectors, neighbours)
+    for p in grid.select("k", "lambda", "rho").distinct().orderBy("k", "lambda", "rho").collect():
+        own = consensus(spark, rows, graphs, p["k"], p["lambda"], p["rho"], neighbours=neighbours, iterations=iterations, seed=seed)
+        one = staged(own.select(F.lit(p["k"]).alias("k"), F.lit(p["lambda"]).alias("lambda"), F.lit(p["rho"]).alias("rho"), "subject", "row", "label"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def parameter_grid(spark: SparkSession, **axes: list) -> DataFrame:
+    """All combinations of the axes' values, a column for each axis: a table of parameters, not of data."""
+    rows = list(itertools.product(*axes.values()))
+    kinds = {int: "int", float: "double", str: "string"}
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` {kinds[type(v[0])]}" for n, v in axes.items()))
+
+
+def write_runs(runs: DataFrame, path: str, axes: list[str]) -> None:
+    """Results of a grid as Parquet, a folder for each value of each axis; points written again replace their folders only."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*axes).parquet(path)
+
+
+def evaluated(supers: DataFrame, rows: DataFrame, features: DataFrame, axes: list[str] | None = None, subjects: list[str] | None = None) -> DataFrame:
+    """Stage 3: (axes, dbi, chi, homogeneity) of the units' labels that row labels expand to; ``features (subjects, unit, v)``.
+
+    rows has a label for each point of the axes, subject and row; the averages are over the subjects of a point. All points are one plan.
+    """
+    named = [*(axes or []), *(subjects or [])]
+    offset = supers.where("super_id <> 0").agg(F.min("super_id")).scalar()
+    units = supers.where("super_id <> 0").join(rows.withColumn("super_id", F.col("row") + offset), "super_id").select(*named, "unit", "label")
+    own = features.join(units, [*(subjects or []), "unit"]).select(*named, "label", "v")
+    if not named:
+        return Q.sweep(own.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+    return Q.sweep(own, axes or [], subjects)

@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session names none."""
+    """spark.checkpoint.dir. Where it is unset: in one JVM (a local master, as in tests) a temporary folder, which goes with the
+    driver; on a cluster a folder of the warehouse, which driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+    if not held.isEmpty():
+        return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lattica-stages"
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="lattica-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -159,3 +159,10 @@ def make_gifti(arrays: list[tuple[str, np.ndarray]], labels: dict[int, tuple] |
 
 def parse_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
+
+
+def npy_head(shape: tuple[int, ...]) -> bytes:
+    """What stands before the entries of an array of float64 in row order."""
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": "<f8", "fortran_order": False, "shape": shape})
+    return out.getvalue()

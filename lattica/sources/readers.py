@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +36,17 @@ def read_streamlines(spark: SparkSession, path: str | list[str], *, space: str =
 
 
 def read_voxels(spark: SparkSession, path: str | list[str], *, threshold: float | None = None) -> DataFrame:
-    """(path, i, j, k, value, m): voxels of all NIfTI files that are not 0, or above threshold, with the file's affine rows."""
+    """(path, i, j, k, value, m): voxels of all NIfTI files that are not 0, or above threshold, with the file's affine rows.
+
+    A volume with a fourth axis longer than 1 raises an error.
+    """
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 volume, affine = formats.parse_nifti(content.as_buffer().to_pybytes())
-                volume = volume.reshape(volume.shape[:3]) if volume.ndim > 3 and volume.size == np.prod(volume.shape[:3]) else volume
+                if volume.ndim > 3 and volume.size != np.prod(volume.shape[:3]):
+                    raise ValueError(f"{name} has more than three axes: {volume.shape}")
+                volume = volume.reshape((*volume.shape, 1, 1)[:3])
                 at = np.argwhere(volume != 0 if threshold is None else volume > threshold).astype(np.int32)
                 values = volume[tuple(at.T)].astype(float)
                 m = pa.array([affine.tolist()], pa.list_(pa.list_(pa.float64())))
@@ -73,6 +81,53 @@ def read_npy(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _files(spark, path, "*.npy").mapInArrow(run, "path string, row long, col long, x double")
 
 
+def write_npy(matrix: DataFrame, path: str, shape: tuple[int, int]) -> None:
+    """Writes a matrix ``(row, col, x)`` as one .npy file of float64, entries left out being 0, to any file system of Spark's.
+
+    Rows come to the driver one after the other, sorted, so one of them is in memory at a time.
+    """
+    spark = matrix.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    rows = matrix.groupBy("row").agg(F.collect_list(F.struct("col", "x")).alias("e")).orderBy("row")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(formats.npy_head(shape)))
+        done = 0
+        for r in itertools.chain(rows.toLocalIterator(), [None]):
+            upto = shape[0] if r is None else r["row"]
+            for _ in range(done, upto):
+                out.write(bytearray(8 * shape[1]))
+            if r is not None:
+                line = np.zeros(shape[1], "<f8")
+                line[[e["col"] for e in r["e"]]] = [e["x"] for e in r["e"]]
+                out.write(bytearray(line.tobytes()))
+            done = upto + 1
+    finally:
+        out.close()
+
+
+def folders(files: DataFrame, base: str, name: str | None = None) -> DataFrame:
+    """(folder): of the files ``(path)`` under base, the folders right below it; with name, the folders at any depth whose name matches
+    that pattern of *, ? and [...]."""
+    root = base.rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^file:/*", "/") if root.startswith("/") else F.col("path")
+    own = files.select(plain.alias("path")).where(F.startswith("path", F.lit(root)))
+    parts = own.select(F.slice(F.split(F.substring("path", len(root) + 1, 1 << 30), "/"), 1, 1 << 20).alias("parts")).where("size(parts) > 1")
+    if name is None:
+        return parts.select(F.concat(F.lit(root), F.col("parts")[0]).alias("folder")).distinct()
+    pieces = re.findall(r"\*|\?|\[!?\]?[^\]]*\]|.", name, re.S)
+    said = {"*": ".*", "?": "."}
+    pattern = "".join(said.get(x) or ("[^" + x[2:] if x.startswith("[!") else x if len(x) > 1 else re.escape(x)) for x in pieces)
+    up = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.struct(F.element_at("parts", n).alias("name"), F.concat(F.lit(root), F.array_join(F.slice("parts", F.lit(1), n), "/")).alias("folder")))
+    return parts.select(F.explode(up).alias("f")).where(F.rlike("f.name", F.lit(f"^(?:{pattern})$"))).select("f.folder").distinct()
+
+
+def read_folders(spark: SparkSession, base: str, name: str | None = None) -> DataFrame:
+    """``folders`` of the files that are there; their contents are not read."""
+    return folders(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path"), base, name)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(parent, child_pos, child) of a JSON object of parent -> list of children."""
     return catalog(spark.read.text(path, wholetext=True).select("value"))

@@ -27,7 +27,8 @@ def test_normalisers(spark):
 
 def test_metrics_of_a_path(spark):
     e = edges(spark, PATH)
-    far = G.distances(e)
+    far = G.reached(e)
+    assert {tuple(r) for r in G.distances(e).groupBy("a", "d").count().collect()} == {tuple(r) for r in far.collect()}
     assert G.path_length(far).first()[0] == pytest.approx(10 / 6)
     assert G.global_efficiency(far, 4).first()[0] == pytest.approx(13 / 18)
     assert tuple(G.diameter_radius(far).first()) == (3, 2)
@@ -183,3 +184,120 @@ def test_sweep_has_all_three_metrics(spark):
     assert {r.point: (r.dbi, r.chi, r.homogeneity) for r in Q.sweep(df, ["point"], ["subject"]).collect()} == {p: pytest.approx(np.mean([of(p, (0,)), of(p, (1,))], axis=0)) for p in (0, 1)}
     one = df.where("point = 0 and subject = 0")
     assert tuple(Q.metrics(one).first()) == pytest.approx(of(0, (0,)))
+
+
+def test_distances_of_odd_graphs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 90, (110, 2))] + [(200, 201), (300, 300)]
+    e = edges(spark, pairs)
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for a in near:
+        seen, front, d = {a}, {a}, 0
+        while front:
+            front = set().union(*(near[x] for x in front)) - seen
+            seen, d = seen | front, d + 1
+            if front:
+                want[a, d] = len(front)
+    assert {(r.a, r.d): r.n for r in G.reached(e).collect()} == want
+    monkeypatch.setattr(G, "EDGES", 0)
+    assert {(r.a, r.d): r.n for r in G.reached(e).collect()} == want
+    none = edges(spark, [(1, 1)])
+    assert G.reached(none).collect() == [] and G.distances(none).collect() == []
+    assert G.density(none, 1).first().density == 0 and G.global_efficiency(G.reached(none), 1).first()[0] == 0
+
+
+def test_small_worldness_takes_transitivity(spark):
+    e = edges(spark, [(i, (i + j) % 12) for i in range(12) for j in (1, 2)])
+    other = G.random_graph(12, 24, spark, 5)
+    ratio = lambda g: G.transitivity(g).first()[0] / G.path_length(G.reached(g)).first()[0]
+    assert G.transitivity(e).first()[0] == pytest.approx(0.5) and G.path_length(G.reached(e)).first()[0] == pytest.approx((4 + 4 * 2 + 3 * 3) / 11)
+    assert G.small_worldness(e, 12, seed=5).first().sigma == pytest.approx(ratio(e) / ratio(other))
+
+
+def test_bundle(spark):
+    e = edges(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (7, 8)])
+    got = {r.name: r.value for r in G.bundle(e, 8, seed=1).collect()}
+    assert got["vertices"] == 8 and got["edges"] == 5 and got["density"] == pytest.approx(10 / 56) and got["transitivity"] == pytest.approx(0.6)
+    assert got["lcc_path_length"] == pytest.approx(16 / 12) and got["path_length"] == pytest.approx(18 / 14) and got["diameter"] == 2 and got["radius"] == 1
+    assert got["lcc_efficiency"] == pytest.approx(10 / 12) and got["global_efficiency"] == pytest.approx(12 / 56) and got["community_q"] > 0.2 and got["modularity_q"] > 0.2
+    assert {"avg_clustering", "assortativity", "scale_free_index", "small_worldness"} <= set(got)
+
+
+def test_scale_free_counts_bare_nodes(spark):
+    degrees = np.array([3, 2, 2, 1, 0, 0])
+    density = np.exp(-0.5 * (degrees[:, None] - degrees[None]) ** 2).mean(axis=1) / np.sqrt(2 * np.pi)
+    y, f = np.log10(np.maximum(degrees, 1)), np.log10(density)
+    e = edges(spark, [(0, 1), (1, 2), (2, 0), (0, 3)])
+    assert G.scale_free_index(e, 6).first().r2 == pytest.approx(1 - ((y - f) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def test_pairs_of_two_matrices(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 5, 4))
+    a[2] = 0
+    frame = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "row int, v array<double>")
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
+    c = unit(a) @ unit(b).T
+    want = (c + c.T) / 2
+    np.fill_diagonal(want, 1)
+    got = np.zeros((5, 5))
+    for r in M.connect_sim(frame(a), frame(b)).collect():
+        got[r.i, r.j] = r.sim
+    assert np.allclose(got, want)
+    far = {(r.i, r.j): r.distance for r in M.cosine_distances(frame(a)).collect()}
+    assert far[2, 2] == 0 and far[2, 1] == 1 and far[0, 1] == pytest.approx(1 - (unit(a) @ unit(a).T)[0, 1])
+    d2 = {(r.i, r.j): r.d2 for r in M.squared_distances(frame(a)).collect()}
+    assert d2[0, 3] == pytest.approx(((a[0] - a[3]) ** 2).sum()) and len(d2) == 25
+
+
+def test_diffusion_kernel_squares_epsilon(spark):
+    pairs = spark.createDataFrame([(0, 0, 0.0), (0, 1, 3.0), (1, 0, 3.0), (1, 1, 0.0)], "i int, j int, d2 double")
+    w = np.exp(-np.array([[0, 3.0], [3.0, 0]]) / (2 * 0.5**2))
+    got = {(r.i, r.j): r.x for r in linalg.diffusion_kernel(pairs, 0.5).collect()}
+    assert got[0, 1] == pytest.approx((w / w.sum(axis=1)[:, None] / w.sum(axis=1)[None])[0, 1])
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_nearest_far_points(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "SITES", few)
+    rng = np.random.default_rng(11)
+    sites = rng.normal(size=(60, 3)).round(1)
+    points = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(20, 3)) * 40 + 300])
+    frame = lambda m, name: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(m)], f"{name} long, x double, y double, z double")
+    got = {r.p: r.s for r in S.nearest(frame(points, "p"), frame(sites, "s"), 0.5, ["p"], "s").collect()}
+    assert got == {i: int(((sites - x) ** 2).sum(axis=1).argmin()) for i, x in enumerate(points)}
+    assert S.nearest(frame(points, "p"), frame(sites[:0], "s"), 0.5, ["p"], "s").collect() == []
+    assert S.nearest(frame(points[:0], "p"), frame(sites, "s"), 0.5, ["p"], "s").collect() == []
+
+
+def test_complete_subjects(spark):
+    present = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 9), ("b", 1), ("b", 9)], "subject string, cluster int")
+    assert [r.subject for r in S.complete_subjects(spark.createDataFrame([(1,), (2,), (2,)], "cluster int"), present).collect()] == ["a"]
+
+
+def test_sweep_counts_missing_labels(spark):
+    rows = [(0, 1, [1.0, 0.0]), (1, 1, [1.0, 1.0]), (2, 4, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "unit int, label int, v array<double>").withColumn("k", F.lit(7))
+    mean = Q.homogeneity(v).agg(F.avg("homogeneity")).first()[0]
+    assert Q.sweep(v, ["k"]).first().homogeneity == pytest.approx(mean) == pytest.approx((math.sqrt(0.5) + 3) / 4)
+
+
+def test_low_rank_in_one_task_equals_rounds_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    views = {}
+    for v in range(4):
+        x = np.repeat(np.eye(2), 5, axis=0) + rng.normal(size=(10, 2)) * 0.1
+        views[v] = x @ x.T
+    one, losses = linalg.low_rank(spark, views, 2, 1.0, 0.5, iterations=4)
+    monkeypatch.setattr(linalg, "LOCAL", 0)
+    many, again = linalg.low_rank(spark, views, 2, 1.0, 0.5, iterations=4)
+    assert losses == pytest.approx(again)
+    a, b = ({(r.view, r.row, r.col): r.x for r in m.collect()} for m in (one, many))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    both = {(r.subject, r.row, r.col): r.x for r in linalg.fused(one).collect()}
+    assert len(both) == 200 and both[1, 3, 4] == pytest.approx(a[2, 3, 4] + a[3, 3, 4])

@@ -56,4 +56,52 @@ def test_ingest_counts_a_subject_once(spark, tmp_path):
     for rows in (hits, hits):
         rows.write.mode("append").parquet(source)
         ingest_hits(spark, source, out, mark).awaitTermination()
-    assert {(r.subject, r.cluster, r.vertex, r.n) for r in spark.read.parquet(out).collect()} == {("s1", 1, 5, 2), ("s2", 2, 6, 1)}
+    assert {(r.subject, r.cluster, r.vertex, r.n, r.batch) for r in spark.read.parquet(out).collect()} == {("s1", 1, 5, 2, 0), ("s2", 2, 6, 1, 0)}
+    assert spark.read.parquet(out + "_late").groupBy("batch").count().collect()[0].asDict() == {"batch": 1, "count": 3}
+    spark.createDataFrame([("s3", 1, 1)], "subject string, cluster int, vertex long").write.mode("append").parquet(source)
+    ingest_hits(spark, source, out, mark).awaitTermination()
+    assert {r.subject for r in spark.read.parquet(out).collect()} == {"s1", "s2", "s3"}
+
+
+def test_npy_is_written_and_read(spark, tmp_path):
+    m = spark.createDataFrame([(0, 1, 2.0), (3, 0, -1.5), (3, 2, 4.0)], "row int, col int, x double")
+    readers.write_npy(m, f"file://{tmp_path}/m.npy", (5, 3))
+    want = np.zeros((5, 3))
+    want[0, 1], want[3, 0], want[3, 2] = 2, -1.5, 4
+    assert np.array_equal(np.load(tmp_path / "m.npy"), want)
+    assert {(r.row, r.col, r.x) for r in readers.read_npy(spark, str(tmp_path)).collect()} == {(0, 1, 2.0), (3, 0, -1.5), (3, 2, 4.0)}
+
+
+def test_folders(spark, tmp_path):
+    for name in ("s1/run_a/x.bin", "s1/run_b/deep/run_c/y.bin", "s2/z.bin", "top.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    at = lambda *names: {f"{tmp_path}/{n}" for n in names}
+    found = lambda name=None: {r.folder for r in readers.read_folders(spark, str(tmp_path), name).collect()}
+    assert found() == at("s1", "s2") and found("run_*") == at("s1/run_a", "s1/run_b", "s1/run_b/deep/run_c")
+    assert found("s[!1]") == at("s2") and found("run_?") == found("run_[abc]") == found("run_*") and found("run.a") == set()
+
+
+def test_runs_of_a_grid(spark, tmp_path):
+    from lattica.plans import pipelines as P
+
+    grid = P.parameter_grid(spark, **{"k": [3, 4], "lambda": [0.5], "hemi": ["L", "R"]})
+    assert grid.count() == 4
+    P.write_runs(grid.withColumn("label", grid["k"] * 10), str(tmp_path / "runs"), ["k", "lambda", "hemi"])
+    P.write_runs(grid.where("k = 4").withColumn("label", grid["k"] * 100), str(tmp_path / "runs"), ["k", "lambda", "hemi"])
+    assert (tmp_path / "runs/k=4/lambda=0.5/hemi=L").is_dir()
+    assert {(r.k, r.hemi, r.label) for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {(3, "L", 30), (3, "R", 30), (4, "L", 400), (4, "R", 400)}
+
+
+def test_consensus_finds_two_clusters(spark):
+    from lattica.plans import pipelines as P
+
+    rng = np.random.default_rng(2)
+    views = {}
+    for v in range(2):
+        x = np.repeat([[1.0, 0, 0], [0, 1.0, 0]], 8, axis=0) + rng.normal(size=(16, 3)) * 0.02
+        views[v] = spark.createDataFrame([(100 + i, r.tolist()) for i, r in enumerate(x)], "row long, v array<double>")
+    grid = P.parameter_grid(spark, **{"k": [2], "lambda": [10.0], "rho": [1.0]})
+    rows = P.consensus_grid(views, grid, neighbours=4, iterations=5).collect()
+    label = {r.row: r.label for r in rows}
+    assert len(rows) == 16 and len({label[100 + i] for i in range(8)}) == 1 and len({label[108 + i] for i in range(8)}) == 1 and label[100] != label[108]
