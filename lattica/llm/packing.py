@@ -4,8 +4,9 @@ Documents become token ids plus an end id; a longer one is first cut into full w
 puts pieces, longest first, into the open window of least sufficient capacity, which a segment tree over
 capacities finds. Pieces of one length are interchangeable, so the plan needs their numbers per length only (at
 most ``window`` of them) and works on groups of windows that were filled alike. The plan says for each length which
-ranks go to which windows at which offset; pieces get their rank per length from counts per task, and then look up
-their place, each on its own.
+ranks go to which windows at which offset. Pieces are dealt into ranges of length, so a length lies in neighbouring ranges
+only: counts per range and length are as many as lengths and ranges together, and give each piece its rank. Each piece then
+looks up its place on its own.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import settled, table
 
 WINDOW, END = 4096, 2
-#: Words whose ids a worker remembers: fewer take less memory and more time.
-HELD = 800_000
+#: Bytes of words and ids that a worker remembers, some 35 MB with their overhead; longer words than LONG are not remembered.
+HELD, LONG = 4 << 20, 64
 _kept: dict[tuple[str, int], "Ids"] = {}
 #: Letters up to U+024F and common punctuation: composed already, and one character's lower case does not depend on its
 #: neighbours. Without the separators on which patterns' white space differs.
@@ -36,7 +37,9 @@ class Ids:
     """Token ids of texts.
 
     A plain text is cut into words by the tokenizer file's own pattern, and each word that is new goes through the file's
-    model, many at a time; words are remembered. All other texts go through the whole tokenizer.
+    model, many at a time. Words are remembered in two generations of ``held`` bytes each: when the younger one is full it
+    becomes the older one, and words met again move to the younger one, so frequent words stay. All other texts go through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, held: int = HELD):
@@ -51,17 +54,17 @@ class Ids:
             pattern = pattern.replace(rf"\p{{{kind}}}", "".join(re.escape(c) for c in map(chr, range(0x250)) if regex.match(rf"\p{{{kind}}}", c)))
         self.cut = re.compile(pattern)
         self.added = [t["content"] for t in said["added_tokens"]]
-        self.parts = Tokenizer.from_file(path)
-        self.parts.normalizer = None
+        self.parts = Tokenizer(self.tokenizer.model)  # the same model, without normalizer and added tokens
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = said["model"]["end_of_word_suffix"]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.held = held
+        self.older: dict[str, bytes] = {}
+        self.size, self.held = 0, held
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
         for a in range(0, len(new), 4096):
             some = new[a : a + 4096]
             ids = np.array(self.parts.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -70,34 +73,55 @@ class Ids:
                 raise ValueError("the tokenizer's model does not mark the ends of words")
             data, start = ids.tobytes(), 0
             for word, stop in zip(some, stops.tolist(), strict=True):
-                self.known[word] = data[start:stop]
+                known[word] = data[start:stop]
                 start = stop
 
+    def _looked_up(self, words: list[str]) -> bytes:
+        """The ids of words, one after the other."""
+        known, older, more = self.known, self.older, {}
+        if new := set(words).difference(known):
+            unknown = []
+            for word in new:
+                ids = older.get(word)
+                if ids is None:
+                    unknown.append(word)
+                else:
+                    more[word] = ids
+            if unknown:
+                self._learn(unknown, more)
+            short = {w: x for w, x in more.items() if len(w) <= LONG}
+            known.update(short)
+            self.size += sum(map(len, short)) + sum(map(len, short.values()))
+            if len(short) < len(more):
+                out = b"".join([known[w] if w in known else more[w] for w in words])
+            else:
+                out = b"".join(map(known.__getitem__, words))
+            if self.size > self.held:
+                self.older, self.known, self.size = known, {}, 0
+            return out
+        return b"".join(map(known.__getitem__, words))
+
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        known, cut = self.known, self.cut.findall
+        cut = self.cut.findall
         out = []
         for text in texts:
             if _PLAIN.fullmatch(text) and not any(a in text for a in self.added):
-                words = cut(text.lower())
-                if len(known) > self.held:
-                    known.clear()
-                if new := set(words).difference(known):
-                    self._learn(list(new))
-                out.append(b"".join(map(known.__getitem__, words)))
+                out.append(self._looked_up(cut(text.lower())))
             else:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 
-def _pieces(path: str, window: int, end: int, held: int, keep: bool):
+def _pieces(path: str, window: int, end: int, held: int):
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids = _kept.get((path, held)) or Ids(path, held)
-        if keep:
-            _kept[path, held] = ids
+        if (path, held) not in _kept:
+            _kept.clear()  # one tokenizer at a time
+            _kept[path, held] = Ids(path, held)
+        ids = _kept[path, held]
         for batch in batches:
             docs, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, batch.num_rows, 200):
@@ -110,9 +134,7 @@ def _pieces(path: str, window: int, end: int, held: int, keep: bool):
                         for to, x in zip(out, (a + i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                             to.append(x)
                 yield pa.record_batch([docs.take(pa.array(out[0])), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        if not keep:
-            del ids
-            settled()
+        settled()
     return run
 
 
@@ -185,7 +207,22 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
     return rows
 
 
-def _placed(rows: list[tuple[int, int, int, int, int]]):
+def _ranked(batches):
+    """Adds each piece's place among those of its length in its range; rows come sorted by length, a range is a task."""
+    held = [-1, 0]  # the last length and how many of it came
+    for batch in batches:
+        length = np.asarray(batch.column("length"))
+        if not len(length):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], length[1:] != length[:-1])))
+        nth = np.arange(len(length)) - np.repeat(first, np.diff(np.append(first, len(length))))
+        if length[0] == held[0]:
+            nth[: first[1] if len(first) > 1 else len(nth)] += held[1]
+        held = [length[-1], int(nth[-1]) + 1]
+        yield pa.record_batch([*batch.columns, pa.array(nth)], names=[*batch.schema.names, "nth"])
+
+
+def _placed(rows: list[tuple[int, int, int, int, int]], base: dict[tuple[int, int], int]):
     keys = [(r[0], r[1]) for r in rows]
     order = sorted(range(len(rows)), key=keys.__getitem__)
     keys = [keys[i] for i in order]
@@ -194,7 +231,9 @@ def _placed(rows: list[tuple[int, int, int, int, int]]):
     def run(batches):
         spots: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
+            length, part, nth = (np.asarray(batch.column(c)) for c in ("length", "part", "nth"))
+            pairs, which = np.unique(np.column_stack((part, length)), axis=0, return_inverse=True)
+            rank = nth + np.array([base[p, n] for p, n in pairs.tolist()], np.int64)[which.ravel()]
             at = np.empty(len(length), np.int64)
             for size in np.unique(length):
                 if size not in spots:
@@ -214,20 +253,24 @@ def _placed(rows: list[tuple[int, int, int, int, int]]):
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD, keep: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer is the path of its file, which every executor has. A worker remembers the ids of ``held`` words, with ``keep``
-    from task to task. A null text is an empty one: its only id is the end id.
+    tokenizer is the path of its file, which every executor has. A worker remembers the ids of words up to ``held`` bytes.
+    A null text is an empty one: its only id is the end id. A null id is kept.
     Rows that repeat are packed each. Offsets in a sequence have no gaps and start at 0. Other columns are ignored; an empty
     table gives no piece.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held, keep), _PIECE).withColumn("task", F.spark_partition_id()), "pieces")
-    counts = table(pieces.groupBy("task", "length").count(), "lengths")
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # window rows at most
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("task", "length").orderBy("doc_id", "start"))
-    ranked = pieces.withColumn("nth", nth).join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth") - 1)
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_placed(plan(total, window)), _PIECE + ", sequence_id long, offset long")
+    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held), _PIECE).withColumn("n", F.monotonically_increasing_id()), "pieces")
+    # the number of the row lets pieces that are alike in all else lie in several ranges
+    order = ["length", "doc_id", "start", "n"]
+    ranged = pieces.repartitionByRange(*order).sortWithinPartitions(*order).drop("n").withColumn("part", F.spark_partition_id().cast("long"))
+    ranked = table(ranged.mapInArrow(_ranked, _PIECE + ", part long, nth long"), "ranked")
+    counts = sorted((r["part"], r["length"], r["n"]) for r in ranked.groupBy("part", "length").agg(F.max("nth").alias("n")).collect())  # as many as lengths and ranges together
+    total: dict[int, int] = {}
+    base = {}
+    for part, length, last in counts:
+        base[part, length] = total.get(length, 0)
+        total[length] = base[part, length] + last + 1
+    return ranked.mapInArrow(_placed(plan(total, window), base), _PIECE + ", sequence_id long, offset long")
