@@ -1,26 +1,26 @@
 """WARC archives: writing captures as request, response and metadata records, and assembling them again.
 
 Writing builds each record in built-in functions and uses Spark's text sink with the record end (two line ends) as line
-separator, so files appear by Spark's own commit, wherever Spark can write. Reading walks the records by their
-Content-Length. Records of one capture are joined through WARC-Concurrent-To: request and metadata name the
+separator, so files appear by Spark's own commit, wherever Spark can write. Reading streams the archives and walks the
+records by their Content-Length. Records of one capture are joined through WARC-Concurrent-To: request and metadata name the
 response or revisit record; revisits then take their payload's size from the response that they refer to.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import settled, shared_path, table
 
 END = "\r\n\r\n"
-#: Records in a file at most, so that a file is read in bounded memory.
+#: Captures in a file at most, so that reading has tasks enough.
 FILE_RECORDS = 1500
 #: RFC 4648 digits.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -80,65 +80,102 @@ def write_captures(captures: DataFrame, path: str, *, page_id: str = "page_id",
     records.write.option("lineSep", END).option("maxRecordsPerFile", 3 * file_records).option("compression", compression).text(path)
 
 
-_HEAD = re.compile(rb"\A(WARC/1\.[01])\r\n((?:[^\r\n]+\r\n)*)\r\n")
 _FIELDS = "type string, record_id string, concurrent_to string, refers_to string, url string, payload_digest string, page_id long, payload_bytes long, payload string"
 
 
-def parse_records(data: bytes, with_payload: bool = True):
-    """The records of one archive, one after the other; a broken record raises ValueError."""
-    at = 0
-    while at < len(data):
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0 or not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {}
-        for line in data[at:head_end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.strip().lower()] = value.strip()
-        start = head_end + 4
-        stop = start + int(fields[b"content-length"])
-        if stop > len(data) or data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record at byte {at} does not end as its length says")
-        kind = fields[b"warc-type"].decode()
-        out = {"type": kind, "page_id": None, "payload_bytes": None, "payload": None}
-        for key, name in (("record_id", b"warc-record-id"), ("concurrent_to", b"warc-concurrent-to"), ("refers_to", b"warc-refers-to"), ("url", b"warc-target-uri"), ("payload_digest", b"warc-payload-digest")):
-            value = fields.get(name)
-            out[key] = None if value is None else value.decode()
-        if kind == "metadata":
-            found = re.search(rb"^pageId: (-?\d+)\r$", data[start:stop], re.M)
-            out["page_id"] = int(found[1]) if found else None
-        elif kind == "response":
-            body = data.find(b"\r\n\r\n", start, stop) + 4
-            out["payload_bytes"] = stop - body
-            digest = "sha1:" + base64.b32encode(hashlib.sha1(memoryview(data)[body:stop]).digest()).decode()
-            if digest != out["payload_digest"]:
-                raise ValueError(f"the payload of {out['record_id']} does not have its digest")
-            if with_payload:
-                out["payload"] = data[body:stop].decode()
-        yield out
-        at = stop + 4
+def _record_at(data: bytes, at: int, with_payload: bool) -> tuple[dict | None, int]:
+    """The record that starts at a byte, and the byte behind it; None and the bytes it needs if data end before (0: unknown)."""
+    head_end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(b"WARC/1.", at) and not b"WARC/1.".startswith(data[at:]):
+        raise ValueError(f"no WARC record at byte {at}")
+    if head_end < 0:
+        return None, 0
+    fields = {}
+    for line in data[at:head_end].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        fields[name.strip().lower()] = value.strip()
+    start = head_end + 4
+    stop = start + int(fields[b"content-length"])
+    if stop + 4 > len(data):
+        return None, stop + 4
+    if data[stop : stop + 4] != b"\r\n\r\n":
+        raise ValueError(f"a record at byte {at} does not end as its length says")
+    kind = fields[b"warc-type"].decode()
+    out = {"type": kind, "page_id": None, "payload_bytes": None, "payload": None}
+    for key, name in (("record_id", b"warc-record-id"), ("concurrent_to", b"warc-concurrent-to"), ("refers_to", b"warc-refers-to"), ("url", b"warc-target-uri"), ("payload_digest", b"warc-payload-digest")):
+        value = fields.get(name)
+        out[key] = None if value is None else value.decode()
+    if kind == "metadata":
+        found = re.search(rb"^pageId: (-?\d+)\r$", data[start:stop], re.M)
+        out["page_id"] = int(found[1]) if found else None
+    elif kind == "response":
+        body = data.find(b"\r\n\r\n", start, stop) + 4
+        out["payload_bytes"] = stop - body
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(memoryview(data)[body:stop]).digest()).decode()
+        if digest != out["payload_digest"]:
+            raise ValueError(f"the payload of {out['record_id']} does not have its digest")
+        if with_payload:
+            out["payload"] = data[body:stop].decode()
+    return out, stop + 4
+
+
+def parse_records(pieces: Iterable[bytes], with_payload: bool = True) -> Iterator[dict]:
+    """The records of archives that come in pieces, one after the other; a broken record raises ValueError. One record is held at a time."""
+    held, size, need = [], 0, 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size < need:
+            continue
+        data, at, need = b"".join(held), 0, 0
+        while at < len(data):
+            if data[at : at + 1] in b"\r\n":  # line ends behind a record's own: a stream that is cut at record ends has one more at its end
+                at += 1
+                continue
+            record, upto = _record_at(data, at, with_payload)
+            if record is None:
+                need = max(0, upto - at)
+                break
+            yield record
+            at = upto
+        held, size = [data[at:]], len(data) - at
+    if size:
+        raise ValueError("the last record is not complete")
 
 
 def read_records(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives under path."""
+    """One row per record of the archives under path.
+
+    Compressed archives (.gz, of one member or one for each record) are read as a stream that is cut at record ends and put
+    together again, so a task holds a record at a time, whatever the archive's size. Other archives are held as a whole.
+    """
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     types = dict(page_id=pa.int64(), payload_bytes=pa.int64())
 
-    def run(batches):
+    def rows(pieces):
+        held = []
+        for record in parse_records(pieces, with_payload):
+            held.append(record)
+            if len(held) == (200 if with_payload else 2000):
+                yield pa.record_batch([pa.array([r[n] for r in held], types.get(n, pa.string())) for n in names], names=names)
+                held = []
+        if held:
+            yield pa.record_batch([pa.array([r[n] for r in held], types.get(n, pa.string())) for n in names], names=names)
+
+    def streamed(batches):
+        end = END.encode()
+        yield from rows(x.as_buffer().to_pybytes() + end for batch in batches for x in batch.column("value"))
+        settled()
+
+    def whole(batches):
         for batch in batches:
             for content in batch.column("content"):
-                held = []
-                data = content.as_buffer().to_pybytes()
-                for record in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, with_payload):
-                    held.append(record)
-                    if len(held) == 1000:
-                        yield pa.record_batch([pa.array([r[n] for r in held], types.get(n, pa.string())) for n in names], names=names)
-                        held = []
-                if held:
-                    yield pa.record_batch([pa.array([r[n] for r in held], types.get(n, pa.string())) for n in names], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, _FIELDS)
+                yield from rows([content.as_buffer().to_pybytes()])
+        settled()
+
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").option("recursiveFileLookup", "true").load(path).select("content")
+    return lines.mapInArrow(streamed, _FIELDS).unionByName(files.mapInArrow(whole, _FIELDS))
 
 
 def assemble(records: DataFrame) -> DataFrame:

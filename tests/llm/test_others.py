@@ -237,7 +237,20 @@ def test_round_trip(spark):
     assert len(set(ids)) == len(ids) == 3 * len(PAGES)
     assert warc.round_trip(df.limit(0)).collect() == []
     with pytest.raises(ValueError, match="byte 0"):
-        list(warc.parse_records(b"junk"))
+        list(warc.parse_records([b"junk"]))
+    with pytest.raises(ValueError, match="not complete"):
+        list(warc.parse_records([b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 5\r\n\r\nab"]))
+    bare = shared_path(spark, "test-warc")
+    warc.write_captures(df, bare, compression="none")
+    assert sorted((r.page_id or -1, r.payload) for r in warc.assemble(warc.read_records(spark, bare)).collect()) == want
+
+
+def test_records_in_pieces():
+    block = b"a\r\n\r\nb\r\n"
+    record = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for n in (1, 7, 30, 10_000):
+        data = record * 5
+        assert len(list(warc.parse_records(data[i : i + n] for i in range(0, len(data), n)))) == 5
 
 
 # ---- licences ----
