@@ -36,7 +36,7 @@ WIDE = {
 #: What the written form labeler takes for well written.
 FORM = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:@|[\[(]at[\])]) ?(?:[A-Za-z0-9-]{1,63}(?:\.| ?[\[(]dot[\])] ?))+[A-Za-z]{2,24}$",
-    "ip": r"^(?:(?:(?:0|[1-9][0-9]{0,2})(?:\.|\[\.\])){3}(?:0|[1-9][0-9]{0,2})|[0-9A-Fa-f:]{7,39})$",
+    "ip": r"^(?:(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|\[\.\])){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])|[0-9A-Fa-f:]{7,39})$",
     "card": r"^(?:[0-9]{14,16}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$",
     "phone": r"^(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9 .-]+)$",
     "secret": r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35})$",
@@ -126,7 +126,8 @@ def _votes(c: Column, around: Column) -> Column:
     letters = lambda text: F.size(F.array_distinct(F.split(text, "")))
     sums = {
         "email": ~F.rlike(hit, F.lit(r"\.\.|[.-]@|@-|-\.|\.-|-$")),
-        "ip": F.forall(F.split(F.regexp_replace(hit, r"\[\.\]", "."), r"[.:]"), lambda p: F.when(F.contains(hit, F.lit(":")), F.length(p) <= 4).otherwise(F.rlike(p, F.lit("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")))),
+        # a host's first number, and not one number over and over
+        "ip": F.rlike(hit, F.lit("^(?:0*(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])[.\\[]|[0-9A-Fa-f]{1,4}:)")) & (F.size(F.array_distinct(F.split(hit, r"[.:\[\]]+"))) > 1),
         "card": let(_digits(hit), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(F.lit(False))),
         "phone": F.length(_digits(hit)).between(10, 15),
         "secret": letters(F.lower(hit)) >= 10,
