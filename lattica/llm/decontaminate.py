@@ -16,8 +16,8 @@ from .common import let, table
 #: What stands between words: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of the benchmark side up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of the benchmark side up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -87,7 +87,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     spots = bench.select("item", "width", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("width")), lambda s: F.array_join(F.slice(F.col("words"), s + 1, F.col("width")), " "))).alias("win"))
     wins = table(spots.groupBy("width", "win").agg(F.sort_array(F.collect_set("item")).alias("in_items")), "windows")
     prints = table(bench.select("width", F.explode(_winnowed(F.col("words"), window, k, short)).alias("f")).where("f.width = width").select(F.col("f.h").alias("h"), F.col("f.width").alias("width")).distinct(), "prints")
-    small = wins.count() <= BROADCAST_ROWS and prints.count() <= BROADCAST_ROWS
+    # bytes of the windows with 64 for each row besides; prints are two numbers
+    weight = wins.agg(F.coalesce(F.sum(F.octet_length("win") + F.aggregate("in_items", F.lit(0), lambda s, i: s + F.octet_length(i) + 8) + 64), F.lit(0))).first()[0]
+    small = weight <= BROADCAST_BYTES and 64 * prints.count() <= BROADCAST_BYTES
     side = F.broadcast if small else (lambda df: df)
 
     marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("width"), F.lit(-1).alias("s"), F.lit(-1).alias("e")))

@@ -1,8 +1,8 @@
 """Near-duplicate vectors by tiled comparison in the order of principal components.
 
 Vectors are scaled to length 1 and turned into the basis of the principal components of all vectors, largest
-variance first; cosines stay the same. Equal vectors are one vector with a count. Ranges of the first
-component make tiles. A pair of tiles is compared only if their first components can be near enough. It
+variance first; cosines stay the same. Equal vectors are one vector with a count. Cells of the leading components, cut at
+their quantiles, make tiles, each with its box. A pair of tiles is compared only if their boxes are near enough. It
 adds up products over the leading dimensions and bounds the rest by the product of the norms of the suffixes; rows and
 columns without a pair that can still reach the threshold leave, and the tile stops when none is left. What remains
 is decided by the exact cosine of the vectors as given, in double precision.
@@ -12,14 +12,18 @@ A tile pair returns the number of links per vector and a spanning forest of its
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, settled, table
 
 TILE = 4096
+#: Leading components whose cells make tiles.
+LEADING = 4
 #: Dimensions after which the bound is taken.
 STEPS = (8, 16, 32)
 _SLACK = 1e-9
@@ -53,14 +57,15 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 
 def _keyed(basis: dict[int, np.ndarray]):
-    """Adds the first component as the sorting key."""
+    """Adds the leading components; of a vector of fewer the rest are 0."""
     def run(batches):
         for batch in batches:
-            keys = []
-            for v in batch.column("v"):
+            lead = np.zeros((batch.num_rows, LEADING))
+            for i, v in enumerate(batch.column("v")):
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)[None]
-                keys.append(float((x / _norms(x)[:, None])[0] @ basis[x.shape[1]][:, 0]))
-            yield pa.record_batch([batch.column("rep"), batch.column("many"), batch.column("v"), pa.array(keys, pa.float64())], names=["rep", "many", "v", "key"])
+                own = ((x / _norms(x)[:, None]) @ basis[x.shape[1]][:, :LEADING])[0]
+                lead[i, : len(own)] = own
+            yield pa.record_batch([batch.column("rep"), batch.column("many"), batch.column("v"), *(pa.array(np.ascontiguousarray(lead[:, c])) for c in range(LEADING))], names=["rep", "many", "v", *(f"p{c}" for c in range(LEADING))])
     return run
 
 
@@ -154,6 +159,7 @@ def _compared(threshold: float, basis: dict[int, np.ndarray]):
                 if out:
                     a, b, n = zip(*out, strict=True)
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+        settled()
     return run
 
 
@@ -174,25 +180,37 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     reps = table(good.groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "vectors")
     sums = reps.select("v").mapInArrow(_moments, "size int, m array<double>").select("size", F.posexplode("m").alias("p", "x")).groupBy("size", "p").agg(F.sum("x").alias("x"))
     total: dict[int, np.ndarray] = {}
-    for row in sums.toLocalIterator():  # size x size numbers for each size of vectors
-        total.setdefault(row["size"], np.zeros(row["size"] ** 2))[row["p"]] = row["x"]
+    for row in sums.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("m")).collect():  # size x size numbers for each size of vectors
+        total[row["size"]] = np.array([e["x"] for e in row["m"]])
     basis = {size: np.linalg.eigh(m.reshape(size, size))[1][:, ::-1].copy() for size, m in total.items()}
-    keyed = table(reps.mapInArrow(_keyed(basis), "rep long, many long, v array<double>, key double").withColumn("size", F.size("v")), "keyed")
+    leads = [f"p{c}" for c in range(LEADING)]
+    keyed = table(reps.mapInArrow(_keyed(basis), "rep long, many long, v array<double>, " + ", ".join(f"{p} double" for p in leads)).withColumn("size", F.size("v")), "keyed")
 
     n = max(1, -(-keyed.count() // tile))
-    ranged = keyed.repartitionByRange(n, "size", "key", "rep")
+    used = max(1, min(LEADING, int(math.log(n, 4) + 1e-9)))  # components that are cut, into four cells or more
+    cuts = round(n ** (1 / used))  # together about as many cells as tiles
+    if cuts > 1:
+        below = lambda p: F.size(F.filter(f"q.{p}", lambda e: e < F.col(p)))
+        at = [F.percentile_approx(p, [i / cuts for i in range(1, cuts)], 1000).alias(p) for p in leads]
+        quantiles = keyed.groupBy("size").agg(*at).select("size", F.struct(*leads).alias("q"))  # a row for each size of vectors
+        celled = keyed.join(F.broadcast(quantiles), "size").withColumn("cell", F.array(*[below(p) for p in leads[:used]])).drop("q")
+    else:
+        celled = keyed.withColumn("cell", F.array(F.lit(0)))
+    ranged = celled.repartitionByRange(n, "size", "cell", "p0", "rep")
     # neighbouring ranges make one tile where the session deals out more of them than asked for
     tile_of = F.floor(F.spark_partition_id() * n / ranged.rdd.getNumPartitions()).cast("long")
-    tiles = ranged.withColumn("part", tile_of).groupBy("part", "size").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_list(F.struct("rep", "many", "v")).alias("rows"))
+    box = [f(p).alias(f"{x}{p}") for p in leads for x, f in (("lo", F.min), ("hi", F.max))]
+    tiles = ranged.withColumn("part", tile_of).groupBy("part", "size").agg(*box, F.collect_list(F.struct("rep", "many", "v")).alias("rows"))
     tiles = table(tiles.withColumn("tile", F.xxhash64("part", "size")), "tiles")
-    # cosine >= t needs a distance of sqrt(2 - 2t) at most, and so such a difference of first components
+    # cosine >= t needs a distance of sqrt(2 - 2t) at most, and so one of the boxes; their first sides meet on a grid
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
-    ranges = tiles.select("tile", "size", "lo", "hi")
+    sides = lambda t, x: tiles.select(F.col("tile").alias(t), "size", *[F.col(f"{e}{p}").alias(f"{x}{e}{p}") for p in leads for e in ("lo", "hi")])
     cell = lambda c: F.floor(F.col(c) / reach)
-    left = ranges.select(F.col("tile").alias("i"), "size", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
-    right = ranges.select(F.col("tile").alias("j"), "size", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
-    near = (F.col("i") <= F.col("j")) & (F.col("blo") <= F.col("ahi") + reach) & (F.col("alo") <= F.col("bhi") + reach)
-    pairs = table(left.join(right, ["size", "cell"]).where(near).select("i", "j").distinct(), "pairs")
+    left = sides("i", "a").withColumn("g", F.explode(F.sequence(cell("alop0"), cell("ahip0"))))
+    right = sides("j", "b").withColumn("g", F.explode(F.sequence(cell("blop0") - 1, cell("bhip0") + 1)))
+    gaps = [F.greatest(F.col(f"blo{p}") - F.col(f"ahi{p}"), F.col(f"alo{p}") - F.col(f"bhi{p}"), F.lit(0.0)) for p in leads]
+    near = (F.col("i") <= F.col("j")) & (sum(g * g for g in gaps) <= reach * reach)
+    pairs = table(left.join(right, ["size", "g"]).where(near).select("i", "j").distinct(), "pairs")
     held = pairs.join(tiles.select(F.col("tile").alias("i"), F.col("rows").alias("l")), "i").join(tiles.select(F.col("tile").alias("j"), F.col("rows").alias("r")), "j")
     found = table(held.select("i", "j", "l", "r").mapInArrow(_compared(threshold, basis), "a long, b long, n long"), "found")
 

@@ -41,7 +41,7 @@ def test_brute_force(spark, docs, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     expected = brute([(r.doc_id, r.text) for r in docs.collect()], ITEMS)
     assert same([tuple(r) for r in contamination(docs, items).collect()], expected)
-    monkeypatch.setattr("lattica.llm.decontaminate.BROADCAST_ROWS", -1)  # the shuffled form
+    monkeypatch.setattr("lattica.llm.decontaminate.BROADCAST_BYTES", -1)  # the shuffled form
     assert same([tuple(r) for r in contamination(docs, items).collect()], expected)
 
 
