@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.quality import dot
+from lattica.plans.staging import staged
 
 
 def kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int = 50) -> DataFrame:
@@ -36,19 +39,45 @@ def means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return flat.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("s")).select("label", F.transform("s", lambda e: e["x"]).alias("c"))
 
 
+def _round(centres: np.ndarray):
+    """(k, s): sums and numbers of the rows nearest to each centre, for one batch each; zero rows take no part."""
+    size = np.sqrt((centres * centres).sum(axis=1))
+    unit = centres / np.where(size > 0, size, 1)[:, None]
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                n = np.sqrt((x * x).sum(axis=1))
+                x, n = x[n > 0], n[n > 0]
+                near = np.round(1 - x @ unit.T / n[:, None], 12).argmin(axis=1)  # of equals the first; a zero centre is at distance 1
+                part = np.zeros((len(centres), x.shape[1] + 1))
+                np.add.at(part[:, :-1], near, x)
+                part[:, -1] = np.bincount(near, minlength=len(centres))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "s"])
+    return run
+
+
 def cosine_kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int = 5000) -> DataFrame:
-    """(row, label): Lloyd rounds of cosine_step and means from k rows of least hash, until the centres stay; a cluster left empty has a zero centre."""
+    """(row, label): Lloyd rounds from k rows of least hash, until the centres stay; a cluster left empty has a zero centre.
+
+    A round is one pass over the staged rows, each task's sums of k x d numbers, and one small aggregate.
+    """
     spark = vectors.sparkSession
-    own = vectors.select("row", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    own = staged(vectors.select("row", F.transform("v", lambda x: x.cast("double")).alias("v")))
     start = own.where(dot("v", "v") > 0).orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(k).collect()
-    size = len(start[0]["v"]) if start else 0
-    centres = {i: r["v"] for i, r in enumerate(start)}
-    for _ in range(iterations if start else 0):
-        side = spark.createDataFrame(sorted(centres.items()), "label int, c array<double>")
-        new = {r["label"]: r["c"] for r in means(own, cosine_step(own, side)).collect()}  # k rows
-        new = {i: new.get(i, [0.0] * size) for i in centres}
-        still = all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for i in centres for a, b in zip(new[i], centres[i], strict=True))
+    if not start:
+        return own.select("row", F.lit(-1).alias("label"))
+    centres = np.array([r["v"] for r in start])
+    for _ in range(iterations):
+        got = {r["k"]: r["s"] for r in own.select("v").mapInArrow(_round(centres), "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}  # k x (d + 1) numbers
+        sums = np.array([got[i] for i in range(len(got))]).reshape(len(centres), -1)
+        new = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        still = np.allclose(new, centres)
         centres = new
         if still:
             break
-    return cosine_step(own, spark.createDataFrame(sorted(centres.items()), "label int, c array<double>"))
+    return cosine_step(own, spark.createDataFrame(list(enumerate(centres.tolist())), "label int, c array<double>"))

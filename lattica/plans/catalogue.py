@@ -306,9 +306,9 @@ def view_union(spark, d):
     return M.views([_incidence(spark, d).withColumn("row", F.col("row").cast("string")), _users(spark, d).withColumn("row", F.col("row").cast("string"))])
 
 
-@query("select user_id - 40 \"row\", event_type col, cast(count(*) as double) x from events where user_id >= 40 and user_id < 110 group by 1, 2")
+@query("select user_id - 4 \"row\", event_type col, cast(count(*) as double) x from events where user_id >= 4 and user_id < 70 group by 1, 2")
 def hemisphere_slice(spark, d):
-    return M.hemisphere(_users(spark, d), 40, 70, axis="row")
+    return M.hemisphere(_users(spark, d), 4, 66, axis="row")
 
 
 def _rows(spark, d, where=None):

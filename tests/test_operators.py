@@ -8,6 +8,7 @@ from lattica.operators import graph as G
 from lattica.operators import matrix as M
 from lattica.operators import quality as Q
 from lattica.operators import spatial as S
+from lattica.plans.staging import staged
 from pyspark.sql import functions as F
 
 PATH = [(0, 1), (1, 2), (2, 3)]
@@ -153,7 +154,7 @@ def test_queries_run_until_they_settle(spark, monkeypatch):
     from lattica.plans import catalogue
 
     d = "/root/testdata/sf0.1"
-    found = catalogue.QUERIES["cosine_kmeans"](spark, d).localCheckpoint()
+    found = staged(catalogue.QUERIES["cosine_kmeans"](spark, d))
     vectors = catalogue._vectors(spark, d, False)
     again = cluster.cosine_step(vectors, cluster.means(vectors, found))
     assert again.join(found.withColumnRenamed("label", "was"), "row").where("label <> was").count() == 0

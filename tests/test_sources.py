@@ -50,6 +50,14 @@ def test_matrix_and_catalog(spark, tmp_path):
     assert {tuple(r) for r in rows} == {("p", 0, "b"), ("p", 1, "a"), ("q", 0, "c")}
 
 
+def test_volume_with_a_fourth_axis(spark, tmp_path):
+    (tmp_path / "a.nii").write_bytes(formats.make_nifti(np.ones((2, 2, 2, 1), "<f4"), np.eye(4)))
+    assert readers.read_voxels(spark, str(tmp_path / "a.nii")).count() == 8
+    (tmp_path / "b.nii").write_bytes(formats.make_nifti(np.ones((2, 2, 2, 3), "<f4"), np.eye(4)))
+    with pytest.raises(Exception, match="more than three axes"):
+        readers.read_voxels(spark, str(tmp_path / "b.nii")).collect()
+
+
 def test_ingest_counts_a_subject_once(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     hits = spark.createDataFrame([("s1", 1, 5), ("s1", 1, 5), ("s2", 2, 6)], "subject string, cluster int, vertex long")
