@@ -9,6 +9,7 @@ import pytest
 from lattica.llm import html_text, licenses, packing, toxicity, warc
 from lattica.llm.common import components, shared_path
 from lattica.llm.embedding_dedup import near_vectors
+from lattica.llm.minhash import near_duplicates
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -334,3 +335,38 @@ def test_raw_elements_that_close_themselves_or_never():
     assert text("<p>one <math/> two</p>") == "one two"
     assert text("<p>one <canvas> two</p>") == text("<p>one <object data=x> two</p>") == "one two"
     assert text("<p>one</p><script src=x />no</script><p>two</p>") == "one two" and text("<p>one</p><script>no") == "one"
+
+
+# ---- clashing names and long texts ----
+
+def test_columns_that_clash(spark):
+    names = ("_key", "_l", "_s", "_path", "near", "_text", "__text", "_scored", "score", "license", "key", "whole")
+    row = tuple(f"x{i}" for i in range(len(names)))
+    df = spark.createDataFrame([(1, "/a/f", "Released under the MIT License.", *row), (2, None, None, *row)], "doc_id long, path string, text string, " + ", ".join(f"{n} string" for n in names))
+    made = licenses.scan(df).where("doc_id = 1").first().asDict()
+    assert made["license"] == "MIT" and made["license_from"] == "own" and all(made[n] == x for n, x in zip(names, row, strict=True) if n != "license")
+    machine = toxicity.fit(df, df.selectExpr("doc_id", "1 as toxic"))
+    scored = {r.doc_id: r.asDict() for r in toxicity.score(df, machine).collect()}
+    assert all(isinstance(r["score"], float) for r in scored.values()) and all(scored[2][n] == x for n, x in zip(names, row, strict=True) if n != "score")
+
+
+def test_long_texts(spark):
+    words = " ".join(f"w{i % 7919}" for i in range(150_000))
+    rows = [(1, "/a/1", words), (2, "/a/2", words + " end"), (3, "/a/3", words + " Licensed under the MIT License"), (4, "/a/4", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.license for r in licenses.scan(df).collect()} == {1: None, 2: None, 3: "MIT", 4: None}
+    assert toxicity.score(df, toxicity.fit(df, df.selectExpr("doc_id", "cast(doc_id = 4 as int) toxic"))).where("score between 0 and 1").count() == 4
+
+
+def test_repeated_ids_and_null_labels(spark):
+    df = spark.createDataFrame([(i % 5, f"text {i} {'bad' if i % 2 else 'fine'}") for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (2, 0), (9, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train
+    toxicity.train = lambda terms, label, **k: seen.append((len(terms), sorted(label))) or real(terms, label, **k)
+    try:
+        toxicity.fit(df, labels)
+    finally:
+        toxicity.train = real
+    assert seen == [(2, [0.0, 1.0])]  # one row an id, its largest label
