@@ -48,7 +48,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers serve the other stages too, so the tokenizer goes with the task
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
 STAGES = [

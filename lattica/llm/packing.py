@@ -113,7 +113,7 @@ class Ids:
         return out
 
 
-def _pieces(path: str, window: int, end: int, held: int):
+def _pieces(path: str, window: int, end: int, held: int, keep: bool):
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
     last = np.array([end], "<u4").tobytes()
 
@@ -134,6 +134,9 @@ def _pieces(path: str, window: int, end: int, held: int):
                         for to, x in zip(out, (a + i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                             to.append(x)
                 yield pa.record_batch([docs.take(pa.array(out[0])), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        if not keep:
+            del ids
+            _kept.clear()
         settled()
     return run
 
@@ -253,16 +256,17 @@ def _placed(rows: list[tuple[int, int, int, int, int]], base: dict[tuple[int, in
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, held: int = HELD, keep: bool = True) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer is the path of its file, which every executor has. A worker remembers the ids of words up to ``held`` bytes.
+    tokenizer is the path of its file, which every executor has. A worker remembers the ids of words up to ``held`` bytes,
+    with ``keep`` from task to task; without it each task loads the tokenizer anew and leaves no memory behind.
     A null text is an empty one: its only id is the end id. A null id is kept.
     Rows that repeat are packed each. Offsets in a sequence have no gaps and start at 0. Other columns are ignored; an empty
     table gives no piece.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held), _PIECE).withColumn("n", F.monotonically_increasing_id()), "pieces")
+    pieces = table(own.mapInArrow(_pieces(tokenizer, window, end, held, keep), _PIECE).withColumn("n", F.monotonically_increasing_id()), "pieces")
     # the number of the row lets pieces that are alike in all else lie in several ranges
     order = ["length", "doc_id", "start", "n"]
     ranged = pieces.repartitionByRange(*order).sortWithinPartitions(*order).drop("n").withColumn("part", F.spark_partition_id().cast("long"))
