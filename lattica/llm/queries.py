@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm_scoring
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .html_text import extract
@@ -14,6 +15,7 @@ from .packing import pack
 from .pii import BASE, KINDS, find_pii, joined
 from .suffix_dedup import remove_repeats
 from .toxicity import fit, score
+from .vector_codes import books_digest, compress
 from .warc import round_trip
 
 
@@ -80,6 +82,26 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs).select("doc_id", "path", "license", "license_score", "license_from")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    made = lm_scoring.score(docs, lm_scoring.fit(docs.where("not held_out")))
+    return made.select("doc_id", "held_out", *lm_scoring.OUT)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = compress(_read(spark, sf_dir, "embeddings"), keep=("label",))
+    # sums may pass what a long holds
+    errors = made.rows.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long").alias("label_error"))
+    own, of = made.rows.alias("own"), errors.alias("of")
+    digests = {size: books_digest(books) for size, books in made.books.items()}
+    digest = F.lit(books_digest([]))
+    for size, sha in digests.items():
+        digest = F.when(F.col("size") == size, F.lit(sha)).otherwise(digest)
+    out = own.join(of, F.col("own.label").eqNullSafe(F.col("of.label")))
+    return out.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
@@ -91,6 +113,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_lm_score": op11_lm_score,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -99,6 +123,29 @@ _QUINTETS = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(sha, {5 * i + 1}, 5) as bigint) >> {s}) & 31 as bigint) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0)
 )
 
+def _code_rounds(rounds: int = 4) -> str:
+    """k-means of vector parts in integers; cb0 to cb4 are the codebooks before and after the rounds."""
+    out = """
+        with v as (select vec_id, label, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] q from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        parts as (select vec_id, label, p, q[p * len(q) // 4 + 1 : (p + 1) * len(q) // 4] x from v, range(4) r(p)),
+        cb0 as (select p, cast(row_number() over (partition by p order by vec_id) as bigint) - 1 e, x from parts qualify e < 256)"""
+    for r in range(rounds + 1):
+        out += f""",
+        near{r} as (select vec_id, label, p, arg_min(e, (d, e)) e, min(d) d from (
+            select a.vec_id, a.label, a.p, c.e, cast(list_inner_product(list_transform(list_zip(a.x, c.x), lambda z: cast(z[1] - z[2] as double)), list_transform(list_zip(a.x, c.x), lambda z: cast(z[1] - z[2] as double))) as bigint) d
+            from parts a join cb{r} c on a.p = c.p) group by vec_id, label, p)"""
+        if r < rounds:
+            out += f""",
+        mean{r} as (select p, e, list(m order by i) x from (select n.p, n.e, u.i, cast(floor(sum(u.c)::hugeint / count(*)) as bigint) m from near{r} n join (select vec_id, p, unnest(x) c, unnest(range(len(x))) i from parts) u on n.vec_id = u.vec_id and n.p = u.p group by n.p, n.e, u.i) group by p, e),
+        cb{r + 1} as (select c.p, c.e, coalesce(m.x, c.x) x from cb{r} c left join mean{r} m on c.p = m.p and c.e = m.e)"""
+    return out + f""",
+        own as (select vec_id, label, string_agg(printf('%02x', e), '' order by p) code, cast(sum(d) as bigint) error from near{rounds} group by vec_id, label)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error,
+               (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) from cb{rounds}) codebooks_sha256
+        from own"""
+
+
 ORACLES = {
     "op2_warc": f"""
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) sha from pages),
@@ -129,4 +176,5 @@ ORACLES = {
                sha256(coalesce(n.s, '')) items_sha256, coalesce(c.n_hit, 0) > 0 contaminated
         from d left join cover c using (doc_id) left join named n using (doc_id)
     """,
+    "op12_vector_codes": _code_rounds(),
 }
