@@ -29,7 +29,7 @@ ROUNDS = 3
 #: Static classes of the head, each twice as many words as the one before; behind them the class of all rarer words.
 BINS = 9
 #: Bytes of text that are laid out in lanes at once.
-CHUNK = 8 << 20
+CHUNK = 24 << 20
 #: Distinct words after which a task passes its counts on.
 _HELD = 300_000
 _END = b""
@@ -119,10 +119,16 @@ def _looked_up(words: list[bytes]) -> _Ids:
     return ids
 
 
-def _read(ids: _Ids, column: pa.Array) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    """Words of each text, and their places in the head with the end's."""
-    texts = [words_of(x.as_py()) for x in column]
-    return texts, [np.fromiter(map(ids.__getitem__, [*w, _END]), np.int32, len(w) + 1) for w in texts]
+def _places(ids: _Ids, column: pa.Array) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    """Places of each text's words in the head with the end's, and the words that are not there."""
+    places, rare = [], []
+    for x in column:
+        words = words_of(x.as_py())
+        words.append(_END)
+        p = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+        places.append(p)
+        rare.append([words[i] for i in np.flatnonzero(p == ids.rest).tolist()])
+    return places, rare
 
 
 def fit(docs: DataFrame, *, text: str = "text") -> Model:
@@ -150,7 +156,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> Model:
             ids, trainer = _looked_up(words), Trainer(*state.value)
             for batch in batches:
                 for a, b in _chunks(batch.column(0)):
-                    trainer.learn([symbol[t] for t in _read(ids, batch.column(0).slice(a, b - a))[1]])
+                    trainer.learn([symbol[p] for p in _places(ids, batch.column(0).slice(a, b - a))[0]])
             if trainer.tokens:
                 flat = np.concatenate([*(trainer.sums[k].ravel() for k, _, _ in shapes), [float(trainer.square[k].mean()) * trainer.tokens for k, _, _ in shapes], [float(trainer.tokens)]])
                 yield pa.record_batch([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
@@ -183,14 +189,14 @@ def _scored(shared, name: str):
             at = batch.schema.names.index(name)
             for a, b in _chunks(batch.column(at)):
                 cut = batch.slice(a, b - a)
-                texts, places = _read(ids, cut.column(at))
+                places, others = _places(ids, cut.column(at))
                 natural = scores(params, [symbol[p] for p in places])
                 made = [
-                    pa.array(np.arange(row, row + len(texts))), pa.array([len(p) for p in places], pa.int64()), pa.array([int(known[p].sum()) for p in places], pa.int64()),
+                    pa.array(np.arange(row, row + len(places))), pa.array([len(p) for p in places], pa.int64()), pa.array([int(known[p].sum()) for p in places], pa.int64()),
                     pa.array([float(base[p].sum()) for p in places]), pa.array([float(share[p].sum()) for p in places] + natural / np.log(10)),
-                    pa.array([[w[i] for i in np.flatnonzero(p == len(words)).tolist()] for w, p in zip(texts, places, strict=True)], pa.list_(pa.binary())),
+                    pa.array(others, pa.list_(pa.binary())),
                 ]
-                row += len(texts)
+                row += len(places)
                 yield pa.record_batch([*(cut.column(c) for c in names), *made], names=[*names, *(f"{name}_{x}" for x in ("row", "tokens", "known", "base", "score", "rare"))])
         settled()
     return run

@@ -101,14 +101,20 @@ def _flat(states: np.ndarray, use: np.ndarray) -> np.ndarray:
     return flat if use.all() else flat[:, use.ravel()]
 
 
-def _shares(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and all probabilities (in place of the logits, a column for each position)."""
+def _log_share(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the targets (a column for each position); the logits are overwritten."""
     logits -= logits.max(axis=0)
     own = logits[target, np.arange(len(target))]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=0))
+
+
+def _excess(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Probabilities, less 1 for the targets: the loss's derivative; in place of the logits."""
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    logits /= total
-    return own - np.log(total), logits
+    logits /= logits.sum(axis=0)
+    logits[target, np.arange(len(target))] -= 1
+    return logits
 
 
 def _by_class(symbol: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -124,10 +130,10 @@ def _by_class(symbol: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray,
 def log_shares(p: Params, states: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Natural logarithms of the symbols' probabilities after the states (a column each)."""
     kind, order, slot, groups = _by_class(symbol, len(p["b"]))
-    out, _ = _shares(p["a"] @ states + p["a0"], kind)
+    out = _log_share(p["a"] @ states + p["a0"], kind)
     states = states[:, order]
     for c, i, j in groups:
-        out[order[i:j]] += _shares(p["b"][c] @ states[:, i:j] + p["b0"][c], slot[i:j])[0]
+        out[order[i:j]] += _log_share(p["b"][c] @ states[:, i:j] + p["b0"][c], slot[i:j])
     return out
 
 
@@ -192,14 +198,12 @@ class Trainer:
         new, gates, inner, old, keep = _unit(p, before, h)
         states, symbol = _flat(new, use), target[use]
         kind, order, slot, groups = _by_class(symbol, len(p["b"]))
-        _, share = _shares(p["a"] @ states + p["a0"], kind)
-        share[kind, np.arange(len(kind))] -= 1
+        share = _excess(p["a"] @ states + p["a0"], kind)
         back = p["a"].T @ share
         ordered, inside = states[:, order], []
         within = np.empty_like(ordered)
         for c, i, j in groups:
-            _, own = _shares(p["b"][c] @ ordered[:, i:j] + p["b0"][c], slot[i:j])
-            own[slot[i:j], np.arange(j - i)] -= 1
+            own = _excess(p["b"][c] @ ordered[:, i:j] + p["b0"][c], slot[i:j])
             within[:, i:j] = p["b"][c].T @ own
             inside.append((c, own @ ordered[:, i:j].T / n, own.sum(axis=1, keepdims=True) / n))
         back[:, order] += within
