@@ -239,7 +239,7 @@ def _kept(threshold: int):
     return run
 
 
-_ROW = "id long, th int, s long, n int, off int, digit long, whole long"
+_ROW = "id long, th long, s long, n int, off int, digit long, whole long"
 
 
 def _passed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -259,17 +259,17 @@ def _passed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 def repeated_windows(docs: DataFrame, *, threshold: int = 400, gram: int = 100) -> DataFrame:
     """(id, th, s, n): in the text (id, th), the n windows of threshold bytes from s on also start elsewhere.
 
-    docs has id, th (a hash of the text) and text.
+    docs has id, th (two hashes of the row's id and text, 128 bits together) and text.
     """
     runs = table(docs.mapInArrow(_anchored(threshold, gram), _ROW), "runs")
     whole, unlike = _passed(runs, "runs")
     unlike = unlike.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n", "off")).alias("runs"))
-    parts = table(docs.join(unlike, ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut_out(threshold), "id long, th int, s long, n int, off int, part binary"), "parts")
+    parts = table(docs.join(unlike, ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut_out(threshold), "id long, th long, s long, n int, off int, part binary"), "parts")
     blocks = table(parts.mapInArrow(_blocks(threshold), _ROW), "blocks")
     block, unlike = _passed(blocks, "blocks")
     unlike = unlike.groupBy("id", "th", F.col("off").cast("long").alias("at")).agg(F.collect_list(F.struct("s", "n", "digit")).alias("runs")).withColumnsRenamed({"id": "i", "th": "t"})
     held = parts.join(unlike, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")) & (F.col("s") == F.col("at"))).select("id", "th", "s", "part", "runs")
-    tried = table(held.mapInArrow(_windows(threshold), "id long, th int, s long, digit long, whole long"), "windows")
+    tried = table(held.mapInArrow(_windows(threshold), "id long, th long, s long, digit long, whole long"), "windows")
     twice = table(tried.groupBy("digit", "whole").count().where("count > 1").select(F.col("digit").alias("d"), F.col("whole").alias("w")), "twice")
     single = tried.join(twice, (F.col("digit") == F.col("d")) & (F.col("whole") == F.col("w")), "left_semi").select("id", "th", "s").distinct()
     # neighbouring windows become one row: a place less its rank is the same all along a run
@@ -287,9 +287,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     other here. Other columns are ignored.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("given"), F.coalesce(text, F.lit("")).alias("text"))
-    own = own.select("given", F.coalesce("given", F.lit(-(2**63) + 1)).alias("id"), F.hash("text").alias("th"), "text")
+    own = own.select("given", F.xxhash64(F.lit(1), "given", "text").alias("id"), F.xxhash64(F.lit(2), "text", "given").alias("th"), "text")
     found = repeated_windows(own.select("id", "th", "text"), threshold=threshold, gram=gram)
-    per = found.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    # rows that repeat have the same runs: one of each is enough for all of them
+    per = found.groupBy("id", "th").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
     none = F.array().cast("array<struct<s:bigint,n:int>>")
     out = own.join(per, ["id", "th"], "left").select(F.col("given").alias("id"), "text", F.coalesce("runs", none).alias("runs"))
     return out.mapInArrow(_kept(threshold), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from lattica.llm import suffix_dedup
 from lattica.llm.suffix_dedup import remove_repeats
@@ -53,5 +54,13 @@ def test_same_id_and_null_id(spark):
     assert rows == [(0, 1, 0), (0, 50, 50), (1, 10, 0), (1, 50, 50)]
 
 
+def test_many_repeats_of_one_row_and_many_null_ids(spark):
+    one, rng = "".join(random.Random(3).choice("abcdef") for _ in range(300)), random.Random(4)
+    own = ["".join(rng.choice("ghijkl") for _ in range(60)) for _ in range(2000)]
+    rows = [(7, one)] * 5000 + [(None, t) for t in own] + [(None, own[5] + "!")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), threshold=40, gram=10)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()) == Counter({(7, 300, 300, 1): 5000, (None, 60, 0, 0): 1999, (None, 60, 60, 1): 1, (None, 61, 60, 1): 1})
+
+
 def test_empty(docs, none):
     assert remove_repeats(none).collect() == [] and len(remove_repeats(docs).collect()) == docs.count()
