@@ -1,8 +1,8 @@
 """Training-corpus pipeline over ``documents``: STAGES in order, each on all that the one before kept.
 
-Every stage but the last returns the columns of documents. A repeated row goes through each stage like any
-other; a null or empty text is an empty one, whatever its stage; an empty table gives an empty result. Rows with a null
-doc_id are never near-duplicates nor contaminated by name and stay.
+Every stage but the last returns the columns of documents. Stages decide by row or by text, never by doc_id: a null or
+repeated doc_id is like any other. Of a group of copies, exact ones under one doc_id included, one row stays.
+A null or empty text is an empty one, whatever its stage; empty texts are no copies of each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +29,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of least doc_id."""
-    gone = table(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near-duplicates, of those of least doc_id (null is the last)."""
+    numbered = table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")  # written, so that a row keeps its number
+    classes = table(near_duplicates(numbered.select("row", "text"), doc_id="row").select(F.col("doc_id").alias("row"), "class_id"), "classes")
+    several = classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    members = classes.join(several, "class_id", "left_semi").join(numbered.select("row", "doc_id"), "row")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    gone = table(members.join(first, "class_id").where("row <> stays").select("row"), "copies")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = table(found.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without any window of a benchmark item. Rows of one text share its fate, whatever their doc_ids."""
+    docs = docs.select(*COLUMNS, F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    found = contamination(docs.select("key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    gone = table(found.where("n_hit > 0").select("doc_id").distinct().withColumnRenamed("doc_id", "key"), "contaminated")
+    return docs.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
