@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
@@ -23,7 +23,7 @@ def ingest_hits(spark: SparkSession, source: str, out: str, checkpoint: str, sch
 
     def append(batch: DataFrame, number: int) -> None:
         # a folder that is there but cannot be read is an error: no subject is taken for new because of it
-        done = spark.read.schema(f"{schema}, n long, batch long").parquet(out).where(F.col("batch") != number).select("subject").distinct() if _there(spark, out) else batch.select("subject").limit(0)
+        done = spark.read.schema(f"{schema}, n long, batch long").parquet(out).where(F.col("batch") != number).select("subject").distinct() if there(spark, out) else batch.select("subject").limit(0)
         new = batch.join(done, "subject", "left_anti").groupBy("subject", "cluster", "vertex").agg(F.count("*").alias("n"), F.lit(number).cast("long").alias("batch"))
         again = batch.join(done, "subject", "left_semi").withColumn("batch", F.lit(number).cast("long"))
         again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(late)
