@@ -1,155 +1,27 @@
-"""Dense linear algebra of stage 3: a driver loop over per-view and per-slice tasks, with numpy inside the tasks.
-
-Matrices travel as rows ``(key..., m binary)``: float64 or complex128 in row order. Tensors are S x views x S; S is a
-number of regions (hundreds to a few thousand), never of units.
-"""
+"""Dense linear algebra: spectral and diffusion coordinates, components, factors. Passes over rows, with numpy inside tasks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.eigen import leading, of_edges
 from lattica.plans.staging import staged
 
-EPSILON = 1e-6
-
-
-def shrunk(s: np.ndarray, c: float, mode: str = "reference") -> np.ndarray:
-    """Singular values after the weighted nuclear norm's proximal step; those that do not survive are 0.
-
-    mode "reference" keeps S - eps + sqrt(t); "textbook" halves it. t = (S - eps)^2 - 4 (C - eps S).
-    """
-    t = (s - EPSILON) ** 2 - 4 * (c - EPSILON * s)
-    kept = s - EPSILON + np.sqrt(np.maximum(t, 0))
-    return np.where(t > 0, kept if mode == "reference" else kept / 2, 0)
-
-
-def prox_slice(y: np.ndarray, c: float, mode: str = "reference") -> np.ndarray:
-    """One frontal slice in the Fourier domain. In mode "reference" the right factor is the published one: the first columns of the conjugate transpose, transposed again."""
-    u, s, vh = np.linalg.svd(y, full_matrices=False)
-    values = shrunk(s, c, mode)
-    r = int((values > 0).sum())
-    return (u[:, :r] * values[:r]) @ (vh[:, :r].T if mode == "reference" else vh[:r])
-
-
-def prox_tensor(y: np.ndarray, c: float, mode: str = "reference") -> np.ndarray:
-    """The proximal step on a whole tensor: Fourier transform on all axes, slices along the last one, and back."""
-    z = np.fft.fftn(y)
-    for i in range(z.shape[2]):
-        z[:, :, i] = prox_slice(z[:, :, i], c, mode)
-    return np.fft.ifftn(z).real
-
-
-def t_svt(t: np.ndarray, tau: float) -> np.ndarray:
-    """Soft threshold of the singular values of each slice of the transform along the last axis."""
-    z = np.fft.fft(t, axis=2)
-    for i in range(z.shape[2]):
-        u, s, vh = np.linalg.svd(z[:, :, i], full_matrices=False)
-        z[:, :, i] = (u * np.maximum(s - tau, 0)) @ vh
-    return np.fft.ifft(z, axis=2).real
-
-
-def _packed(rows: list[tuple], names: list[str]) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if n[0] == "m" else pa.float64() if n == "loss" else pa.int64()) for i, n in enumerate(names)})
+#: Vectors carried beside those asked for; they speed up the last of them.
+EXTRA = 8
 
 
 def _top(a: np.ndarray, k: int) -> np.ndarray:
     return np.linalg.eigh((a + a.T) / 2)[1][:, ::-1][:, :k]
 
 
-#: Entries of all views (8 bytes each) that one task takes.
-LOCAL = 2_000_000
-
-
-def low_rank_rounds(views: list[np.ndarray], k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference") -> tuple[list[np.ndarray], list[float]]:
-    """The rounds of ``low_rank`` on matrices in memory: the smoothed projectors, and the objective per round."""
-    size = len(views[0])
-    z, p, q = [np.zeros((size, size)) for _ in views], [np.zeros((size, size)) for _ in views], [np.ones(size) for _ in views]
-    losses: list[float] = []
-    while len(losses) < iterations:
-        first = 0.0
-        for v, a in enumerate(views):
-            p[v], q[v], loss = _projector(a, z[v], p[v], q[v], k, lam)
-            first += loss
-        back = prox_tensor(np.stack(p, axis=1), rho, mode)  # S x views x S
-        z = [back[:, v] for v in range(len(views))]
-        losses.append(first + sum(0.5 * float(np.linalg.norm(x - y)) for x, y in zip(z, p, strict=True)))
-        if len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol * max(abs(losses[-2]), 1e-12):
-            break
-    return p, losses
-
-
-def _projector(a: np.ndarray, z: np.ndarray, p: np.ndarray, q: np.ndarray, k: int, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """One view's step: its new P and Q, and its part of the objective."""
-    h = _top(lam * a + q[:, None] * ((z + z.T) / 2 - p / 2) * q[None], k)
-    hh = h @ h.T
-    new = 1 / np.sqrt(np.maximum(np.diag(hh), 1e-12))
-    return new[:, None] * hh * new[None], new, lam / 2 * float(np.linalg.norm(a - hh))
-
-
-def low_rank(spark: SparkSession, views: dict[int, np.ndarray], k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference") -> tuple[DataFrame, list[float]]:
-    """Consensus of several similarity matrices of the same rows: (view, row, col, x) of the smoothed projectors, and the objective per round.
-
-    Per round and view: the top eigenvectors H of lambda A + Q (sym Z - half P) Q, Q the inverse root diagonal of H H',
-    P = Q H H' Q; then the proximal step on all P as a tensor. Up to ``LOCAL`` entries of all views together one task runs all rounds.
-    Beyond, views are solved in parallel, slices of the transformed tensor too; only the S x S matrices of one round pass through the driver.
-    """
-    ids = sorted(views)
-    size = views[ids[0]].shape[0]
-    if size * size * len(ids) <= LOCAL:
-        def whole(table: pa.Table) -> pa.Table:
-            held = sorted(((r["view"], np.frombuffer(r["m"], float).reshape(size, size)) for r in table.to_pylist()), key=lambda x: x[0])
-            found, losses = low_rank_rounds([m for _, m in held], k, lam, rho, iterations=iterations, tol=tol, mode=mode)
-            rows = [(v, i, line.tolist()) for (v, _), m in zip(held, found, strict=True) for i, line in enumerate(m)] + [(-1, 0, losses)]
-            return pa.table({"view": pa.array([r[0] for r in rows], pa.int32()), "row": pa.array([r[1] for r in rows], pa.int32()), "v": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
-
-        rows = spark.createDataFrame([(v, bytearray(np.ascontiguousarray(views[v], float).tobytes())) for v in ids], "view int, m binary")
-        made = staged(rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: whole(t), "view int, row int, v array<double>"))
-        return made.where("view >= 0").select("view", "row", F.posexplode("v").alias("col", "x")), list(made.where("view < 0").first()["v"])
-    z = {v: np.zeros((size, size)) for v in ids}
-    p = {v: np.zeros((size, size)) for v in ids}
-    q = {v: np.ones(size) for v in ids}
-    losses: list[float] = []
-
-    def solve(table: pa.Table) -> pa.Table:
-        out = []
-        for row in table.to_pylist():
-            a, zz, pp = (np.frombuffer(row[c], float).reshape(size, size) for c in ("ma", "mz", "mp"))
-            qq = np.frombuffer(row["mq"], float)
-            smooth, new, loss = _projector(a, zz, pp, qq, k, lam)
-            out.append((row["view"], smooth.tobytes(), new.tobytes(), loss))
-        return _packed(out, ["view", "mp", "mq", "loss"])
-
-    def shrink(table: pa.Table) -> pa.Table:
-        return _packed([(r["slice"], prox_slice(np.frombuffer(r["m"], complex).reshape(size, len(ids)), rho, mode).tobytes()) for r in table.to_pylist()], ["slice", "m"])
-
-    for _ in range(iterations):
-        rows = [(v, *(bytearray(x.tobytes()) for x in (views[v], z[v], p[v], q[v]))) for v in ids]
-        solved = spark.createDataFrame(rows, "view long, ma binary, mz binary, mp binary, mq binary").groupBy("view").applyInArrow(solve, "view long, mp binary, mq binary, loss double").collect()
-        first = 0.0
-        for r in solved:
-            p[r["view"]] = np.frombuffer(r["mp"], float).reshape(size, size)
-            q[r["view"]] = np.frombuffer(r["mq"], float)
-            first += r["loss"]
-        tensor = np.fft.fftn(np.stack([p[v] for v in ids], axis=1))  # S x views x S
-        slices = spark.createDataFrame([(i, bytearray(np.ascontiguousarray(tensor[:, :, i]).tobytes())) for i in range(size)], "slice long, m binary")
-        for r in slices.groupBy("slice").applyInArrow(shrink, "slice long, m binary").toLocalIterator():
-            tensor[:, :, r["slice"]] = np.frombuffer(r["m"], complex).reshape(size, len(ids))
-        back = np.fft.ifftn(tensor).real
-        z = {v: back[:, i] for i, v in enumerate(ids)}
-        losses.append(first + sum(0.5 * float(np.linalg.norm(z[v] - p[v])) for v in ids))
-        if len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol * max(abs(losses[-2]), 1e-12):
-            break
-    return _entries(spark, p), losses
-
-
-def _entries(spark: SparkSession, matrices: dict[int, np.ndarray]) -> DataFrame:
-    """(view, row, col, x) of matrices of regions."""
-    rows = [(v, i, line.tolist()) for v, m in matrices.items() for i, line in enumerate(m)]
-    out = spark.createDataFrame(rows, "view int, row int, v array<double>")
-    return staged(out.select("view", "row", F.posexplode("v").alias("col", "x")))
+def fused_rows(smooth: DataFrame) -> DataFrame:
+    """(subject, row, v): sums of the rows ``(view, row, v)`` of views 2s and 2s + 1, those of subject s."""
+    own = smooth.groupBy(F.floor(F.col("view") / 2).cast("int").alias("subject"), "row").agg(F.collect_list("v").alias("vs"))
+    return own.select("subject", "row", F.aggregate(F.slice("vs", 2, F.size("vs")), F.col("vs")[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y)).alias("v"))
 
 
 def fused(smooth: DataFrame) -> DataFrame:
@@ -159,19 +31,14 @@ def fused(smooth: DataFrame) -> DataFrame:
 
 def spectral_embedding(norm_edges: DataFrame, k: int, by: list[str]) -> DataFrame:
     """(by, row, v): the k eigenvectors of largest eigenvalue of each group's normalized adjacency ``(by, src, dst, w)``; each vector's
-    largest entry is positive. A group is a graph of regions."""
-    def solve(table: pa.Table) -> pa.Table:
-        src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
-        nodes = np.unique(np.concatenate([src, dst]))
-        a = np.zeros((len(nodes), len(nodes)))
-        a[np.searchsorted(nodes, src), np.searchsorted(nodes, dst)] = w
-        v = _top(a, k)
-        v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-        keys = {b: pa.array([table.column(b)[0].as_py()] * len(nodes), table.schema.field(b).type) for b in by}
-        return pa.table({**keys, "row": pa.array(nodes.astype(np.int64)), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in norm_edges.select(*by).schema)
-    return norm_edges.groupBy(*by).applyInArrow(solve, f"{kinds}, row long, v array<double>")
+    largest entry is positive. Rows and edges stay tables (``eigen.leading``); only the groups, which are few, are numbered by the driver."""
+    own = norm_edges.select(*[F.col(b).alias(f"by{i}") for i, b in enumerate(by)], F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w"))
+    named = own.columns[: len(by)]
+    groups = staged(own.select(*named).distinct().withColumn("g", F.row_number().over(Window.orderBy(*named)).cast("long")))
+    edges = staged(own.join(groups, named).select("g", "src", "dst", "w"))
+    rows = staged(edges.select("g", F.col("src").alias("row")).union(edges.select("g", "dst")).distinct())
+    vectors, _ = leading(rows, of_edges(edges, k + EXTRA), k, extra=EXTRA)
+    return vectors.join(groups, "g").select(*[F.col(n).alias(b) for n, b in zip(named, by, strict=True)], "row", "v")
 
 
 def diffusion_kernel(pairs: DataFrame, epsilon: float) -> DataFrame:

@@ -6,7 +6,7 @@ Stand-ins: label maps are times of day of ``events``; curves are a user's events
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import vectors as V
@@ -734,39 +734,78 @@ def nmf(spark, d):
 
 
 def _nation_views(spark, d):
-    """Two similarity matrices of nations: by brands and by order priorities."""
-    import numpy as np
-
-    out = {}
+    """(view, row, v): two similarity matrices of nations, by brands and by order priorities; a row for each of the 25 nations."""
     t = _read(spark, d, "orders").join(_read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     second = t.groupBy(F.col("c_nationkey").alias("row"), F.col("o_orderpriority").alias("col")).agg(F.count("*").cast("double").alias("x"))
+    both = None
     for i, m in enumerate((_incidence(spark, d), second)):
-        pairs = M.gram(m.select(F.col("col").alias("row"), F.col("row").alias("col"), "x")).collect()  # 25 x 25
-        rows = sorted({r["row"] for r in pairs})
-        at = {r: k for k, r in enumerate(rows)}
-        a = np.zeros((len(rows), len(rows)))
-        for r in pairs:
-            a[at[r["row"]], at[r["col"]]] = r["x"]
-        size = np.sqrt(np.maximum(np.diag(a), 1e-12))
-        out[i] = a / size[:, None] / size[None]
-    return out
+        pairs = staged(M.gram(m.select(F.col("col").alias("row"), F.col("row").alias("col"), "x")))
+        size = pairs.where("row = col").select("row", F.sqrt(F.greatest("x", F.lit(1e-12))).alias("s"))
+        cos = pairs.join(size, "row").join(size.withColumnsRenamed({"row": "col", "s": "t"}), "col").select(F.lit(i).alias("view"), "row", "col", (F.col("x") / F.col("s") / F.col("t")).alias("x"))
+        both = cos if both is None else both.unionByName(cos)
+    both = both.withColumns({c: F.dense_rank().over(Window.partitionBy("view").orderBy(c)).cast("long") - 1 for c in ("row", "col")})
+    own = both.groupBy("view", "row").agg(F.array_sort(F.collect_list(F.struct("col", "x"))).alias("e"))
+    return staged(own.select("view", "row", F.transform("e", lambda e: e["x"]).alias("v")))
 
 
 @query()
 def low_rank_consensus(spark, d):
-    from lattica.operators.linalg import low_rank
+    from lattica.operators import tensor
+
+    return tensor.entries(tensor.low_rank(_nation_views(spark, d), 5, 100.0, 1000.0)[0])
+
+
+@query("select true as falling, true as unit_diagonal, true as symmetric, cast(2 * (select count(distinct c_nationkey) from customer join orders on o_custkey = c_custkey) as bigint) as n")
+def low_rank_invariants(spark, d):
+    """Of low_rank_consensus, with all its steps on tables: the objective ends no higher than it began; projectors are symmetric with a diagonal of 1; a row for each region and view."""
+    from lattica.operators import tensor
+
+    made, losses = tensor.low_rank(_nation_views(spark, d), 5, 100.0, 1000.0, small=0)
+    made = staged(made)
+    off = made.join(tensor.transposed(made).withColumnRenamed("v", "t"), ["view", "row"]).select(F.abs(F.col("v")[F.col("row").cast("int")] - 1).alias("d"), F.array_max(F.zip_with("v", "t", lambda x, y: F.abs(x - y))).alias("s"))
+    return off.agg(F.lit(losses[-1] <= losses[0] * (1 + 1e-9)).alias("falling"), (F.max("d") < 1e-9).alias("unit_diagonal"), (F.max("s") < 1e-9).alias("symmetric"), F.count("*").alias("n"))
+
 
-    return low_rank(spark, _nation_views(spark, d), 5, 100.0, 1000.0)[0]
+def _svt_errors(spark, d, taus):
+    """(tau, mse): mean squared change of the nations' two matrices by the soft threshold of their slices' singular values."""
+    from lattica.operators import tensor
+
+    rows, out = _nation_views(spark, d), None
+    for tau in taus:
+        far = rows.join(tensor.svt(rows, tau).withColumnRenamed("v", "t"), ["view", "row"]).select(F.explode(F.zip_with("v", "t", lambda x, y: (x - y) * (x - y))).alias("e"))
+        one = far.agg(F.lit(tau).alias("tau"), F.avg("e").alias("mse"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
 def tensor_svt(spark, d):
-    import numpy as np
-    from lattica.operators.linalg import t_svt
+    return _svt_errors(spark, d, (1.0, 2.0, 5.0, 10.0))
+
+
+@query(f"""with {_I}, m as (select 0 v, r, c, x from inc union all select 1, c_nationkey, o_orderpriority, cast(count(*) as double) from orders join customer on o_custkey = c_custkey group by 2, 3),
+    s as (select v, r, sqrt(sum(x * x)) s from m group by 1, 2), g as (select a.v, a.r i, b.r j, sum(a.x * b.x) x from m a join m b on a.v = b.v and a.c = b.c group by 1, 2, 3),
+    k as (select x / a.s / b.s x from g join s a on a.v = g.v and a.r = g.i join s b on b.v = g.v and b.r = g.j)
+    select 0.0::double tau, 0.0::double mse union all select 1e6::double, round(avg(x * x), 6) from k""")
+def tensor_svt_bounds(spark, d):
+    """A threshold of 0 changes nothing, one above all singular values leaves nothing."""
+    return _r(_svt_errors(spark, d, (0.0, 1e6)), "mse")
+
+
+@query("select true as orthonormal, true as eigenvectors, round(1.0::double, 6) as largest, cast((select count(*) from embeddings) as bigint) as n")
+def spectral_invariants(spark, d):
+    """The five leading eigenvectors of the normalized neighbour graph: orthonormal, |A v - value v| below 1e-6, the largest value 1."""
+    from lattica.operators import linalg
 
-    views = _nation_views(spark, d)
-    t = np.stack([views[0], views[1]], axis=2)
-    return spark.createDataFrame([(tau, float(((t_svt(t, tau) - t) ** 2).mean())) for tau in (1.0, 2.0, 5.0, 10.0)], "tau double, mse double")
+    edges = staged(G.normalized(_knn(spark, d)))
+    found = staged(linalg.spectral_embedding(edges.withColumn("g", F.lit(0)), 5, ["g"]).select("row", "v"))
+    flat = staged(found.select("row", F.posexplode("v").alias("p", "x")))
+    to = staged(edges.join(flat.withColumnRenamed("row", "dst"), "dst").groupBy(F.col("src").alias("row"), "p").agg(F.sum(F.col("w") * F.col("x")).alias("y")))
+    values = flat.join(to, ["row", "p"]).groupBy("p").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    off = flat.join(to, ["row", "p"]).join(values, "p").groupBy("p").agg(F.sqrt(F.sum(F.pow(F.col("y") - F.col("value") * F.col("x"), 2))).alias("off"), F.max("value").alias("value"))
+    cross = flat.join(flat.select("row", F.col("p").alias("q"), F.col("x").alias("y")), "row").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    right = cross.agg((F.max(F.abs(F.col("s") - F.when(F.col("p") == F.col("q"), 1.0).otherwise(0.0))) < 1e-6).alias("orthonormal"))
+    return right.crossJoin(off.agg((F.max("off") < 1e-6).alias("eigenvectors"), F.round(F.max("value"), 6).alias("largest"))).crossJoin(found.agg(F.count("*").alias("n")))  # a row each
 
 
 @query()

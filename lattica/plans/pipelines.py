@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import graph as G
@@ -13,6 +12,7 @@ from lattica.operators import linalg
 from lattica.operators import matrix as M
 from lattica.operators import quality as Q
 from lattica.operators import spatial as S
+from lattica.operators import tensor
 from lattica.operators.cluster import kmeans
 from lattica.plans.staging import staged
 
@@ -34,52 +34,58 @@ def vertex_atlas(vc: DataFrame, ct: DataFrame) -> DataFrame:
     return M.row_normalized(M.matmul(left, ct.select(F.col("cluster").alias("row"), F.col("atlas").alias("col"), F.col("w").alias("x"))))
 
 
-def view_graphs(vectors: dict[int, DataFrame], neighbours: int = 15) -> tuple[list[int], dict[int, np.ndarray]]:
-    """The rows' ids, and per view ``(row, v)`` the matrix of its normalized k-nearest-neighbour graph. Rows are regions."""
-    graphs, rows = {}, None
+def view_graphs(vectors: dict[int, DataFrame], neighbours: int = 15) -> tuple[DataFrame, DataFrame]:
+    """The rows' ids (row, id), numbered from 0, and (view, row, v): the rows of each view's normalized k-nearest-neighbour graph. Rows are regions."""
+    graphs = None
     for view, df in vectors.items():
-        edges = G.normalized(G.knn_graph(df, neighbours)).collect()  # S rows of a few neighbours
-        rows = sorted({e["src"] for e in edges}) if rows is None else rows
-        at = {r: i for i, r in enumerate(rows)}
-        a = np.zeros((len(rows), len(rows)))
-        for e in edges:
-            a[at[e["src"]], at[e["dst"]]] = e["w"]
-        graphs[view] = a
-    return rows or [], graphs
+        one = G.normalized(G.knn_graph(df, neighbours)).withColumn("view", F.lit(view))
+        graphs = one if graphs is None else graphs.unionByName(one)
+    graphs = staged(graphs)
+    ids = staged(graphs.select(F.col("src").alias("id")).distinct().withColumn("row", F.row_number().over(Window.orderBy("id")).cast("long") - 1))
+    near = graphs.join(ids.withColumnRenamed("id", "src"), "src").join(ids.select(F.col("id").alias("dst"), F.col("row").alias("col")), "dst")
+    own = near.groupBy("view", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "w"))).alias("e"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(max(ids.count() - 1, 0)).cast("long"))
+    return ids, staged(own.select("view", "row", F.transform(every, lambda c: F.coalesce(F.col("e")[c], F.lit(0.0))).alias("v")))
 
 
-def consensus(spark: SparkSession, rows: list[int], graphs: dict[int, np.ndarray], k: int, lam: float, rho: float, *, neighbours: int = 15, iterations: int = 100, seed: int = 0) -> DataFrame:
+def consensus(ids: DataFrame, graphs: DataFrame, k: int, lam: float, rho: float, *, neighbours: int = 15, iterations: int = 100, seed: int = 0) -> DataFrame:
     """Stage 2: (subject, row, label) from ``view_graphs``; views 2s and 2s + 1 are subject s.
 
-    The graphs' low-rank consensus; each subject's two views fused; their k-nearest-neighbour graph; spectral clusters.
+    The graphs' low-rank consensus; each subject's two views fused; their k-nearest-neighbour graph; spectral clusters. Subjects are few.
     """
-    smooth, _ = linalg.low_rank(spark, graphs, k, lam, rho, iterations=iterations)
-    far = linalg.fused(smooth).withColumn("x", 1 - F.col("x"))
-    rows_ = staged(far.groupBy("subject", "row").agg(F.array_sort(F.collect_list(F.struct("col", "x"))).alias("e")).select("subject", "row", F.transform("e", lambda s: s["x"]).alias("v")))
-    out = None
-    for subject in range((len(graphs) + 1) // 2):
-        edges = staged(G.knn_graph(rows_.where(F.col("subject") == subject).select("row", "v"), neighbours).withColumn("subject", F.lit(subject)))
-        found = spectral_clusters(edges, k, seed=seed)
-        out = found if out is None else out.unionByName(found)
-    ids = spark.createDataFrame(list(enumerate(rows)), "row long, id long")
-    return out.join(ids, "row").select("subject", F.col("id").alias("row"), "label")
+    smooth, _ = tensor.low_rank(graphs, k, lam, rho, iterations=iterations)
+    rows = staged(linalg.fused_rows(smooth).select("subject", "row", F.transform("v", lambda x: 1 - x).alias("v")))
+    edges = None
+    for subject in sorted(r["subject"] for r in rows.select("subject").distinct().collect()):
+        one = G.knn_graph(rows.where(F.col("subject") == subject).select("row", "v"), neighbours).withColumn("subject", F.lit(subject))
+        edges = one if edges is None else edges.unionByName(one)
+    found = spectral_clusters(staged(edges), k, seed=seed)
+    return found.join(ids, "row").select("subject", F.col("id").alias("row"), "label")
 
 
 def spectral_clusters(edges: DataFrame, k: int, *, seed: int = 0) -> DataFrame:
-    """(subject, row, label) with labels from 1: k-means of the unit rows of the k leading eigenvectors of one subject's graph."""
-    subject = edges.select("subject").limit(1)
-    embedded = linalg.spectral_embedding(G.normalized(edges.select("src", "dst", "w")).withColumn("g", F.lit(0)), k, ["g"])
+    """(subject, row, label) with labels from 1: k-means of the unit rows of the k leading eigenvectors of each subject's graph. Subjects are few."""
+    normal = None
+    subjects = sorted(r["subject"] for r in edges.select("subject").distinct().collect())
+    for subject in subjects:
+        one = G.normalized(edges.where(F.col("subject") == subject).select("src", "dst", "w")).withColumn("subject", F.lit(subject))
+        normal = one if normal is None else normal.unionByName(one)
+    embedded = linalg.spectral_embedding(normal, k, ["subject"])
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = embedded.withColumn("s", size).select("row", F.transform("v", lambda x: F.when(F.col("s") > 0, x / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).otherwise(0.0)).alias("v"))
-    return subject.crossJoin(kmeans(unit, k, seed=seed)).select("subject", "row", "label")  # subject has one row
+    unit = staged(embedded.withColumn("s", size).select("subject", "row", F.transform("v", lambda x: F.when(F.col("s") > 0, x / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).otherwise(0.0)).alias("v")))
+    out = None
+    for subject in subjects:
+        one = kmeans(unit.where(F.col("subject") == subject).select("row", "v"), k, seed=seed).select(F.lit(subject).alias("subject"), "row", "label")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def consensus_grid(vectors: dict[int, DataFrame], grid: DataFrame, *, neighbours: int = 15, iterations: int = 100, seed: int = 0) -> DataFrame:
     """Stage 2 for every point of ``grid (k, lambda, rho)``: (k, lambda, rho, subject, row, label). A grid has some dozen points."""
-    spark, out = grid.sparkSession, None
-    rows, graphs = view_graphs(vectors, neighbours)
+    out = None
+    ids, graphs = view_graphs(vectors, neighbours)
     for p in grid.select("k", "lambda", "rho").distinct().orderBy("k", "lambda", "rho").collect():
-        own = consensus(spark, rows, graphs, p["k"], p["lambda"], p["rho"], neighbours=neighbours, iterations=iterations, seed=seed)
+        own = consensus(ids, graphs, p["k"], p["lambda"], p["rho"], neighbours=neighbours, iterations=iterations, seed=seed)
         one = staged(own.select(F.lit(p["k"]).alias("k"), F.lit(p["lambda"]).alias("lambda"), F.lit(p["rho"]).alias("rho"), "subject", "row", "label"))
         out = one if out is None else out.unionByName(one)
     return out

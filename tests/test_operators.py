@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 from lattica.functions import vectors as V
-from lattica.operators import cluster, communities, curves, linalg
+from lattica.operators import cluster, communities, curves, linalg, tensor
 from lattica.operators import graph as G
 from lattica.operators import matrix as M
 from lattica.operators import quality as Q
@@ -120,13 +120,11 @@ def test_dense(spark):
     for v in range(2):
         b = rng.random((8, 8))
         a[v] = (b + b.T) / 2
-    smooth, losses = linalg.low_rank(spark, a, 2, 1.0, 1.0, iterations=3)
+    smooth, losses = tensor.low_rank(spark.createDataFrame([(v, i, r.tolist()) for v, m in a.items() for i, r in enumerate(m)], "view int, row long, v array<double>"), 2, 1.0, 1.0, iterations=3)
     p = np.zeros((8, 8))
-    for r in smooth.where("view = 0").collect():
+    for r in tensor.entries(smooth).where("view = 0").collect():
         p[r.row, r.col] = r.x
     assert np.allclose(p, p.T) and np.allclose(np.diag(p), 1) and len(losses) <= 3
-    t = rng.normal(size=(4, 4, 2))
-    assert np.allclose(linalg.t_svt(t, 0.0), t) and np.allclose(linalg.prox_tensor(t, 0.0, "textbook"), t, atol=1e-3)
     x = rng.random((30, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, v array<double>")
     w, h, loss = linalg.nmf(df, 3, iterations=8)
@@ -286,19 +284,3 @@ def test_sweep_counts_missing_labels(spark):
     v = spark.createDataFrame(rows, "unit int, label int, v array<double>").withColumn("k", F.lit(7))
     mean = Q.homogeneity(v).agg(F.avg("homogeneity")).first()[0]
     assert Q.sweep(v, ["k"]).first().homogeneity == pytest.approx(mean) == pytest.approx((math.sqrt(0.5) + 3) / 4)
-
-
-def test_low_rank_in_one_task_equals_rounds_over_tasks(spark, monkeypatch):
-    rng = np.random.default_rng(12)
-    views = {}
-    for v in range(4):
-        x = np.repeat(np.eye(2), 5, axis=0) + rng.normal(size=(10, 2)) * 0.1
-        views[v] = x @ x.T
-    one, losses = linalg.low_rank(spark, views, 2, 1.0, 0.5, iterations=4)
-    monkeypatch.setattr(linalg, "LOCAL", 0)
-    many, again = linalg.low_rank(spark, views, 2, 1.0, 0.5, iterations=4)
-    assert losses == pytest.approx(again)
-    a, b = ({(r.view, r.row, r.col): r.x for r in m.collect()} for m in (one, many))
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
-    both = {(r.subject, r.row, r.col): r.x for r in linalg.fused(one).collect()}
-    assert len(both) == 200 and both[1, 3, 4] == pytest.approx(a[2, 3, 4] + a[3, 3, 4])
