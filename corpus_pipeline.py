@@ -31,10 +31,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates, of those of least doc_id (null is the last)."""
     numbered = table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")  # written, so that a row keeps its number
-    classes = table(near_duplicates(numbered.select("row", "text"), doc_id="row").select(F.col("doc_id").alias("row"), "class_id"), "classes")
-    several = classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    members = classes.join(several, "class_id", "left_semi").join(numbered.select("row", "doc_id"), "row")
-    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    classes = near_duplicates(numbered.select("row", "text"), doc_id="row").select(F.col("doc_id").alias("row"), "class_id")
+    members = table(classes.join(numbered.select("row", "doc_id"), "row"), "members")
+    first = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    first = table(first.where("n > 1").select("class_id", "stays"), "first")  # written, so that the join below can split a large class
     gone = table(members.join(first, "class_id").where("row <> stays").select("row"), "copies")
     return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
