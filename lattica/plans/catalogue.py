@@ -823,6 +823,26 @@ def louvain_q(spark, d):
     return G.modularity(_knn(spark, d), labels)
 
 
+@query(f"with {_KNN} select count(distinct src) units, true as labelled_by_least, true as above_singletons, true as no_merge_gains from g")
+def louvain_invariants(spark, d):
+    """Every node in one community named by its least node; modularity above that of nodes alone; no two communities gain by merging."""
+    from lattica.operators.communities import louvain
+
+    edges = staged(_knn(spark, d).select("src", "dst"))
+    labels = staged(louvain(edges, seed=1))
+    both = G.plain(edges)
+    ends = both.join(labels.select(F.col("unit").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("unit").alias("dst"), F.col("label").alias("b")), "dst")
+    links = staged(ends.groupBy("a", "b").agg(F.count("*").alias("l")))  # a row for each two communities that edges join
+    weight = links.groupBy("a").agg(F.sum("l").alias("t"))
+    total = links.agg(F.sum("l")).scalar()
+    pairs = links.where("a <> b").join(weight, "a").join(weight.select(F.col("a").alias("b"), F.col("t").alias("u")), "b")
+    merged = pairs.agg(F.coalesce(F.max(F.col("l") - F.col("t") * F.col("u") / total) <= 1e-6, F.lit(True)).alias("no_merge_gains"))
+    least = labels.groupBy("label").agg((F.min("unit") == F.col("label")).alias("own")).agg(F.min("own").alias("labelled_by_least"))
+    alone = labels.select("unit", F.col("unit").alias("label"))
+    above = (G.modularity(edges, labels).scalar() > G.modularity(edges, alone).scalar()).alias("above_singletons")
+    return labels.agg(F.count_distinct("unit").alias("units")).crossJoin(least).crossJoin(merged).withColumn("above_singletons", above)  # a row each
+
+
 @query()
 def spectral_modularity_q(spark, d):
     from lattica.operators.communities import spectral_split
