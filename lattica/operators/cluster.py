@@ -26,11 +26,15 @@ def cosine_step(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 
     centres has one row per cluster, a stated number, and is broadcast.
     """
-    own = vectors.select("row", "v", F.sqrt(dot("v", "v")).alias("s"))
-    near = own.where("s > 0").crossJoin(F.broadcast(centres.select("label", "c", F.sqrt(dot("c", "c")).alias("t"))))
-    far = F.when(F.col("t") > 0, 1 - dot("v", "c") / (F.col("s") * F.when(F.col("t") > 0, F.col("t")).otherwise(1.0))).otherwise(1.0)
-    best = near.groupBy("row").agg(F.min(F.struct(F.round(far, 12).alias("d"), "label")).alias("b")).select("row", "b.label")
-    return best.unionByName(own.where("s = 0").select("row", F.lit(-1).alias("label")))
+    every = centres.agg(F.collect_list(F.struct("label", "c", F.sqrt(dot("c", "c")).alias("t"))).alias("every"))  # one row
+    own = vectors.select("row", "v", F.sqrt(dot("v", "v")).alias("s")).join(F.broadcast(every), F.lit(True))
+
+    def far(e):
+        s, t = (F.when(x > 0, x).otherwise(1.0) for x in (F.col("s"), e["t"]))
+        return F.struct(F.round(F.when(e["t"] > 0, 1 - dot("v", e["c"]) / (s * t)).otherwise(1.0), 12).alias("d"), e["label"].alias("label"))
+
+    best = F.array_min(F.transform("every", far))["label"]
+    return own.where("s = 0 or size(every) > 0").select("row", F.when(F.col("s") > 0, best).otherwise(-1).alias("label"))
 
 
 def means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
