@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.quality import dot
+from lattica.operators.quality import dot, moments
 from lattica.plans.staging import staged
 
 
@@ -38,9 +38,9 @@ def cosine_step(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, c): plain means of the rows of each label other than -1."""
-    flat = vectors.join(labels.where("label >= 0"), "row").select("label", F.posexplode("v").alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("x"))
-    return flat.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("s")).select("label", F.transform("s", lambda e: e["x"]).alias("c"))
+    """(label, c): plain means of the rows of each label other than -1; labels whose rows all have nulls have none."""
+    sums = moments(vectors.join(labels.where("label >= 0"), "row"), ["label"])
+    return sums.select("label", F.transform("sum", lambda x: x / F.col("n")).alias("c"))
 
 
 def _round(centres: np.ndarray):

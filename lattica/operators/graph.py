@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -282,11 +284,52 @@ def scale_free_index(edges: DataFrame, n: int | None = None) -> DataFrame:
     return both.select((1 - F.col("sse") / F.when(sst > 0, sst)).alias("r2"))
 
 
+def _nth(ids: DataFrame, n: int, end: int) -> int:
+    """The n-th least of the distinct ``ids (id)`` in 0..end-1: counts of a thousand ranges, then of the parts of the range that holds it."""
+    low = 0
+    while end > 1:
+        size = -(-end // 1000)
+        inside = ids.where((F.col("id") >= low) & (F.col("id") < low + end)).groupBy(F.expr(f"(id - {low}L) div {size}L").alias("part")).count()
+        for part, count in sorted(tuple(r) for r in inside.collect()):  # 1000 rows at most
+            if n <= count:
+                low, end = low + part * size, size
+                break
+            n -= count
+        else:
+            raise ValueError("fewer ids than asked for")
+    return low
+
+
 def random_graph(n: int, m: int, spark, seed: int = 0) -> DataFrame:
-    """(src, dst): m distinct edges on nodes 0..n-1, the pairs of least hash. Pairs are n (n - 1) / 2: for graphs of regions."""
-    a = spark.range(n).withColumnRenamed("id", "src")
-    pairs = a.select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst")) if n > 1 else a.select("src", F.col("src").alias("dst")).limit(0)
-    return pairs.where("src < dst").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(m)
+    """(src, dst): m distinct edges on nodes 0..n-1, src < dst, or all pairs if they are fewer; each set of m pairs is as likely as any other.
+
+    Pairs are numbered; numbers are drawn by hash, and the first m different ones count, so no more rows are made than draws and nothing
+    is sorted. Of more than half of all pairs those left out are drawn.
+    """
+    every = n * (n - 1) // 2
+    m = min(m, every)
+    few = min(m, every - m)
+    chosen = None
+    if few:
+        expected = -every * math.log1p(-few / every)
+        draws = int(expected + 6 * math.sqrt(expected)) + 20
+        while True:
+            drawn = spark.range(draws).groupBy(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(every)).alias("rank")).agg(F.min("id").alias("id"))
+            chosen = staged(drawn)
+            if chosen.count() >= few:
+                break
+            draws *= 2
+        chosen = chosen.where(F.col("id") <= _nth(chosen.select("id"), few, draws)).select("rank")
+    if m == few:
+        ranks = chosen if chosen is not None else spark.range(0).select(F.col("id").alias("rank"))
+    else:
+        ranks = spark.range(every).select(F.col("id").alias("rank"))
+        ranks = ranks.join(chosen, "rank", "left_anti") if chosen is not None else ranks
+    # pairs in order of dst: dst (dst - 1) / 2 pairs come before those of dst; the root may be off by one
+    root = F.floor((1 + F.sqrt(1 + 8 * F.col("rank").cast("double"))) / 2)
+    ranks = ranks.withColumn("r", root.cast("long"))
+    dst = F.expr("case when r * (r - 1) div 2 > rank then r - 1 when r * (r + 1) div 2 <= rank then r + 1 else r end")
+    return ranks.withColumn("dst", dst).select(F.expr("rank - dst * (dst - 1) div 2").alias("src"), "dst")
 
 
 def small_worldness(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:

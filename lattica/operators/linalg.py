@@ -1,4 +1,4 @@
-"""Dense linear algebra: spectral and diffusion coordinates, components, factors. Passes over rows, with numpy inside tasks."""
+"""Linear algebra on rows: spectral and diffusion coordinates, components, factors. Passes over rows, with numpy inside tasks."""
 
 from __future__ import annotations
 
@@ -48,19 +48,53 @@ def diffusion_kernel(pairs: DataFrame, epsilon: float) -> DataFrame:
     return w.join(deg, "i").join(deg.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / (F.col("d") * F.col("e"))).alias("x"))
 
 
-def diffusion_coords(kernel: DataFrame, n: int) -> DataFrame:
-    """(row, v): eigenvectors 2..n+1 of the kernel times their eigenvalues; one graph of regions, solved in one task."""
-    def solve(table: pa.Table) -> pa.Table:
-        i, j, x = (table.column(c).to_numpy() for c in ("i", "j", "x"))
-        nodes = np.unique(i)
-        a = np.zeros((len(nodes), len(nodes)))
-        a[np.searchsorted(nodes, i), np.searchsorted(nodes, j)] = x
-        values, vectors = np.linalg.eigh((a + a.T) / 2)
-        values, vectors = values[::-1][1 : n + 1], vectors[:, ::-1][:, 1 : n + 1]
-        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
-        return pa.table({"row": pa.array(nodes.astype(np.int64)), "v": pa.array((vectors * values).tolist(), pa.list_(pa.float64()))})
-
-    return kernel.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: solve(t.select(["i", "j", "x"])), "row long, v array<double>")
+def _kernel_products(scale: float):
+    """(row, w): the kernel of two blocks, made in strips and dropped, times the second block's x, over the first's d."""
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = batch.column("l")[k].values, batch.column("r")[k].values
+                a, b, x = (s.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) for s, c in ((left, "v"), (right, "v"), (right, "x")))
+                d = left.field("d").to_numpy(zero_copy_only=False)
+                sizes = (b * b).sum(axis=1)
+                for at in range(0, len(a), 256):
+                    own = a[at : at + 256]
+                    d2 = np.maximum((own * own).sum(axis=1)[:, None] + sizes - 2 * (own @ b.T), 0)
+                    w = np.exp(-scale * d2) @ x / d[at : at + 256, None]
+                    ends = np.arange(len(own) + 1, dtype=np.int32) * w.shape[1]
+                    yield pa.record_batch([left.field("row").slice(at, len(own)), pa.ListArray.from_arrays(pa.array(ends), pa.array(w.ravel()))], names=["row", "w"])
+    return run
+
+
+def diffusion_coords(vectors: DataFrame, epsilon: float, n: int, *, block: int = 1024) -> DataFrame:
+    """(row, v): eigenvectors 2..n + 1 of the diffusion kernel of ``vectors (row, v)`` times their eigenvalues, fewer if there are fewer rows.
+
+    Each vector's largest entry is positive. The kernel is never written: a product with it is one of pairs of blocks of rows, whose part
+    of it is made and dropped inside a task; rows get one small sum from each block. Rows with a null vector or component take no part.
+    """
+    own = vectors.select(F.col("row").cast("long").alias("row"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    own = own.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    blocks = max(1, -(-own.count() // block))
+    own = staged(own.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks))))
+
+    def product(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+        """(row, w) of left (b, row, v, d) and right (b, v, x)."""
+        to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("to")
+        a = left.groupBy("b").agg(F.collect_list(F.struct("row", "v", "d")).alias("l")).select("l", to)  # about block rows each
+        b = right.groupBy("b").agg(F.collect_list(F.struct("v", "x")).alias("r"))
+        parts = a.join(b, F.col("to") == F.col("b")).select("l", "r").mapInArrow(_kernel_products(1 / (2 * epsilon * epsilon)), "row long, w array<double>")
+        return parts.groupBy("row").agg(F.array(*[F.sum(F.col("w")[c]) for c in range(width)]).alias("w"))
+
+    degrees = product(own.withColumn("d", F.lit(1.0)), own.withColumn("x", F.array(F.lit(1.0))), 1)
+    own = staged(own.join(degrees.select(F.col("row"), F.col("w")[0].alias("d")), "row"))
+
+    def operator(x: DataFrame) -> DataFrame:
+        right = own.join(x.select("row", "x"), "row").select("b", "v", F.transform(F.struct("x", "d")["x"], lambda e: e / F.col("d")).alias("x"))
+        return product(own, right, n + 1 + EXTRA).select(F.lit(0).cast("long").alias("g"), "row", "w")
+
+    found, values = leading(own.select(F.lit(0).cast("long").alias("g"), "row"), operator, n + 1, extra=EXTRA)
+    sizes = F.array(*[F.lit(float(x)) for x in values.get(0, [])[1:]]).cast("array<double>")
+    return found.select("row", F.zip_with(F.slice("v", 2, n), sizes, lambda x, s: x * s).alias("v"))
 
 
 def pca(vectors: DataFrame, n: int) -> DataFrame:

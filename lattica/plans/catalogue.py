@@ -351,11 +351,24 @@ def diffusion_kernel(spark, d):
     return _r(kernel(_d2(spark, d), 2.0), "x")
 
 
-@query()
+#: Squares of squares of a symmetric matrix, each over its trace, end in the projector on its leading eigenvector; {p}v has the value, {p}l the matrix without it.
+_TOP = """{p}(s, m) as (select 0, m from {a} union all select s + 1, [[x / tr for x in r] for r in q] from (select s, q, list_sum([q[t][t] for t in range(1, len(q) + 1)]) tr from (select s, [[list_dot_product(r, c) for c in m] for r in m] q from {p} where s < 20))),
+    {p}v as (select p.m, list_sum([list_dot_product(a.m[t], p.m[t]) for t in range(1, len(p.m) + 1)]) v from {p} p, {a} a where s = 20),
+    {p}l as (select [[a.m[t][u] - v * p.m[t][u] for u in range(1, len(p.m) + 1)] for t in range(1, len(p.m) + 1)] m from {p}v p, {a} a)"""
+
+
+@query(f"""with recursive {_D2}, w as (select i, j, exp(-d2 / 8) w from d2), g as (select i, sum(w) g from w group by 1),
+    k as (select w.i, w.j, w / (a.g * b.g) x from w join g a on a.i = w.i join g b on b.i = w.j),
+    ids as (select list(i order by i) ids from g), a as (select list(r order by i) m from (select i, list(x order by j) r from k group by 1)),
+    {_TOP.format(p="p1", a="a")}, {_TOP.format(p="p2", a="p1l")}, {_TOP.format(p="p3", a="p2l")},
+    tops as (select 0 p, m, v from p2v union all select 1, m, v from p3v), cells as (select p, m, v, unnest(range(1, len(m) + 1)) t from tops),
+    largest as (select p, max_by(t, m[t][t]) b from cells group by 1)
+    select ids[t] "row", p, round(v * m[t][b] / sqrt(m[b][b]), 8) + 0.0 x from cells join largest using (p), ids""")
 def diffusion_coords(spark, d):
     from lattica.operators import linalg
 
-    return linalg.diffusion_coords(linalg.diffusion_kernel(_d2(spark, d), 2.0), 2)
+    found = linalg.diffusion_coords(_rows(spark, d).withColumn("v", F.transform("v", lambda x: x / 100)), 2.0, 2)
+    return _r(found.select("row", F.posexplode("v").alias("p", "x")), "x", digits=8)
 
 
 # ---- graphs ----

@@ -284,3 +284,55 @@ def test_sweep_counts_missing_labels(spark):
     v = spark.createDataFrame(rows, "unit int, label int, v array<double>").withColumn("k", F.lit(7))
     mean = Q.homogeneity(v).agg(F.avg("homogeneity")).first()[0]
     assert Q.sweep(v, ["k"]).first().homogeneity == pytest.approx(mean) == pytest.approx((math.sqrt(0.5) + 3) / 4)
+
+
+@pytest.mark.parametrize("held", [1 << 23, 8])
+def test_moments_of_odd_rows(spark, monkeypatch, held):
+    monkeypatch.setattr(Q, "HELD", held)
+    rng = np.random.default_rng(13)
+    x, lab = rng.normal(size=(300, 4)), np.where(rng.random(300) < 0.4, 1, rng.integers(2, 30, 300))  # a hot label
+    x[:5] = 0
+    rows = [(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(lab, x, strict=True))]
+    odd = [(900, 1, None), (901, 1, [1.0, None, 0.0, 0.0]), (902, None, [1.0] * 4)]
+    df = spark.createDataFrame(rows + odd, "unit long, label int, v array<double>").repartition(7)
+    got = {r.label: r for r in Q.moments(df, ["label"]).collect()}
+    assert sorted(got) == sorted(set(lab.tolist()))
+    size = np.linalg.norm(x, axis=1)
+    for k, r in got.items():
+        own = lab == k
+        assert (r.n, r.some) == (own.sum(), (size[own] > 0).sum()) and r.q == pytest.approx((x[own] ** 2).sum())
+        assert np.allclose(r["sum"], x[own].sum(axis=0)) and np.allclose(r.units, (x[own] / np.where(size > 0, size, 1)[own, None]).sum(axis=0))
+    assert Q.moments(df.limit(0), ["label"]).collect() == [] and Q.metrics(df.limit(0)).collect() == []
+    named = df.select(F.lit("é").alias("m"), F.when(F.col("unit") % 2 == 0, F.lit("x")).alias("by0"), "v")
+    assert {(r.m, r.by0): r.n for r in Q.moments(named, ["m", "by0"]).collect()} == {("é", "x"): 151}
+
+
+def test_diffusion_coords_without_the_kernel(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(50, 4)) + 2, rng.normal(size=(40, 4)) * 0.5 - 2])
+    ids = rng.permutation(1000)[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, None)], "row int, v array<double>")
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * 1.5**2))
+    d = w.sum(axis=1)
+    values, vectors = np.linalg.eigh(w / d[:, None] / d[None])
+    values, vectors = values[::-1][1:4], vectors[:, ::-1][:, 1:4]
+    want = values * vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(3)])
+    got = {r.row: r.v for r in linalg.diffusion_coords(df, 1.5, 3, block=40).collect()}  # several blocks
+    assert sorted(got) == sorted(ids.tolist()) and np.abs(np.array([got[int(i)] for i in ids]) - want).max() < 1e-8
+    two = [r.v for r in linalg.diffusion_coords(df.where("row < 5000").limit(2), 1.5, 3).collect()]
+    assert [len(v) for v in two] == [1, 1] and linalg.diffusion_coords(df.limit(0), 1.5, 3).collect() == []
+
+
+@pytest.mark.parametrize("n, m", [(0, 3), (1, 1), (2, 5), (9, 36), (9, 30), (9, 7), (300, 2000), (3_000_000_000, 50)])
+def test_random_graph(spark, n, m):
+    got = [tuple(r) for r in G.random_graph(n, m, spark, 3).collect()]
+    assert len(got) == len(set(got)) == min(m, n * (n - 1) // 2) and all(0 <= i < j < n for i, j in got)
+    assert sorted(got) == sorted(tuple(r) for r in G.random_graph(n, m, spark, 3).collect())
+
+
+def test_random_graphs_are_even(spark):
+    times = np.zeros((6, 6))
+    for seed in range(12):
+        for i, j in G.random_graph(6, 5, spark, seed).collect():
+            times[i, j] += 1
+    assert times.sum() == 60 and times.max() <= 11 and np.count_nonzero(times) >= 12
