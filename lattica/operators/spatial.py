@@ -144,13 +144,19 @@ def centroids(points: DataFrame, by: str) -> DataFrame:
     return points.groupBy(by).agg(*[F.avg(c).alias(c) for c in "xyz"])
 
 
-def arc_length(points: DataFrame) -> DataFrame:
-    """(curve, pos, t): share of the curve's length up to each point; null for a curve of length 0."""
+def along(points: DataFrame) -> DataFrame:
+    """points with t, the share of the curve's length up to each point; null for a curve of length 0."""
     w = Window.partitionBy("curve").orderBy("pos")
     step = F.sqrt(sum(F.pow(F.col(c) - F.lag(c).over(w), 2) for c in "xyz"))
     run = points.withColumn("d", F.coalesce(step, F.lit(0.0))).withColumn("s", F.sum("d").over(w))
     total = F.sum("d").over(Window.partitionBy("curve"))
-    return run.withColumn("total", total).select("curve", "pos", F.when(F.col("total") > 0, F.col("s") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0)).alias("t"))
+    run = run.withColumn("total", total)
+    return run.select(*points.columns, F.when(F.col("total") > 0, F.col("s") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0)).alias("t"))
+
+
+def arc_length(points: DataFrame) -> DataFrame:
+    """(curve, pos, t): share of the curve's length up to each point; null for a curve of length 0."""
+    return along(points).select("curve", "pos", "t")
 
 
 def directions(points: DataFrame) -> DataFrame:

@@ -673,18 +673,33 @@ def cosine_normal_equations(spark, d):
     return _r(normal_equations(_points(spark, d), 3), "a", digits=4)
 
 
-@query()
+#: Coefficients beta(curve, m): elimination on the normal equations, a step for each column; columns 5 to 7 of m are x, y and z. Curves of three places or fewer have other rows.
+_BETA = f"""{_NE}, places as (select curve, count(distinct t) n from t group by 1),
+    w4 as (select curve, t, w, x, y, z, [sqrt(2) * cos(pi() * i * t) for i in range(4)] b from t where t is not null),
+    ne as (select curve, i, [sum(w * b[i] * b[1]), sum(w * b[i] * b[2]), sum(w * b[i] * b[3]), sum(w * b[i] * b[4]), sum(w * b[i] * x), sum(w * b[i] * y), sum(w * b[i] * z)] r from w4, range(1, 5) q(i) group by 1, 2),
+    rows4 as (select curve, list(r order by i) m from ne group by 1),
+    solve(curve, s, m) as (select curve, 1, m from rows4 join places using (curve) where n > 3
+        union all select curve, s + 1, [[case when i = s then m[s][j] / m[s][s] else m[i][j] - m[i][s] / m[s][s] * m[s][j] end for j in range(1, 8)] for i in range(1, 5)] from solve where s <= 4),
+    beta as (select curve, m from (select distinct curve from p) left join (select curve, m from solve where s = 5) using (curve))"""
+
+
+@query(f"with recursive {_BETA} select curve, p, [round(m[p + 1][j], 6) + 0.0 for j in range(5, 8)] v from beta, range(4) q(p) where m is not null union all select curve, p, null from beta, range(4) q(p) where m is null")
 def cosine_series(spark, d):
+    """A row for each curve and coefficient."""
     from lattica.operators.curves import cosine_series as series
 
-    return series(_points(spark, d), 3)
+    own = series(_points(spark, d), 3).select("curve", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"), "beta")
+    own = own.select("curve", F.col("p").cast("long").alias("p"), F.transform(F.get("beta", F.col("p")), lambda x: F.round(x, 6) + 0.0).alias("v"))
+    return own
 
 
-@query()
+@query(f"""with recursive {_BETA}, ends as (select curve, arg_min([x, y, z], pos) a, arg_max([x, y, z], pos) b from p group by 1)
+    select curve, s.sign, case when m is not null then [round(v, 6) + 0.0 for v in list_concat(m[1][5:7], [sqrt(m[i][5] * m[i][5] + m[i][6] * m[i][6] + m[i][7] * m[i][7]) for i in range(2, 5)], [(b[i] - a[i]) * s.sign for i in range(1, 4)])] end d
+    from beta join ends using (curve), (values (1), (-1)) s(sign)""")
 def curve_descriptor(spark, d):
     from lattica.operators.curves import descriptor
 
-    return descriptor(_points(spark, d), both_ways=True)
+    return descriptor(_points(spark, d), both_ways=True).withColumn("d", F.transform("d", lambda x: F.round(x, 6) + 0.0))
 
 
 @query("with s as (select p_partkey vertex, cast(p_size as double) x, p_retailprice / 100 y, cast(p_partkey % 50 as double) z from part), a as (select vertex, x, y * cos(radians(30)) - z * sin(radians(30)) y, y * sin(radians(30)) + z * cos(radians(30)) z from s), b as (select vertex, x * cos(radians(45)) + z * sin(radians(45)) x, y, z * cos(radians(45)) - x * sin(radians(45)) z from a) select vertex, round(-x, 6) + 0.0 x, round(-y, 6) + 0.0 y, round(z, 6) + 0.0 z from b")

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DIR = "/root/testdata/sf0.001"
-SOME = ["contingency", "dice_match", "dice_joined", "dice_atlas_align", "homogeneity", "gram", "mesh_adjacency", "arc_length", "radius_presence", "cosine_sim", "connect_sim_pair", "cosine_distances", "metric_bundle", "metric_sweep_means", "map_metrics", "nearest_vertex", "incomplete_subjects", "matching_folders", "pca_invariants", "pair_fusion", "stage1_vertex_atlas", "stage3_evaluated"]
+SOME = ["contingency", "dice_match", "dice_joined", "dice_atlas_align", "homogeneity", "gram", "mesh_adjacency", "arc_length", "radius_presence", "cosine_sim", "connect_sim_pair", "cosine_distances", "metric_bundle", "metric_sweep_means", "map_metrics", "nearest_vertex", "incomplete_subjects", "matching_folders", "pca_invariants", "pair_fusion", "stage1_vertex_atlas", "stage3_evaluated", "silhouette_adjacent", "cosine_series", "curve_descriptor", "diffusion_coords"]
 
 
 @pytest.fixture(scope="module")

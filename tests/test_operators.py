@@ -94,6 +94,32 @@ def test_cosine_series(spark):
     assert np.linalg.solve(a, [cells[i, -1] for i in range(4)]) == pytest.approx([b[0] for b in beta[1]])
 
 
+@pytest.mark.parametrize("k", [0, 1, 3, 6])
+def test_cosine_series_of_few_places(spark, k):
+    rng = np.random.default_rng(21)
+    own = {i: rng.normal(size=(n, 3)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 30, 200])}
+    own |= {50: np.array([[0, 0, 0], [0, 0, 0], [1, 1, 0], [1, 1, 0.0]]), 51: np.ones((4, 3)), 52: np.repeat(rng.normal(size=(5, 3)), 3, axis=0)}
+    rows = [(c, i, *map(float, p)) for c, x in own.items() for i, p in enumerate(x)]
+    points = spark.createDataFrame([*rows, (6, 99, None, 1.0, 1.0), (6, None, 1.0, 1.0, 1.0)], "curve long, pos int, x double, y double, z double").repartition(3)
+    got = {r.curve: r.beta for r in curves.cosine_series(points, k).collect()}
+    assert sorted(got) == sorted(own)
+    for c, p in own.items():
+        step = np.linalg.norm(np.diff(p, axis=0), axis=1)
+        if not step.sum() > 0:
+            assert got[c] is None
+            continue
+        t = np.concatenate(([0], np.cumsum(step) / step.sum()))
+        t, y = np.concatenate((-t[:0:-1], t)), np.concatenate((p[:0:-1], p))
+        assert np.allclose(got[c], np.linalg.pinv(np.sqrt(2) * np.cos(np.pi * t[:, None] * np.arange(k + 1))) @ y, atol=1e-9)  # least norm where there are many
+
+
+def test_cosine_series_of_places_that_nearly_coincide(spark):
+    rows = [(1, 0, 0.0, 0.0, 0.0), (1, 1, 1e-9, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (1, 3, 1.0 + 1e-9, 0.0, 0.0), (1, 4, 2.0, 0.0, 0.0)]
+    beta = np.array(curves.cosine_series(spark.createDataFrame(rows, "curve long, pos int, x double, y double, z double"), 3).first().beta)
+    at = lambda t: np.sqrt(2) * np.cos(np.pi * t * np.arange(4)) @ beta[:, 0]
+    assert [at(0), at(0.5), at(1)] == pytest.approx([0, 1, 2], abs=1e-6)
+
+
 def test_clusters(spark):
     rows = [(1.0, 2.0), (1.5, 1.8), (5.0, 8.0), (8.0, 8.0), (1.0, 0.6), (9.0, 11.0), (8.0, 2.0), (10.0, 2.0), (9.0, 3.0), (0.0, 0.0)]
     df = spark.createDataFrame([(i, list(v)) for i, v in enumerate(rows)], "row long, v array<double>")
