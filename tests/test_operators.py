@@ -58,6 +58,23 @@ def test_knn_blocks_agree(spark):
     assert {r.w for r in G.knn_graph(df, 4).collect()} <= {0.5, 1.0}
 
 
+def test_knn_tiles_stay_few(spark):
+    """Tiles follow the cores, not the rows; copies, a zero row, a row that is not finite and wide values give the same as brute force."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 6)), 3, axis=0) * rng.choice([1.0, 2.0, 1e30], size=(120, 1))
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, [float("nan")] * 6)], "row long, v array<double>")
+    found = G.nearest_rows(df, 5, block=1)
+    assert found.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    size = np.where(np.linalg.norm(x, axis=1) == 0, 1, np.linalg.norm(x, axis=1))
+    far = np.round(1 - (x / size[:, None]) @ (x / size[:, None]).T, 12)
+    np.fill_diagonal(far, np.inf)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.i, []).append((r.d, r.j))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: np.argsort(far[i], kind="stable")[:5].tolist() for i in range(120)}
+
+
 def test_communities(spark):
     two = edges(spark, [(a, b) for k in (0, 10) for a in range(k, k + 5) for b in range(k, a)] + [(0, 10)])
     for found in (communities.louvain(two), communities.spectral_split(two)):
