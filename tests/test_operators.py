@@ -75,6 +75,14 @@ def test_knn_tiles_stay_few(spark):
     assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: np.argsort(far[i], kind="stable")[:5].tolist() for i in range(120)}
 
 
+def test_knn_searches_once(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 4)))], "row long, v array<double>")
+    arcs = G.nearest_rows(df, 3).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    assert G.symmetric_half(arcs)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert "MapInArrow" not in G.density(G.knn_graph(df, 3), 30)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_communities(spark):
     two = edges(spark, [(a, b) for k in (0, 10) for a in range(k, k + 5) for b in range(k, a)] + [(0, 10)])
     for found in (communities.louvain(two), communities.spectral_split(two)):
