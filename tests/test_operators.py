@@ -83,6 +83,28 @@ def test_knn_searches_once(spark):
     assert "MapInArrow" not in G.density(G.knn_graph(df, 3), 30)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_reached_passes_no_edges_to_the_driver(spark, monkeypatch):
+    """Many words of searches, a hub, a chain and a second component, against rounds of joins; the graph is not collected."""
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 1300, size=(1500, 2))] + [(0, i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(12)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    want = {}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for a in near:
+        seen, front, d = {a}, {a}, 0
+        while front:
+            front, d = {y for x in front for y in near[x]} - seen, d + 1
+            seen |= front
+            if front:
+                want[a, d] = len(front)
+    monkeypatch.setattr(type(e), "toArrow", None)
+    assert {(r.a, r.d): r.n for r in G.reached(e).collect()} == want
+
+
 def test_communities(spark):
     two = edges(spark, [(a, b) for k in (0, 10) for a in range(k, k + 5) for b in range(k, a)] + [(0, 10)])
     for found in (communities.louvain(two), communities.spectral_split(two)):
