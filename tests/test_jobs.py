@@ -156,3 +156,12 @@ def test_command_lines(spark, tmp_path, name):
     assert done.returncode == 0, done.stderr[-2000:]
     assert re.search("read 126 documents|took 100 new events", done.stderr) and "wrote" in done.stderr
     assert list((tmp_path / "out").rglob("*.parquet"))
+
+
+def test_words_are_split_and_then_lowered(spark):
+    from jobs.text_fingerprints import counted
+
+    docs = spark.createDataFrame([("a", " Été, ÉTÉ abc-Abc\x00ABC 12x\u00a0y. "), ("a", "abc"), ("b", "... 12"), (None, "Straße"), ("b", None), ("b", "")], "lang string, text string")
+    got = {(r.lang, r.col): r.n for r in counted(docs, ["lang"], "text").collect()}
+    assert got == {("a", "Été"): 1, ("a", "ÉtÉ"): 1, ("a", "abc"): 4, ("a", "12x\u00a0y"): 1, ("b", "12"): 1, ("unknown", "straße"): 1}
+    assert "regexp_extract_all" not in counted(docs, ["lang"], "text")._jdf.queryExecution().optimizedPlan().toString()
