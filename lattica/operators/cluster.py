@@ -43,32 +43,61 @@ def means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return sums.select("label", F.transform("sum", lambda x: x / F.col("n")).alias("c"))
 
 
-def _round(centres: np.ndarray):
-    """(k, s): sums and numbers of the rows nearest to each centre, for one batch each; zero rows take no part."""
+#: Rows at most, about, that the driver takes for rounds of its own (some 4 MB at 64 places).
+NEAR = 8192
+_STEPS = 2.0 ** -np.arange(41)
+
+
+def _lists(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _unit(centres: np.ndarray) -> np.ndarray:
     size = np.sqrt((centres * centres).sum(axis=1))
-    unit = centres / np.where(size > 0, size, 1)[:, None]
+    return centres / np.where(size > 0, size, 1)[:, None]
+
+
+def _far(x: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    return np.round(1 - x @ unit.T / np.sqrt((x * x).sum(axis=1))[:, None], 12)
+
+
+def _sums(x: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Sums and numbers of the rows of each centre."""
+    part = np.zeros((k, x.shape[1] + 1))
+    np.add.at(part[:, :-1], near, x)
+    part[:, -1] = np.bincount(near, minlength=k)
+    return part
+
+
+def _round(centres: np.ndarray, least: float):
+    """(s, h, v) of a task as bytes: sums and numbers of the rows nearest to each centre by more than ``least``, how many rows are nearest by
+    each step of ``_STEPS`` or less, and the other rows; zero rows take no part."""
+    unit = _unit(centres)
 
     def run(batches):
-        total = None
+        total, steps, others = np.zeros((len(centres), centres.shape[1] + 1)), np.zeros(len(_STEPS)), []
         for b in batches:
-            if b.num_rows:
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                n = np.sqrt((x * x).sum(axis=1))
-                x, n = x[n > 0], n[n > 0]
-                near = np.round(1 - x @ unit.T / n[:, None], 12).argmin(axis=1)  # of equals the first; a zero centre is at distance 1
-                part = np.zeros((len(centres), x.shape[1] + 1))
-                np.add.at(part[:, :-1], near, x)
-                part[:, -1] = np.bincount(near, minlength=len(centres))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "s"])
+            x = _lists(b.column("v")) if b.num_rows else np.zeros((0, 0))
+            x = x[(x * x).sum(axis=1) > 0]
+            if not len(x):
+                continue
+            far = _far(x, unit)
+            near = far.argmin(axis=1)  # of equals the first; a zero centre is at distance 1
+            by = np.diff(np.partition(far, 1, axis=1)[:, :2], axis=1)[:, 0] if len(centres) > 1 else np.full(len(x), 4.0)
+            steps += (by[:, None] <= _STEPS).sum(axis=0)
+            sure = by > least
+            total += _sums(x[sure], near[sure], len(centres))
+            others.append(x[~sure])
+        v = np.concatenate(others) if others else np.zeros((0, centres.shape[1]))
+        yield pa.record_batch([pa.array([m.tobytes()], pa.binary()) for m in (total, steps, v)], names=["s", "h", "v"])
     return run
 
 
-def cosine_kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int = 5000) -> DataFrame:
+def cosine_kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int = 5000, near: int = NEAR) -> DataFrame:
     """(row, label): Lloyd rounds from k rows of least hash, until the centres stay; a cluster left empty has a zero centre.
 
-    A round is one pass over the staged rows, each task's sums of k x d numbers, and one small aggregate.
+    A pass over the staged rows gives each task's sums of k x d numbers. Of rows that lie nearest to their centre by more than centres have since
+    moved the centre cannot change; a pass returns the others, about ``near`` rows at most, and the rounds that follow need only these until centres have moved too far.
     """
     spark = vectors.sparkSession
     own = staged(vectors.select("row", F.transform("v", lambda x: x.cast("double")).alias("v")))
@@ -76,12 +105,20 @@ def cosine_kmeans(vectors: DataFrame, k: int, *, seed: int = 0, iterations: int
     if not start:
         return own.select("row", F.lit(-1).alias("label"))
     centres = np.array([r["v"] for r in start])
-    for _ in range(iterations):
-        got = {r["k"]: r["s"] for r in own.select("v").mapInArrow(_round(centres), "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}  # k x (d + 1) numbers
-        sums = np.array([got[i] for i in range(len(got))]).reshape(len(centres), -1)
-        new = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-        still = np.allclose(new, centres)
-        centres = new
-        if still:
-            break
+    rounds, still, least = 0, False, -1.0
+    while rounds < iterations and not still:
+        got = own.select("v").mapInArrow(_round(centres, least), "s binary, h binary, v binary").collect()  # a row for each task
+        sure = sum(np.frombuffer(r["s"]) for r in got).reshape(len(centres), -1)
+        steps = sum(np.frombuffer(r["h"]) for r in got)
+        others = np.concatenate([np.frombuffer(r["v"]).reshape(-1, centres.shape[1]) for r in got])
+        first = _unit(centres)
+        while rounds < iterations and not still:
+            sums = sure + _sums(others, _far(others, _unit(centres)).argmin(axis=1), len(centres)) if len(others) else sure
+            new = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+            still, rounds = np.allclose(new, centres), rounds + 1
+            centres = new
+            if 2 * np.sqrt(((_unit(centres) - first) ** 2).sum(axis=1)).max() + 1e-11 > least:
+                break
+        few = np.flatnonzero(steps <= near)
+        least = float(_STEPS[few[0]]) if len(few) else -1.0
     return cosine_step(own, spark.createDataFrame(list(enumerate(centres.tolist())), "label int, c array<double>"))

@@ -428,3 +428,24 @@ def test_random_graphs_are_even(spark):
         for i, j in G.random_graph(6, 5, spark, seed).collect():
             times[i, j] += 1
     assert times.sum() == 60 and times.max() <= 11 and np.count_nonzero(times) >= 12
+
+
+def test_cosine_kmeans_needs_few_passes_for_many_rounds(spark, monkeypatch):
+    from lattica.operators import cluster
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(2500, 8)), np.zeros((1, 8))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, v array<double>").repartition(3)
+    passes, run = [], cluster._round
+    monkeypatch.setattr(cluster, "_round", lambda *a: passes.append(a[0]) or run(*a))
+    got = {r.row: r.label for r in cluster.cosine_kmeans(rows, 4, seed=3, near=600).collect()}
+    c, own, rounds = passes[0], x[:-1], 0
+    while True:
+        near = cluster._far(own, cluster._unit(c)).argmin(axis=1)
+        new = np.array([own[near == i].mean(axis=0) for i in range(4)])
+        rounds, still, c = rounds + 1, np.allclose(new, c), new
+        if still:
+            break
+    near = cluster._far(own, cluster._unit(c)).argmin(axis=1)
+    assert got == {**dict(enumerate(near.tolist())), 2500: -1}
+    assert len(passes) < rounds / 2
