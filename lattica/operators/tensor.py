@@ -61,11 +61,12 @@ def _projector(a: np.ndarray, z: np.ndarray, p: np.ndarray, q: np.ndarray, k: in
     return new[:, None] * hh * new[None], new, lam / 2 * float(np.linalg.norm(a - hh))
 
 
-def low_rank_rounds(views: list[np.ndarray], k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference") -> tuple[list[np.ndarray], list[float]]:
+def low_rank_rounds(views: list[np.ndarray], k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference", least: bool = False) -> tuple[list[np.ndarray], list[float]]:
     """The rounds of ``low_rank`` on matrices in memory: the smoothed projectors, and the objective per round."""
     size = len(views[0])
     z, p, q = [np.zeros((size, size)) for _ in views], [np.zeros((size, size)) for _ in views], [np.ones(size) for _ in views]
     losses: list[float] = []
+    best = p
     while len(losses) < iterations:
         first = 0.0
         for v, a in enumerate(views):
@@ -74,9 +75,11 @@ def low_rank_rounds(views: list[np.ndarray], k: int, lam: float, rho: float, *,
         back = prox_tensor(np.stack(p, axis=1), rho, mode)  # S x views x S
         z = [back[:, v] for v in range(len(views))]
         losses.append(first + sum(0.5 * float(np.linalg.norm(x - y)) for x, y in zip(z, p, strict=True)))
+        if losses[-1] < min(losses[:-1], default=float("inf")):
+            best = list(p)
         if len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol * max(abs(losses[-2]), 1e-12):
             break
-    return p, losses
+    return (best, losses[: losses.index(min(losses)) + 1]) if least and losses else (p, losses)
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -239,22 +242,25 @@ def of_rows(rows: DataFrame, width: int) -> Callable[[DataFrame], DataFrame]:
     return product
 
 
-def low_rank(views: DataFrame, k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference", extra: int = 4, small: int = SMALL) -> tuple[DataFrame, list[float]]:
+def low_rank(views: DataFrame, k: int, lam: float, rho: float, *, iterations: int = 100, tol: float = 1e-3, mode: str = "reference", extra: int = 4, small: int = SMALL, least: bool = False) -> tuple[DataFrame, list[float]]:
     """Consensus of several similarity matrices ``(view, row, v)`` of the same rows: (view, row, v) of the smoothed projectors, and the objective per round.
 
     Per round and view: the k leading eigenvectors H of lambda A + Q (sym Z - half P) Q, Q the inverse root diagonal of H H',
     P = Q H H' Q; then Z by the proximal step on all P as a tensor. Rounds end when the objective changes by less than tol of it. Every matrix stays rows of tables, each
     round's are written; the driver sees the Gram matrices of the eigenvectors and the objective. Up to ``small`` numbers of all views one task runs the same rounds.
+    The published iteration ends with its last round, whose objective may be above the first. With ``least`` all rounds run too, and the result is the round of least
+    objective (of equals the first), the objectives those up to it.
     """
     raw = staged(views.select(F.col("view").cast("int").alias("view"), F.col("row").cast("long").alias("row"), "v"))
     size, many = _size(raw)
     if size * size * many <= small:
-        return _in_one_task(raw, k, lam, rho, iterations, tol, mode)
+        return _in_one_task(raw, k, lam, rho, iterations, tol, mode, least)
     a = staged(symmetric(raw))
     zero = F.array_repeat(F.lit(0.0), size)
     z = p = a.select("view", "row", zero.alias("v"))
     q = a.select("view", "row", F.lit(1.0).alias("q"))
     losses: list[float] = []
+    best = p
     named = lambda df, c: df.withColumnRenamed("v", c)
     while len(losses) < iterations:
         all_q = q.groupBy("view").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "q"))), lambda e: e["q"]).alias("qs"))  # a row for each view
@@ -274,17 +280,19 @@ def low_rank(views: DataFrame, k: int, lam: float, rho: float, *, iterations: in
         off = far.select("view", squares(plain).alias("a"), squares(F.zip_with("z", "p", lambda x, y: x - y)).alias("z")).groupBy("view").agg(F.sqrt(F.sum("a")).alias("a"), F.sqrt(F.sum("z")).alias("z"))
         one = off.agg(F.coalesce(F.sum(F.col("a") * lam / 2 + F.col("z") / 2), F.lit(0.0))).first()[0]
         losses.append(one)
+        if one < min(losses[:-1], default=float("inf")):
+            best = p
         if len(losses) > 1 and abs(losses[-2] - one) < tol * max(abs(losses[-2]), 1e-12):
             break
-    return p, losses
+    return (best, losses[: losses.index(min(losses)) + 1]) if least and losses else (p, losses)
 
 
-def _in_one_task(rows: DataFrame, k: int, lam: float, rho: float, iterations: int, tol: float, mode: str) -> tuple[DataFrame, list[float]]:
+def _in_one_task(rows: DataFrame, k: int, lam: float, rho: float, iterations: int, tol: float, mode: str, least: bool) -> tuple[DataFrame, list[float]]:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("view", "ascending"), ("row", "ascending")]).combine_chunks()
         view, m = table.column("view").to_numpy(), _lists(table.column("v").combine_chunks())
         ids = np.unique(view)
-        found, losses = low_rank_rounds([m[view == i] for i in ids], k, lam, rho, iterations=iterations, tol=tol, mode=mode)
+        found, losses = low_rank_rounds([m[view == i] for i in ids], k, lam, rho, iterations=iterations, tol=tol, mode=mode, least=least)
         made = [*np.concatenate(found).tolist(), losses]
         return pa.table({"view": pa.array([*view.tolist(), None], pa.int32()), "row": pa.array([*table.column("row").to_pylist(), None], pa.int64()), "v": pa.array(made, pa.list_(pa.float64()))})
 

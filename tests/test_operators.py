@@ -207,6 +207,23 @@ def test_dense(spark):
     assert scores.var(axis=0) == pytest.approx(np.linalg.svd(c)[1][:2] ** 2 / 30)
 
 
+def test_low_rank_of_least_objective(spark):
+    """On these counts the published iteration ends above its first objective."""
+    rng = np.random.default_rng(4)
+    views = []
+    for width in (9, 6):
+        m = rng.poisson(60.0, (14, width)).astype(float)
+        m /= np.sqrt((m * m).sum(axis=1))[:, None]
+        views.append(m @ m.T)
+    rows = spark.createDataFrame([(v, i, r.tolist()) for v, m in enumerate(views) for i, r in enumerate(m)], "view int, row long, v array<double>")
+    plain, losses = tensor.low_rank_rounds(views, 5, 100.0, 1000.0)
+    assert losses[-1] > losses[0] * (1 + 1e-6)
+    for small in (0, tensor.SMALL):
+        made, falling = tensor.low_rank(rows, 5, 100.0, 1000.0, small=small, least=True)
+        assert falling == pytest.approx([min(losses)]) and falling[-1] <= falling[0]
+        assert made.count() == 28
+
+
 def test_sparse(spark):
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 3, (5, 4)), rng.integers(0, 3, (4, 6))
