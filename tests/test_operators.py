@@ -317,6 +317,18 @@ def test_bundle(spark):
     assert {"avg_clustering", "assortativity", "scale_free_index", "small_worldness"} <= set(got)
 
 
+def test_bundle_makes_what_is_asked(spark, monkeypatch):
+    e = edges(spark, [(i, (i + j) % 12) for i in range(12) for j in (1, 2)])
+    times, run = [], G.reached
+    monkeypatch.setattr(G, "reached", lambda x: times.append(1) or run(x))
+    monkeypatch.setattr(G, "largest_component", None)
+    sigma = G.small_worldness(e, 12, seed=5).first().sigma
+    assert {r.name: r.value for r in G.bundle(e, 12, seed=5, names=["small_worldness", "edges"]).collect()} == {"small_worldness": sigma, "edges": 24}
+    known = {r.name: r.value for r in G.bundle(e, 12, seed=5, names=["small_worldness", "path_length", "transitivity"]).collect()}
+    assert known["small_worldness"] == pytest.approx(sigma) and known["transitivity"] == pytest.approx(0.5) and len(known) == 3
+    assert len(times) == 6  # two for each: the graph and a random one
+
+
 def test_scale_free_counts_bare_nodes(spark):
     degrees = np.array([3, 2, 2, 1, 0, 0])
     density = np.exp(-0.5 * (degrees[:, None] - degrees[None]) ** 2).mean(axis=1) / np.sqrt(2 * np.pi)
